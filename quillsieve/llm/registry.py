@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from quillsieve.llm import mixing
+from quillsieve.llm import chat, mixing, simhash
 
 QUERIES = {
+    "op2_chat": chat.op2,
+    "op3_simhash": simhash.op3,
     "op10_mixing": mixing.op10,
 }
 
