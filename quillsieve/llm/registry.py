@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from quillsieve.llm import chat, mixing, simhash
+from quillsieve.llm import chat, decontaminate, lines, mixing, simhash, toxicity
 
 QUERIES = {
+    "op1_line_dedup": lines.op1,
     "op2_chat": chat.op2,
     "op3_simhash": simhash.op3,
+    "op4_toxicity": toxicity.op4,
+    "op7_decontamination": decontaminate.op7,
     "op10_mixing": mixing.op10,
 }
 
 SQL = {
+    "op4_toxicity": toxicity.op4,
+    "op7_decontamination": decontaminate.SQL,
     "op10_mixing": mixing.SQL,
 }
