@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from quillsieve.llm.base import checked_broadcast, stored, table
 
 #: Labelled rows of each class that are learned from, on average, chosen by a hash of doc_id; all, if there are fewer.
-SAMPLE = 6000
+SAMPLE = 4000
 #: A score from here on is predicted toxic.
 CUT = 0.7
 #: Nats that a learned insult must show beyond the logarithm of how many candidates were tried.
@@ -246,6 +246,12 @@ def learn_insults(rows: list[tuple[frozenset, int]]) -> tuple[dict[str, float],
                 stay.append(s)
         left = stay
         live = Counter({k: n for k, n in live.items() if n > 0})
+    # Words that mostly come with others still have their evidence over all rows.
+    covered = lambda k: any(k[0] == c[0] or not c[1] and k[0].startswith(c[0]) or not k[1] and c[0].startswith(k[0]) for c in chosen)
+    spread = Counter(w[: len(k)] for w, is_whole in common if is_whole for k in [w[:n] for n in STEMS if len(w) > n])
+    for k in sorted((k for k in fit if _evidence(count1[k], count0[k], n1, n0) >= 1.5 * least), key=rank(count1), reverse=True):
+        if not covered(k) and (k[1] or spread[k[0]] >= 3):
+            chosen.append(k)
     weight = {k: min(10.0, math.log((count1[k] + 0.5) / n1) - math.log((count0[k] + 0.5) / n0)) for k in chosen}
     return {k[0]: w for k, w in weight.items() if k[1]}, {k[0]: w for k, w in weight.items() if not k[1]}
 
