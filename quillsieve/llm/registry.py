@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quillsieve.llm import chat, decontaminate, lines, mixing, simhash, toxicity
+from quillsieve.llm import chat, decontaminate, lines, mixing, pii, simhash, toxicity
 
 QUERIES = {
     "op1_line_dedup": lines.op1,
     "op2_chat": chat.op2,
     "op3_simhash": simhash.op3,
     "op4_toxicity": toxicity.op4,
+    "op5_pii": pii.op5,
     "op7_decontamination": decontaminate.op7,
     "op10_mixing": mixing.op10,
 }
