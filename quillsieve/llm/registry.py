@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillsieve.llm import chat, decontaminate, lines, mixing, pii, simhash, toxicity
+from quillsieve.llm import chat, decontaminate, lines, mixing, pii, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_line_dedup": lines.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_simhash": simhash.op3,
     "op4_toxicity": toxicity.op4,
     "op5_pii": pii.op5,
+    "op6_secrets": secrets.op6,
     "op7_decontamination": decontaminate.op7,
     "op10_mixing": mixing.op10,
 }
