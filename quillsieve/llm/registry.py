@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillsieve.llm import chat, decontaminate, lines, mixing, pii, secrets, simhash, toxicity
+from quillsieve.llm import chat, decontaminate, html_text, lines, mixing, pii, secrets, simhash, topk, toxicity
 
 QUERIES = {
     "op1_line_dedup": lines.op1,
@@ -12,11 +12,14 @@ QUERIES = {
     "op5_pii": pii.op5,
     "op6_secrets": secrets.op6,
     "op7_decontamination": decontaminate.op7,
+    "op8_html": html_text.op8,
+    "op9_topk": topk.op9,
     "op10_mixing": mixing.op10,
 }
 
 SQL = {
     "op4_toxicity": toxicity.op4,
     "op7_decontamination": decontaminate.SQL,
+    "op9_topk": topk.SQL,
     "op10_mixing": mixing.SQL,
 }
