@@ -83,7 +83,7 @@ def _threshold(times: DataFrame, budget: float) -> float:
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
-    """docs with size, source_size, target and taken (words the mix takes, repeats counted) added.
+    """doc_id, size, source_size, target and taken (words the mix takes, repeats counted) of each row of docs, its source and a digest of its text (_text).
 
     Documents of a source are shuffled by a digest of doc_id. Each copy gets a virtual finish time,
     the words of its source up to and including it divided by the source's target, and the mix takes
@@ -92,16 +92,13 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, repeats
     order, so a source with most rows is never in one task.
 
     Null or empty texts have size 0 and are never taken; rows with equal doc_id are ordered by a
-    digest of their text; an empty table gives no rows. Columns of docs named like an added one are
-    replaced.
+    digest of their text; an empty table gives no rows; other columns are ignored.
     """
-    rest = [c for c in docs.columns if c.lower() not in {"size", "source_size", "target", "taken"}]
     number = docs.count()
     digits = max(2, 1 + math.ceil(math.log(max(1.0, number / 65536), 16)))
-    base = docs.select(*rest)
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     sized = stored(
-        base.select(
+        docs.select(
             "doc_id", "source", word_count(F.col("text")).alias("_size"), key.alias("_key"), F.md5(F.coalesce("text", F.lit(""))).alias("_text")
         )
     )
@@ -133,14 +130,28 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, repeats
         "target",
         F.when(F.col("_size") > 0, F.col("_size") * copies).otherwise(F.lit(0)).cast("long").alias("taken"),
         "source",
+        "_text",
     )
 
 
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The rows of docs that the mix takes, with size, source_size, target and taken added.
+
+    Rows are told apart by doc_id and text; of equal rows each is joined with the largest taken.
+    """
+    found = mix(docs).withColumn("_row", F.xxhash64("doc_id", "_text"))
+    found = stored(found.where("taken > 0").groupBy("_row").agg(*[F.max(c).alias(c) for c in ("size", "source_size", "target", "taken")]))
+    keep = [c for c in docs.columns if c.lower() not in {"size", "source_size", "target", "taken"}]
+    rows = docs.select(*keep, F.xxhash64("doc_id", F.md5(F.coalesce("text", F.lit("")))).alias("_row"))
+    return rows.join(checked_broadcast(found), "_row").select(*keep, "size", "source_size", "target", "taken")
+
+
 #: The same mix in SQL, written plainly: one running sum for each source, one over all finish times.
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '')) AS k, md5(coalesce(text, '')) AS t,
-         len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::BIGINT AS size
+         len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+'))::BIGINT AS size
   FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
@@ -174,4 +185,4 @@ FROM r, x
 
 def op10(spark, sf_dir) -> DataFrame:
     """The mix of all documents: doc_id, size, source_size, target, taken."""
-    return mix(table(spark, sf_dir, "documents")).drop("source")
+    return mix(table(spark, sf_dir, "documents")).drop("source", "_text")
