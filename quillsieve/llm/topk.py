@@ -20,7 +20,9 @@ from quillsieve.llm.base import stored, table
 
 #: Best scores of a query, vectors and queries of a block, part of the lists read by each step.
 K, BLOCK, QUERIES = 5, 4096, 1024
-DEPTHS = (0.12, 0.3, 0.5, 0.7, 1.0)
+DEPTHS = (0.2, 0.5, 0.8)
+#: Queries of a group that read side by side.
+SIDE_BY_SIDE = 256
 #: Steps of a component: a vector's numbers are floor(SCALE * x).
 SCALE = 256
 
@@ -35,36 +37,52 @@ def quantized(vectors: DataFrame) -> DataFrame:
     return vectors.where(F.col("vec_id").isNotNull() & whole & usable).select(F.col("vec_id").cast("long").alias("vec_id"), numbers.alias("v"))
 
 
-def nra(block: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, k: int = K, depths: tuple = DEPTHS, lists: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
-    """(ids, scores, entries read) of the k best of a block but for id `own`; ties to smaller ids.
+def nra(block: np.ndarray, ids: np.ndarray, queries: np.ndarray, owns: np.ndarray, k: int = K, depths: tuple = DEPTHS) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(ids, scores, entries read of each list) of the k best of a block for each query, but for id own; ties to smaller ids.
 
-    block has a row for each vector; lists is the same sorted by component, or None.
+    At a depth the same entries of a list have been read by every query that reads it from that side,
+    so the bounds of all vectors for all queries are products of the values read, and of the marks
+    where they were, with the queries' positive and negative parts.
     """
-    lists = np.sort(block, axis=0) if lists is None else lists
-    used = np.flatnonzero(query)
-    q, n = query[used], len(block)
-    live = np.flatnonzero(ids != own)
-    read = 0
-    if len(used) and len(live) > k:
-        ends = np.where(q > 0, lists[0, used], lists[-1, used]) * q
+    n = len(block)
+    order = np.argsort(block, axis=0, kind="stable")
+    rank = np.empty_like(order)
+    np.put_along_axis(rank, order, np.broadcast_to(np.arange(n)[:, None], order.shape), axis=0)
+    lists = np.take_along_axis(block, order, axis=0)
+    for at in range(0, len(queries), SIDE_BY_SIDE):
+        q, own = queries[at : at + SIDE_BY_SIDE], owns[at : at + SIDE_BY_SIDE]
+        up, down = np.maximum(q, 0.0), np.minimum(q, 0.0)
+        live = ids[:, None] != own[None, :]
+        reading = np.flatnonzero(live.sum(axis=0) > k)
+        read = np.full(len(q), n)
+        worst = up @ lists[0] + down @ lists[-1] if n else np.zeros(len(q))
         for part in depths:
-            depth = min(n, max(k, int(np.ceil(n * part))))
-            read = depth * len(used)
-            if depth == n:
+            depth = max(k, int(np.ceil(n * part)))
+            if depth >= n or not len(reading):
                 break
-            # The depth-th value from the query's side of each list.
-            last = np.where(q > 0, lists[n - depth, used], lists[depth - 1, used]) * q
-            known = block[live][:, used] * q
-            met = known >= last
-            upper = np.where(met, known, last).sum(axis=1)
-            lower = np.where(met, known, ends).sum(axis=1)
-            mark = np.partition(lower, len(lower) - k)[len(lower) - k]
-            live = live[upper >= mark]
-            if len(live) <= 4 * k:
-                break
-    scores = block[live] @ query
-    order = np.lexsort((ids[live], -scores))[:k]
-    return ids[live][order], scores[order], read
+            top, low = (rank >= n - depth).astype(np.float64), (rank < depth).astype(np.float64)
+            u, d = up[reading].T, down[reading].T
+            met = (block * top) @ u + (block * low) @ d
+            # What isn't met counts as the value last read, at most, or as the list's worst, at least.
+            last_u, last_d = u * lists[n - depth][:, None], d * lists[depth - 1][:, None]
+            upper = met + (last_u.sum(axis=0) + last_d.sum(axis=0)) - top @ last_u - low @ last_d
+            lower = met + worst[reading] - top @ (u * lists[0][:, None]) - low @ (d * lists[-1][:, None])
+            lower[~live[:, reading]] = -np.inf
+            mark = np.partition(lower, n - k, axis=0)[n - k]
+            live[:, reading] &= upper >= mark[None, :] - 0.5
+            few = live[:, reading].sum(axis=0) <= 4 * k
+            read[reading[few]] = depth
+            reading = reading[~few]
+        full = block @ q[reading].T if len(reading) else None
+        column = {int(r): c for c, r in enumerate(reading)}
+        for j in range(len(q)):
+            kept = np.flatnonzero(live[:, j])
+            scores = full[kept, column[j]] if j in column else block[kept] @ q[j]
+            if len(kept) > 8 * k:
+                enough = np.partition(scores, len(scores) - k)[len(scores) - k]
+                kept, scores = kept[scores >= enough], scores[scores >= enough]
+            best = np.lexsort((ids[kept], -scores))[:k]
+            yield ids[kept][best], scores[best], int(read[j])
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
@@ -94,9 +112,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         values = (pa.concat_arrays(flat.chunks) if isinstance(flat, pa.ChunkedArray) else flat).flatten().to_numpy().reshape(-1, width)
         block, names, out = values[~asks].astype(np.float64), ids[~asks], []
         if len(block):
-            lists = np.sort(block, axis=0)
-            for query, own in zip(values[asks].astype(np.float64), ids[asks], strict=True):
-                found, scores, _ = nra(block, names, query, own, k, lists=lists)
+            owns = ids[asks]
+            for own, (found, scores, _) in zip(owns, nra(block, names, values[asks].astype(np.float64), owns, k), strict=True):
                 out.append((np.full(len(found), own), found, scores.astype(np.int64)))
         columns = [np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in range(3)]
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), columns, strict=True)})

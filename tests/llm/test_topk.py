@@ -21,10 +21,8 @@ def test_nra_equals_all_scores():
     for n, d in ((3, 4), (50, 8), (400, 16), (600, 3)):
         block = rng.integers(-5, 6, (n, d)).astype(float)
         ids = rng.permutation(n * 3)[:n]
-        for _ in range(10):
-            query = rng.integers(-3, 4, d).astype(float)
-            own = ids[0]
-            found, scores, _ = topk.nra(block, ids, query, own)
+        queries, owns = rng.integers(-3, 4, (20, d)).astype(float), rng.choice(ids, 20)
+        for query, own, (found, scores, _) in zip(queries, owns, topk.nra(block, ids, queries, owns), strict=True):
             want = sorted((-s, i) for s, i in zip(block @ query, ids, strict=True) if i != own)[:5]
             assert [(-s, i) for s, i in zip(scores, found, strict=True)] == want
 
@@ -32,8 +30,8 @@ def test_nra_equals_all_scores():
 def test_search_stops_early():
     rng = np.random.default_rng(2)
     block = np.sort(np.abs(rng.normal(0, 100, (2000, 4))).astype(int).astype(float), axis=0)
-    found, _, read = topk.nra(block, np.arange(2000), np.array([1.0, 2.0, 1.0, 3.0]), -1)
-    assert list(found) == [1999, 1998, 1997, 1996, 1995] and read < 2000 * 4
+    found, _, read = next(topk.nra(block, np.arange(2000), np.array([[1.0, 2.0, 1.0, 3.0]]), np.array([-1])))
+    assert list(found) == [1999, 1998, 1997, 1996, 1995] and read < 2000
 
 
 def test_table(spark):
