@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quillsieve.plans import queries_stats, queries_text
+from quillsieve.plans import queries_labels, queries_stats, queries_text
 
-PARTS = [queries_text, queries_stats]
+PARTS = [queries_text, queries_stats, queries_labels]
 QUERIES = {k: v for part in PARTS for k, v in part.QUERIES.items()}
 SQL = {k: v for part in PARTS for k, v in part.SQL.items()}

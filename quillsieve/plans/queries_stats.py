@@ -179,10 +179,10 @@ def family_rollup(spark, sf_dir) -> DataFrame:
 
 
 @query(f"""WITH {PAIRED}, s AS (SELECT reader, source, ratio, vs, cluster, sum(d) AS s, count(*) AS m FROM p GROUP BY ALL), t AS (SELECT reader, source, ratio, vs, count(*) AS g, sum(s) / sum(m) AS mean, sum(m) AS n FROM s GROUP BY ALL)
-SELECT t.reader, t.source, t.ratio, t.vs, round(any_value(mean), 6) AS mean, round(sqrt(any_value(g) / (any_value(g) - 1) * sum(pow(s.s - s.m * mean, 2))) / any_value(n), 6) AS se FROM t JOIN s USING (reader, source, ratio, vs) WHERE g > 1 GROUP BY ALL""")
+SELECT t.reader, t.source, t.ratio, t.vs, round(any_value(mean), 9) AS mean, round(sqrt(any_value(g) / (any_value(g) - 1) * sum(pow(s.s - s.m * mean, 2))) / any_value(n), 9) AS se FROM t JOIN s USING (reader, source, ratio, vs) WHERE g > 1 GROUP BY ALL""")
 def cr1_se(spark, sf_dir) -> DataFrame:
     out = st.cr1(paired(spark, sf_dir), PKEYS, "cluster", "d").where("se IS NOT NULL")
-    return out.select(*PKEYS, F.round("mean", 6).alias("mean"), F.round("se", 6).alias("se"))
+    return out.select(*PKEYS, F.round("mean", 9).alias("mean"), F.round("se", 9).alias("se"))
 
 
 @query(f"""WITH {PAIRED}, s AS (SELECT source, ratio, cluster, sum(d) AS s FROM p WHERE reader = 'strong' AND vs = 'rival' GROUP BY ALL),
