@@ -18,10 +18,13 @@ ARTICLES = ("a", "an", "the")
 CHUNK_SEP = "\n\n"
 
 
-@F.pandas_udf("string")
-def nfc(texts: pd.Series) -> pd.Series:
+def nfc(text: Column) -> Column:
     """Unicode form NFC; Spark has no built-in for it."""
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+    def form(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+    return F.pandas_udf(form, "string")(text)
 
 
 def strip(text: Column) -> Column:
