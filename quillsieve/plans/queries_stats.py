@@ -85,10 +85,10 @@ def _boot_sql(rows: str, keys: str, value: str, draws: int = 200) -> str:
     )
 
 
-@query(f"WITH {FACTS}, {_boot_sql('f', 'reader, source, ratio, arm', 'f1')} SELECT reader, source, ratio, arm, round(quantile_cont(v, 0.025), 6) AS lo, round(quantile_cont(v, 0.975), 6) AS hi FROM bo GROUP BY ALL")
+@query(f"WITH {FACTS}, {_boot_sql('f', 'reader, source, ratio, arm', 'f1')} SELECT reader, source, ratio, arm, round(quantile_cont(v, 0.025), 9) AS lo, round(quantile_cont(v, 0.975), 9) AS hi FROM bo GROUP BY ALL")
 def cluster_bootstrap_ci(spark, sf_dir) -> DataFrame:
     boot = st.bootstrap(facts(spark, sf_dir), KEYS, "cluster", ["f1"])
-    return st.interval(boot, KEYS, "f1").select(*KEYS, F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
+    return st.interval(boot, KEYS, "f1").select(*KEYS, F.round("lo", 9).alias("lo"), F.round("hi", 9).alias("hi"))
 
 
 @query(
@@ -142,17 +142,17 @@ def retention_diff(spark, sf_dir) -> DataFrame:
     return both.select("source", "ratio", F.round(ours - rival, 6).alias("diff"))
 
 
-@query(f"WITH {FACTS} SELECT reader, arm, ratio, least(4, floor(pos * 5))::INT AS quintile, count(*) AS n, round(avg(f1), 6) AS f1 FROM (SELECT *, {HASH.format(salt='pos', key='doc_id')} AS pos FROM f) GROUP BY ALL")
+@query(f"WITH {FACTS} SELECT reader, arm, ratio, least(4, floor(pos * 5))::INT AS quintile, count(*) AS n, round(avg(f1), 9) AS f1 FROM (SELECT *, {HASH.format(salt='pos', key='doc_id')} AS pos FROM f) GROUP BY ALL")
 def depth_quintiles(spark, sf_dir) -> DataFrame:
     place = F.least(F.lit(4), F.floor(hash_unit(F.col("doc_id"), "pos") * 5)).cast("int")
-    return facts(spark, sf_dir).withColumn("quintile", place).groupBy("reader", "arm", "ratio", "quintile").agg(F.count("*").alias("n"), F.round(F.avg("f1"), 6).alias("f1"))
+    return facts(spark, sf_dir).withColumn("quintile", place).groupBy("reader", "arm", "ratio", "quintile").agg(F.count("*").alias("n"), F.round(F.avg("f1"), 9).alias("f1"))
 
 
-@query(f"WITH {FACTS}, m AS (SELECT reader, source, ratio, regexp_extract(arm, '^(.*)_s([0-9]+)$', 1) AS base, arm, avg(f1) AS f1 FROM f WHERE regexp_matches(arm, '_s[0-9]+$') GROUP BY ALL) SELECT reader, source, ratio, base, count(*) AS seeds, round(avg(f1), 6) AS mean, round(stddev_samp(f1), 6) AS sd FROM m GROUP BY ALL HAVING count(*) >= 2")
+@query(f"WITH {FACTS}, m AS (SELECT reader, source, ratio, regexp_extract(arm, '^(.*)_s([0-9]+)$', 1) AS base, arm, avg(f1) AS f1 FROM f WHERE regexp_matches(arm, '_s[0-9]+$') GROUP BY ALL) SELECT reader, source, ratio, base, count(*) AS seeds, round(avg(f1), 9) AS mean, round(stddev_samp(f1), 9) AS sd FROM m GROUP BY ALL HAVING count(*) >= 2")
 def seed_table(spark, sf_dir) -> DataFrame:
     seeded = facts(spark, sf_dir).where(F.col("arm").rlike(r"_s[0-9]+$")).withColumn("base", F.regexp_extract("arm", r"^(.*)_s([0-9]+)$", 1))
     means = seeded.groupBy("reader", "source", "ratio", "base", "arm").agg(F.avg("f1").alias("f1"))
-    out = means.groupBy("reader", "source", "ratio", "base").agg(F.count("*").alias("seeds"), F.round(F.avg("f1"), 6).alias("mean"), F.round(F.stddev_samp("f1"), 6).alias("sd"))
+    out = means.groupBy("reader", "source", "ratio", "base").agg(F.count("*").alias("seeds"), F.round(F.avg("f1"), 9).alias("mean"), F.round(F.stddev_samp("f1"), 9).alias("sd"))
     return out.where("seeds >= 2")
 
 
