@@ -85,10 +85,10 @@ def _boot_sql(rows: str, keys: str, value: str, draws: int = 200) -> str:
     )
 
 
-@query(f"WITH {FACTS}, {_boot_sql('f', 'reader, source, ratio, arm', 'f1')} SELECT reader, source, ratio, arm, round(quantile_cont(v, 0.025), 9) AS lo, round(quantile_cont(v, 0.975), 9) AS hi FROM bo GROUP BY ALL")
+@query(f"WITH {FACTS}, {_boot_sql('f', 'reader, source, ratio, arm', 'f1')} SELECT reader, source, ratio, arm, round(quantile_cont(v, 0.025), 12) AS lo, round(quantile_cont(v, 0.975), 12) AS hi FROM bo GROUP BY ALL")
 def cluster_bootstrap_ci(spark, sf_dir) -> DataFrame:
     boot = st.bootstrap(facts(spark, sf_dir), KEYS, "cluster", ["f1"])
-    return st.interval(boot, KEYS, "f1").select(*KEYS, F.round("lo", 9).alias("lo"), F.round("hi", 9).alias("hi"))
+    return st.interval(boot, KEYS, "f1").select(*KEYS, F.round("lo", 12).alias("lo"), F.round("hi", 12).alias("hi"))
 
 
 @query(
