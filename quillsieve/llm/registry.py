@@ -18,7 +18,6 @@ QUERIES = {
 }
 
 SQL = {
-    "op4_toxicity": toxicity.op4,
     "op7_decontamination": decontaminate.SQL,
     "op9_topk": topk.SQL,
     "op10_mixing": mixing.SQL,
