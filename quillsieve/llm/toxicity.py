@@ -218,13 +218,16 @@ def learn_insults(rows: list[tuple[frozenset, int]]) -> tuple[dict[str, float],
     n1, n0 = sum(y for _, y in rows), sum(1 - y for _, y in rows)
     if not n1 or not n0:
         return {}, {}
-    pos = [_keys(w) for w, y in rows if y]
-    count1: Counter = Counter()
+    # Keys are made anew for each pass: those of all documents at once would take a gigabyte.
+    pos = [w for w, y in rows if y]
     docs1: Counter = Counter()
-    for s in pos:
-        count1.update(s)
-        docs1.update(s.keys())
+    for w in pos:
+        docs1.update(_keys(w).keys())
     common = {k for k, n in docs1.items() if n >= 3}
+    del docs1
+    count1: Counter = Counter()
+    for w in pos:
+        count1.update({k: n for k, n in _keys(w).items() if k in common})
     count0: Counter = Counter()
     for w, y in rows:
         if not y:
@@ -232,7 +235,7 @@ def learn_insults(rows: list[tuple[frozenset, int]]) -> tuple[dict[str, float],
     fit = {k for k in common if count0[k] <= 0.02 * (n0 / n1) * count1[k]}
     least = math.log(max(1, len(fit))) + EVIDENCE
     rank = lambda n: lambda k: (round(_evidence(n[k], count0[k], n1, n0), 6), k[1], len(k[0]), k[0])
-    chosen, left, live = [], [{k: n for k, n in s.items() if k in fit} for s in pos], Counter({k: count1[k] for k in fit})
+    chosen, left, live = [], [{k: n for k, n in _keys(w).items() if k in fit} for w in pos], Counter({k: count1[k] for k in fit})
     while live:
         best = max(live, key=rank(live))
         if _evidence(live[best], count0[best], n1, n0) < least:
