@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillsieve.llm.base import checked_broadcast, stored, table, words
+from quillsieve.llm import setjoin
+from quillsieve.llm.base import checked_broadcast, dropped, stored, table, words
 from quillsieve.llm.components import connected_components
 
 #: Words of a shingle, and differing bits of linked fingerprints, under the query's contract.
@@ -115,12 +116,31 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, distance: int = DISTAN
     return prints.join(checked_broadcast(ids), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, size: int = PIPELINE_SHINGLE, distance: int = DISTANCE) -> DataFrame:
+def near_copies(docs: DataFrame, size: int = PIPELINE_SHINGLE, similarity: float = setjoin.SIMILARITY) -> DataFrame:
+    """(doc_id, component_id) of every row of docs(doc_id, text): component_id is the smallest doc_id reachable by links.
+
+    Texts are linked if the sets of their shingles of `size` words have that Jaccard similarity or
+    more, compared exactly. Texts of the same words are one vertex, those without words another one.
+    """
+    texts = docs.select("doc_id", setjoin.normal(F.col("text")).alias("t"))
+    ids = stored(texts.select("doc_id", F.xxhash64("t").alias("key")))
+    # Of the texts of one key any will do: they are the same words.
+    each = texts.groupBy(F.xxhash64("t").alias("key")).agg(F.min("t").alias("t"))
+    sets = each.select("key", words(F.col("t")).alias("w")).select("key", shingle_hashes(F.col("w"), size).alias("h"))
+    sets = stored(sets.select("key", F.array_distinct("h").alias("h")))
+    parts = stored(setjoin.similar_sets(sets, similarity))
+    dropped(sets)
+    found = stored(ids.join(checked_broadcast(parts), ids["key"] == parts["node"], "left").select("doc_id", F.coalesce("component", "key").alias("component")))
+    least = stored(found.groupBy("component").agg(F.min("doc_id").alias("component_id")))
+    return found.join(checked_broadcast(least), "component").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, size: int = PIPELINE_SHINGLE, similarity: float = setjoin.SIMILARITY) -> DataFrame:
     """The rows of docs but for near copies: of each group the row with the smallest doc_id stays.
 
     Of rows that repeat that doc_id one stays; rows without doc_id stay; an empty table stays empty.
     """
-    found = stored(near_duplicates(docs, size, distance))
+    found = stored(near_copies(docs, size, similarity))
     kept = stored(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")))
     out = docs.join(checked_broadcast(kept.select("doc_id")), "doc_id", "left_semi")
     if kept.where("n > 1").limit(1).count():
