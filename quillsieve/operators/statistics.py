@@ -16,7 +16,7 @@ def cluster_sums(rows: DataFrame, keys: list[str], cluster: str, values: list[st
     return sums.withColumn("j", F.row_number().over(cell.orderBy(cluster)) - 1).withColumn("k", F.count("*").over(cell))
 
 
-def bootstrap(rows: DataFrame, keys: list[str], cluster: str, values: list[str], draws: int = 200, salt: str = "boot") -> DataFrame:
+def bootstrap(rows: DataFrame, keys: list[str], cluster: str, values: list[str], draws: int = 10_000, salt: str = "boot") -> DataFrame:
     """(keys, b, values): means of values when clusters are drawn with replacement, `draws` times for each cell.
 
     Rows become one sum for each cluster before any draw. Draw b takes as its s-th cluster number

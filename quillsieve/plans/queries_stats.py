@@ -47,6 +47,8 @@ FACTS = (
     f"FROM documents, (VALUES {_CELLS}) AS c(reader, arm, ratio, base))"
 )
 KEYS = ["reader", "source", "ratio", "arm"]
+#: Draws of the registered queries, as their SQL has them; the operator's own default is the reference's.
+SQL_DRAWS = 200
 
 
 @query(f"WITH {FACTS} SELECT reader, source, ratio, arm, count(*) AS n, count(DISTINCT cluster) AS clusters, round(avg(f1), 9) AS f1, round(median(f1), 9) AS median, round(avg((f1 > 0.5)::INT), 9) AS over FROM f GROUP BY ALL")
@@ -87,7 +89,7 @@ def _boot_sql(rows: str, keys: str, value: str, draws: int = 200) -> str:
 
 @query(f"WITH {FACTS}, {_boot_sql('f', 'reader, source, ratio, arm', 'f1')} SELECT reader, source, ratio, arm, round(quantile_cont(v, 0.025), 12) AS lo, round(quantile_cont(v, 0.975), 12) AS hi FROM bo GROUP BY ALL")
 def cluster_bootstrap_ci(spark, sf_dir) -> DataFrame:
-    boot = st.bootstrap(facts(spark, sf_dir), KEYS, "cluster", ["f1"])
+    boot = st.bootstrap(facts(spark, sf_dir), KEYS, "cluster", ["f1"], SQL_DRAWS)
     return st.interval(boot, KEYS, "f1").select(*KEYS, F.round("lo", 12).alias("lo"), F.round("hi", 12).alias("hi"))
 
 
@@ -97,7 +99,7 @@ def cluster_bootstrap_ci(spark, sf_dir) -> DataFrame:
     "round(least(1.0, 2 * (least(count(*) FILTER (v <= 0), count(*) FILTER (v >= 0)) + 1) / (count(*) + 1)), 9) AS two_sided FROM bo GROUP BY ALL"
 )
 def directional_tests(spark, sf_dir) -> DataFrame:
-    boot = st.bootstrap(paired(spark, sf_dir), PKEYS, "cluster", ["d"])
+    boot = st.bootstrap(paired(spark, sf_dir), PKEYS, "cluster", ["d"], SQL_DRAWS)
     d = F.col("d")
     tests = [st.directional_p("superiority", d), st.directional_p("noninferiority", d, 0.02), st.directional_p("equivalence", d, 0.05), st.two_sided_p(d)]
     names = ("superiority", "noninferiority", "equivalence", "two_sided")
@@ -170,7 +172,7 @@ SELECT family, count(*) AS n_tests, count(*) FILTER (holm <= 0.05) AS n_supporte
 )
 def family_rollup(spark, sf_dir) -> DataFrame:
     """Pre-registered families: superiority over other arms, noninferiority to the full context; Holm inside each."""
-    boot = st.bootstrap(paired(spark, sf_dir).where("vs NOT LIKE 'abl%'"), PKEYS, "cluster", ["d"])
+    boot = st.bootstrap(paired(spark, sf_dir).where("vs NOT LIKE 'abl%'"), PKEYS, "cluster", ["d"], SQL_DRAWS)
     edge = F.when(F.col("vs") == "full", F.lit(-0.05)).otherwise(F.lit(0.0))
     p = (F.count_if(F.col("d") <= F.col("edge")) + 1) / (F.count("*") + 1)
     tests = boot.withColumn("edge", edge).groupBy(*PKEYS).agg(p.alias("p"))
