@@ -69,6 +69,11 @@ def word_count(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
+def row_hash() -> Column:
+    """What tells rows with doc_id and text apart; rows equal in both count as one."""
+    return F.xxhash64(F.coalesce(F.xxhash64("doc_id", F.lit(1)), F.lit(0)), "text")
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that df does not use, whatever columns it brings along."""
     taken = {c.lower() for c in df.columns}

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillsieve.llm.base import checked_broadcast, stored, table
+from quillsieve.llm.base import checked_broadcast, free_name, row_hash, stored, table
 
-#: Fixed masks: words at 1 are hashed, words at 0 may differ. Any three substitutions in 13 words leave one mask whole.
+#: Fixed masks: words at 1 are hashed, words at 0 may differ. Any two substitutions in 13 words leave one mask whole.
 MASKS = ("1101011", "110010101", "1110011")
 #: Words of a window, and the share of them that must agree place by place.
 WINDOW, SIMILARITY = 13, 0.8
@@ -78,9 +78,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple = MASKS, wi
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that overlap no benchmark item; rows without doc_id stay."""
-    found = stored(contaminated(docs, benchmark).select("doc_id").distinct())
-    return docs.join(checked_broadcast(found), "doc_id", "left_anti").select(docs.columns)
+    """The rows of docs that overlap no benchmark item, told apart by doc_id and text; all columns stay as they are."""
+    found = contaminated(docs.select(row_hash().alias("doc_id"), "text"), benchmark)
+    name = free_name(docs, "_row")
+    found = stored(found.select(F.col("doc_id").alias(name)).distinct())
+    return docs.withColumn(name, row_hash()).join(checked_broadcast(found), name, "left_anti").select(docs.columns)
 
 
 def op7(spark, sf_dir) -> DataFrame:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillsieve.llm.base import checked_broadcast, stored, table, word_count
+from quillsieve.llm.base import checked_broadcast, free_name, stored, table, word_count
 
 #: Weights of the sources in code-point order, null last, over and over.
 WEIGHTS = (5, 2, 1)
@@ -137,13 +137,15 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, repeats
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs that the mix takes, with size, source_size, target and taken added.
 
-    Rows are told apart by doc_id and text; of equal rows each is joined with the largest taken.
+    Rows are told apart by doc_id and text; of equal rows each is joined with the largest taken. All
+    columns of docs stay as they are; where one has the name of an added one, that gets an underscore more.
     """
-    found = mix(docs).withColumn("_row", F.xxhash64("doc_id", "_text"))
-    found = stored(found.where("taken > 0").groupBy("_row").agg(*[F.max(c).alias(c) for c in ("size", "source_size", "target", "taken")]))
-    keep = [c for c in docs.columns if c.lower() not in {"size", "source_size", "target", "taken"}]
-    rows = docs.select(*keep, F.xxhash64("doc_id", F.md5(F.coalesce("text", F.lit("")))).alias("_row"))
-    return rows.join(checked_broadcast(found), "_row").select(*keep, "size", "source_size", "target", "taken")
+    added = {c: free_name(docs, c) for c in ("size", "source_size", "target", "taken")}
+    name = free_name(docs, "_row")
+    found = mix(docs).where("taken > 0").withColumn("_of", F.xxhash64("doc_id", "_text")).groupBy("_of")
+    found = stored(found.agg(*[F.max(c).alias(f"_{c}") for c in added]).select(F.col("_of").alias(name), *[F.col(f"_{c}").alias(f"{c}{name}") for c in added]))
+    rows = docs.withColumn(name, F.xxhash64("doc_id", F.md5(F.coalesce("text", F.lit("")))))
+    return rows.join(checked_broadcast(found), name).select(*docs.columns, *[F.col(f"{c}{name}").alias(as_) for c, as_ in added.items()])
 
 
 #: The same mix in SQL, written plainly: one running sum for each source, one over all finish times.

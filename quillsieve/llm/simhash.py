@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillsieve.llm import setjoin
-from quillsieve.llm.base import checked_broadcast, dropped, stored, table, words
+from quillsieve.llm.base import checked_broadcast, dropped, free_name, row_hash, stored, table, words
 from quillsieve.llm.components import connected_components
 
 #: Words of a shingle, and differing bits of linked fingerprints, under the query's contract.
@@ -122,30 +122,40 @@ def near_copies(docs: DataFrame, size: int = PIPELINE_SHINGLE, similarity: float
     Texts are linked if the sets of their shingles of `size` words have that Jaccard similarity or
     more, compared exactly. Texts of the same words are one vertex, those without words another one.
     """
-    texts = docs.select("doc_id", setjoin.normal(F.col("text")).alias("t"))
-    ids = stored(texts.select("doc_id", F.xxhash64("t").alias("key")))
-    # Of the texts of one key any will do: they are the same words.
-    each = texts.groupBy(F.xxhash64("t").alias("key")).agg(F.min("t").alias("t"))
-    sets = each.select("key", words(F.col("t")).alias("w")).select("key", shingle_hashes(F.col("w"), size).alias("h"))
+    found = _components(docs, size, similarity)
+    least = stored(found.groupBy("component").agg(F.min("doc_id").alias("component_id")))
+    return found.join(checked_broadcast(least), "component").select("doc_id", "component_id")
+
+
+def _components(docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(doc_id, row, component) of every row of docs(doc_id, text)."""
+    rows = docs.select("doc_id", row_hash().alias("row"), setjoin.normal(F.col("text")).alias("t"))
+    ids = stored(rows.select("doc_id", "row", F.xxhash64("t").alias("key")))
+    # Of the rows of one key any will do: they are the same words.
+    chosen = stored(ids.groupBy("key").agg(F.min("row").alias("row")))
+    each = rows.select("row", words(F.col("t")).alias("w")).join(checked_broadcast(chosen), "row")
+    sets = each.select("key", shingle_hashes(F.col("w"), size).alias("h"))
     sets = stored(sets.select("key", F.array_distinct("h").alias("h")))
     parts = stored(setjoin.similar_sets(sets, similarity))
     dropped(sets)
-    found = stored(ids.join(checked_broadcast(parts), ids["key"] == parts["node"], "left").select("doc_id", F.coalesce("component", "key").alias("component")))
-    least = stored(found.groupBy("component").agg(F.min("doc_id").alias("component_id")))
-    return found.join(checked_broadcast(least), "component").select("doc_id", "component_id")
+    return stored(ids.join(checked_broadcast(parts), ids["key"] == parts["node"], "left").select("doc_id", "row", F.coalesce("component", "key").alias("component")))
 
 
 def keep_one(docs: DataFrame, size: int = PIPELINE_SHINGLE, similarity: float = setjoin.SIMILARITY) -> DataFrame:
     """The rows of docs but for near copies: of each group the row with the smallest doc_id stays.
 
-    Of rows that repeat that doc_id one stays; rows without doc_id stay; an empty table stays empty.
+    Rows are told apart by doc_id and text: of rows of a group that share the smallest doc_id one
+    stays, the same in every run, and rows that repeat a doc_id with unlike texts all stay. Rows
+    without doc_id come after all others of their group. An empty table stays empty; other columns
+    are kept as they are.
     """
-    found = stored(near_copies(docs, size, similarity))
-    kept = stored(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")))
-    out = docs.join(checked_broadcast(kept.select("doc_id")), "doc_id", "left_semi")
-    if kept.where("n > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id"])
-    return out.select(docs.columns).union(docs.where("doc_id IS NULL"))
+    found = _components(docs.select("doc_id", "text"), size, similarity)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first")
+    kept = stored(found.groupBy("component").agg(first).select(F.col("first.row").alias("row")))
+    repeated = found.groupBy("row").count().where("count > 1").limit(1).count()
+    name = free_name(docs, "_row")
+    out = docs.withColumn(name, row_hash()).join(checked_broadcast(kept.withColumnRenamed("row", name)), name, "left_semi")
+    return (out.dropDuplicates([name]) if repeated else out).select(docs.columns)
 
 
 def op3(spark, sf_dir) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillsieve.llm.base import checked_broadcast, stored, table
+from quillsieve.llm.base import checked_broadcast, free_name, row_hash, stored, table
 
 #: Labelled rows of each class that are learned from, on average, chosen by a hash of doc_id; all, if there are fewer.
 SAMPLE = 4000
@@ -235,7 +235,8 @@ def learn_insults(rows: list[tuple[frozenset, int]]) -> tuple[dict[str, float],
     fit = {k for k in common if count0[k] <= 0.02 * (n0 / n1) * count1[k]}
     least = math.log(max(1, len(fit))) + EVIDENCE
     rank = lambda n: lambda k: (round(_evidence(n[k], count0[k], n1, n0), 6), k[1], len(k[0]), k[0])
-    chosen, left, live = [], [{k: n for k, n in _keys(w).items() if k in fit} for w in pos], Counter({k: count1[k] for k in fit})
+    one = {k: k for k in fit}  # the same key objects in all documents
+    chosen, left, live = [], [{one[k]: n for k, n in _keys(w).items() if k in one} for w in pos], Counter({k: count1[k] for k in fit})
     while live:
         best = max(live, key=rank(live))
         if _evidence(live[best], count0[best], n1, n0) < least:
@@ -300,7 +301,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(words, pa.list_(pa.string())), batch.column("toxic").cast(pa.int32())], names=["doc_id", "words", "toxic"])
 
     seen = rows.select("doc_id", "text", "toxic").mapInArrow(reduce, "doc_id long, words array<string>, toxic int").toArrow()
-    learned = [(frozenset(w), y) for w, y in zip(seen.column("words").to_pylist(), seen.column("toxic").to_pylist(), strict=True)]
+    learned = []
+    for batch in seen.to_batches():
+        # One string for each different word, however many documents have it.
+        coded = batch.column("words").flatten().dictionary_encode()
+        known_words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        ends = batch.column("words").offsets.to_numpy() - batch.column("words").offsets[0].as_py()
+        learned += [(frozenset(known_words[i] for i in at[a:b]), y) for a, b, y in zip(ends, ends[1:], batch.column("toxic").to_pylist(), strict=False)]
+    del seen
     whole, stems = learn_insults(learned)
     blank = Model(whole, stems, np.zeros(len(FEATURES)), 0.0)
 
@@ -310,6 +318,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column("toxic").cast(pa.int32())], names=["x", "toxic"])
 
     found = rows.select("text", "toxic").mapInArrow(measure, "x array<double>, toxic int").toArrow()
+    if not found.num_rows:  # labels, but no documents
+        return Model({}, {}, np.zeros(len(FEATURES)), 0.0)
     x, y = np.array(found.column("x").to_pylist()), np.array(found.column("toxic").to_pylist(), dtype=float)
     order = np.lexsort(np.column_stack([x, y]).T)
     weights, bias = fit_weights(x[order], y[order], np.where(y[order] == 1, 1 / rate[1], 1 / rate[0]))
@@ -346,6 +356,9 @@ def op4(spark, sf_dir) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
-    """The rows of docs that score below the cut; rows without doc_id stay."""
-    bad = stored(scored(docs, fit(docs, labels)).where(F.col("score") >= cut).select("doc_id").distinct())
-    return docs.join(checked_broadcast(bad), "doc_id", "left_anti").select(docs.columns)
+    """The rows of docs that score below the cut, told apart by doc_id and text; all columns stay as they are."""
+    model = fit(docs.select("doc_id", "text"), labels)
+    name = free_name(docs, "_row")
+    found = scored(docs.select(row_hash().alias("doc_id"), "text"), model).where(F.col("score") >= cut)
+    bad = stored(found.select(F.col("doc_id").alias(name)).distinct())
+    return docs.withColumn(name, row_hash()).join(checked_broadcast(bad), name, "left_anti").select(docs.columns)
