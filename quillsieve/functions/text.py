@@ -1,6 +1,6 @@
 """Text normalisation and answer metrics as column expressions.
 
-Texts are taken to be in Unicode form NFC, as the test tables are; nfc() brings others there.
+The expressions take texts in Unicode form NFC; in_nfc() brings the columns of a table there, once, before they are used.
 """
 
 from __future__ import annotations
@@ -8,7 +8,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Answers that say only yes or no, in English and Vietnamese; English articles.
@@ -27,6 +27,17 @@ def nfc(text: Column) -> Column:
     return F.pandas_udf(form, "string")(text)
 
 
+def in_nfc(docs: DataFrame, *columns: str) -> DataFrame:
+    """docs with texts and lists of texts in form NFC. One Arrow pass over the named columns; nulls stay."""
+    kinds = dict(docs.dtypes)
+
+    def lists(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda ts: None if ts is None else [None if t is None else unicodedata.normalize("NFC", t) for t in ts])
+
+    listed = F.pandas_udf(lists, "array<string>")
+    return docs.withColumns({c: listed(F.col(c)) if kinds[c] == "array<string>" else nfc(F.col(c)) for c in columns})
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
@@ -38,8 +49,7 @@ def norm(text: Column) -> Column:
 
 def terms(text: Column) -> Column:
     """Lower-case runs of letters, digits and underscores."""
-    spaced = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_\s]", " ")
-    return F.filter(F.split(spaced, r"\s+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+"), "")
 
 
 def normalize_answer(text: Column) -> Column:
@@ -49,7 +59,7 @@ def normalize_answer(text: Column) -> Column:
 
 def token_count(text: Column) -> Column:
     """Words between white space; the default of every budget."""
-    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda t: t != ""))
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), r"\s+"), ""))
 
 
 def is_yes_no(text: Column) -> Column:
@@ -75,9 +85,9 @@ def split_sentences(text: Column) -> Column:
 
 
 def overlap(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two lists of tokens."""
+    """Size of the multiset intersection of two lists of tokens; only tokens of both are counted."""
     count = lambda xs, t: F.size(F.filter(xs, lambda x: x == t))
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda n, t: n + F.least(count(a, t), count(b, t)))
+    return F.aggregate(F.array_intersect(a, b), F.lit(0), lambda n, t: n + F.least(count(a, t), count(b, t)))
 
 
 def f1_of_tokens(p: Column, r: Column) -> Column:
@@ -88,26 +98,25 @@ def f1_of_tokens(p: Column, r: Column) -> Column:
     return F.when(empty, ((F.size(p) == 0) & (F.size(r) == 0)).cast("double")).otherwise(score)
 
 
+def _over_answers(prediction: Column, answers: Column, each) -> Column:
+    """each(p, r) for the normalised prediction and each normalised answer. Token lists pass through lists of one, so that a text is split once."""
+    bound = F.array(F.named_struct(F.lit("p"), normalize_answer(prediction), F.lit("rs"), F.transform(answers, lambda a: normalize_answer(a))))
+    return F.flatten(F.transform(bound, lambda x: F.transform(x["rs"], lambda r: each(x["p"], r))))
+
+
 def token_f1(prediction: Column, answers: Column) -> Column:
     """The best F1 over aliases; 0 without any."""
-    p = normalize_answer(prediction)
-    return F.coalesce(F.array_max(F.transform(answers, lambda a: f1_of_tokens(p, normalize_answer(a)))), F.lit(0.0))
+    return F.coalesce(F.array_max(_over_answers(prediction, answers, f1_of_tokens)), F.lit(0.0))
 
 
 def exact_match(prediction: Column, answers: Column) -> Column:
-    p = normalize_answer(prediction)
-    return F.exists(answers, lambda a: normalize_answer(a) == p).cast("double")
+    return F.exists(_over_answers(prediction, answers, lambda p, r: p == r), lambda x: x).cast("double")
 
 
 def answer_recall(prediction: Column, answers: Column) -> Column:
     """The largest share of an alias's tokens that the prediction has; empty aliases don't count."""
-    p = normalize_answer(prediction)
-
-    def one(a: Column) -> Column:
-        r = normalize_answer(a)
-        return F.when(F.size(r) > 0, overlap(r, p) / F.size(r)).otherwise(F.lit(0.0))
-
-    return F.coalesce(F.array_max(F.transform(answers, one)), F.lit(0.0))
+    one = lambda p, r: F.when(F.size(r) > 0, overlap(r, p) / F.size(r)).otherwise(F.lit(0.0))
+    return F.coalesce(F.array_max(_over_answers(prediction, answers, one)), F.lit(0.0))
 
 
 def gold_recall(kept: Column, gold: Column) -> Column:

@@ -19,24 +19,36 @@ Scorer = Callable[[Column, Column], Column]
 def bm25(question: Column, chunks: Column, k1: float = 1.5, b: float = 0.75) -> Column:
     """BM25 of each chunk, document frequencies taken over the document's own chunks; repeated query terms count each time."""
 
+    asked = terms(question)
+
+    def counted(words: Column, sought: Column) -> Column:
+        """A chunk's length and those of its words that are asked for."""
+        return F.named_struct(F.lit("n"), F.size(words), F.lit("hits"), F.filter(words, lambda w: F.array_contains(sought, w)))
+
     def of(d: Column) -> Column:
-        docs, asked = d["docs"], d["asked"]
+        docs = d["docs"]
         n = F.size(docs)
-        mean = F.greatest(F.aggregate(docs, F.lit(0), lambda s, x: s + F.size(x)) / F.greatest(n, F.lit(1)), F.lit(1e-9))
-        frequency = F.transform(asked, lambda t: F.named_struct(F.lit("t"), t, F.lit("df"), F.size(F.filter(docs, lambda x: F.array_contains(x, t)))))
+        mean = F.greatest(F.aggregate(docs, F.lit(0), lambda s, x: s + x["n"]) / F.greatest(n, F.lit(1)), F.lit(1e-9))
+        frequency = F.transform(d["asked"], lambda t: F.named_struct(F.lit("t"), t, F.lit("df"), F.size(F.filter(docs, lambda x: F.array_contains(x["hits"], t)))))
+        weighed = F.transform(frequency, lambda q: F.named_struct(F.lit("t"), q["t"], F.lit("idf"), F.log(1 + (n - q["df"] + 0.5) / (q["df"] + 0.5))))
+
+        def scores(x: Column) -> Column:
+            """All chunks' scores; each reads only its few words that are asked for."""
 
-        def score(x: Column) -> Column:
-            def add(s: Column, q: Column) -> Column:
-                tf = F.size(F.filter(x, lambda w: w == q["t"]))
-                idf = F.log(1 + (n - q["df"] + 0.5) / (q["df"] + 0.5))
-                return s + F.when(tf == 0, F.lit(0.0)).otherwise(idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.size(x) / mean)))
+            def score(c: Column) -> Column:
+                def add(s: Column, q: Column) -> Column:
+                    tf = F.size(F.filter(c["hits"], lambda w: w == q["t"]))
+                    return s + F.when(tf == 0, F.lit(0.0)).otherwise(q["idf"] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * c["n"] / x["mean"])))
 
-            return F.round(F.aggregate(frequency, F.lit(0.0), add), 9)
+                return F.when(F.size(c["hits"]) == 0, F.lit(0.0)).otherwise(F.round(F.aggregate(x["weighed"], F.lit(0.0), add), 9))
 
-        return F.transform(docs, score)
+            return F.transform(docs, score)
 
-    # Tokens and frequencies pass through a list of one, so that they are made once a document.
-    held = F.array(F.named_struct(F.lit("docs"), F.transform(chunks, lambda c: terms(c)), F.lit("asked"), terms(question)))
+        return F.flatten(F.transform(F.array(F.named_struct(F.lit("weighed"), weighed, F.lit("mean"), mean)), scores))
+
+    # Tokens, frequencies and the mean pass through lists of one, so that they are made once a document.
+    sought = F.array(F.named_struct(F.lit("asked"), asked, F.lit("each"), F.array_distinct(asked)))
+    held = F.transform(sought, lambda q: F.named_struct(F.lit("asked"), q["asked"], F.lit("docs"), F.transform(chunks, lambda c: counted(terms(c), q["each"]))))
     return F.flatten(F.transform(held, of))
 
 
@@ -70,15 +82,19 @@ def fused(*scores: Column, k: float = 60.0) -> Column:
     """Reciprocal rank fusion of two or more score lists."""
     if len(scores) < 2:
         raise ValueError("rank fusion takes two or more scorers")
-    # The orders pass through a list of one, so that each is made once a document.
-    orders = F.array(F.array(*[ranking(s) for s in scores]))
+    def places(order: Column) -> Column:
+        """The place of each chunk, by its number."""
+        turned = F.transform(order, lambda i, at: F.named_struct(F.lit("i"), i, F.lit("at"), at))
+        return F.transform(F.array_sort(turned), lambda x: x["at"])
+
+    # The places pass through a list of one, so that they are made once a document.
+    held = F.array(F.array(*[places(ranking(s)) for s in scores]))
 
     def of(o: Column) -> Column:
-        places = F.sequence(F.lit(0), F.size(o[0]) - 1)
-        total = lambda i: sum((1.0 / (k + F.array_position(o[j], i)) for j in range(len(scores))), F.lit(0.0))
-        return F.when(F.size(o[0]) == 0, F.array().cast("array<double>")).otherwise(F.transform(places, total))
+        total = lambda at, i: sum((1.0 / (k + 1 + (at if j == 0 else F.get(o[j], i))) for j in range(len(scores))), F.lit(0.0))
+        return F.transform(o[0], total)
 
-    return F.flatten(F.transform(orders, of))
+    return F.flatten(F.transform(held, of))
 
 
 def dot(a: Column, b: Column) -> Column:

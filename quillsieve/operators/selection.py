@@ -15,6 +15,11 @@ def budget(full_tokens: Column, ratio: Column | float) -> Column:
     return F.greatest(F.lit(1), F.ceil(full_tokens / ratio).cast("int"))
 
 
+def over_budget(kept_tokens: Column, limit: Column, tolerance: float = 0.02) -> Column:
+    """Whether a selection keeps more tokens than its budget allows, beyond a tolerance for arms that compress to a rate."""
+    return kept_tokens > limit * (1 + tolerance)
+
+
 def greedy(scores: Column, lengths: Column, limit: Column, separator: int = 0) -> Column:
     """(kept, used): chunks by falling score, each taken if it and its separator still fit; in the order taken."""
     start = F.named_struct(F.lit("kept"), F.array().cast(_INTS), F.lit("used"), F.lit(0))

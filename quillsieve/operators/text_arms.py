@@ -37,14 +37,14 @@ class Truncation(Compressor):
 
 def fitted(tool: Compressor, question: str, chunks: list[str], ratio: float, budget: int) -> tuple[str, bool]:
     """A text within the budget, and whether its tail had to be cut: each attempt tightens by what the last was over."""
-    rate, target, text = ratio, budget, ""
+    rate, target, text = ratio, float(budget), ""
     for _ in range(TARGET_ATTEMPTS if tool.takes_target else RATE_ATTEMPTS):
-        text = tool.compress(question, chunks, rate, target if tool.takes_target else None)
+        text = tool.compress(question, chunks, rate, int(target) if tool.takes_target else None)
         n = tool.count(text)
         if n <= budget:
             return text, False
         rate *= RATE_MARGIN * n / budget
-        target = max(1, int(target * TARGET_MARGIN * budget / n))
+        target = max(1.0, target * TARGET_MARGIN * budget / n)  # cut to whole tokens on the call only
     return tool.cut(text, budget), True
 
 

@@ -9,31 +9,41 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillsieve.functions.text import terms
+from quillsieve.functions.text import contains_answer, terms
 
 SOURCES = ("beta", "ensemble", "span", "answer", "loo_bin")
 
 
 def examples(labels: DataFrame, source: str = "beta", threshold: float = 0.0, prior: list[float] | None = None) -> DataFrame:
-    """labels(doc_id, question, chunks, gold_chunks, beta, z, informative, estimator) with a target list, informative documents only.
+    """labels(doc_id, question, answers, chunks, gold_chunks, beta, z, informative, estimator) with a target and a gold list, informative documents only.
 
-    span and answer mark gold chunks and drop documents without any; loo_bin marks leave-one-out
-    utilities above the threshold and refuses other records; a prior by relative place is subtracted from z.
+    span marks gold chunks, of documents without any as well. answer marks chunks that contain an
+    answer, loo_bin leave-one-out utilities above the threshold; both leave out documents without a
+    marked chunk and take the marked ones for gold. loo_bin refuses any other record, informative or
+    not. Else the target is z, less a prior by relative place if there is one.
     """
     if source not in SOURCES:
         raise ValueError(f"unknown label source: {source}")
-    marked = F.transform("chunks", lambda c, i: F.array_contains("gold_chunks", i).cast("double"))
-    if source in ("span", "answer"):
-        return labels.withColumn("target", marked).where(F.size("gold_chunks") > 0)
-    kept = labels.where("informative")
     if source == "loo_bin":
-        kept = kept.where(F.assert_true(F.col("estimator") == "loo", F.lit("binary labels take leave-one-out records")).isNull())
-        return kept.withColumn("target", F.transform("beta", lambda b: (b > threshold).cast("double"))).where(F.exists("target", lambda t: t > 0))
-    if prior:
-        bins = F.array(*[F.lit(float(p)) for p in prior])
-        place = lambda i: F.least(F.lit(len(prior)), F.floor(len(prior) * i / F.greatest(F.lit(1), F.size("z"))) + 1).cast("int")
-        return kept.withColumn("target", F.transform("z", lambda z, i: z - F.element_at(bins, place(i))))
-    return kept.withColumn("target", F.col("z"))
+        labels = labels.where(F.assert_true(F.col("estimator") == "loo", F.lit("binary labels take leave-one-out records")).isNull())
+    kept = labels.where("informative")
+    numbers = F.sequence(F.lit(0), F.size("chunks") - 1)
+    if source == "span":
+        gold = F.col("gold_chunks")
+    elif source == "answer":
+        gold = F.filter(numbers, lambda i: contains_answer(F.get("chunks", i), F.col("answers")))
+    elif source == "loo_bin":
+        gold = F.filter(numbers, lambda i: F.get("beta", i) > threshold)
+    else:
+        target = F.col("z")
+        if prior:
+            bins = F.array(*[F.lit(float(p)) for p in prior])
+            place = lambda i: F.least(F.lit(len(prior)), F.floor(len(prior) * i / F.greatest(F.lit(1), F.size("z"))) + 1).cast("int")
+            target = F.transform("z", lambda z, i: z - F.element_at(bins, place(i)))
+        return kept.withColumn("target", target).withColumn("gold", F.col("gold_chunks"))
+    marked = kept.withColumn("gold", F.when(F.size("chunks") > 0, gold).otherwise(F.array().cast("array<int>")))
+    marked = marked.withColumn("target", F.transform("chunks", lambda c, i: F.array_contains("gold", i).cast("double")))
+    return marked if source == "span" else marked.where(F.size("gold") > 0)
 
 
 def softmax(xs: Column) -> Column:

@@ -13,10 +13,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if its files have fewer splits than that; larger tables are left as they are scanned."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def doc_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of two or more lines: chunks are lines, the middle one is gold; its first words ask, the next answer."""
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
-    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", lines.alias("chunks")).where(F.size("chunks") >= 2)
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")).select("doc_id", "lang", "source", lines.alias("chunks")).where(F.size("chunks") >= 2)
     gold = F.floor(F.size("chunks") / 2).cast("int")
     words = F.filter(F.split(F.element_at("chunks", F.col("gold") + 1), r"\s+"), lambda w: w != "")
     rows = rows.withColumn("gold", gold).withColumn("words", words).where(F.size("words") >= 10)
@@ -45,7 +51,8 @@ def qa_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scored_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_docs with word counts and BM25 scores of their chunks."""
     docs = doc_docs(spark, sf_dir)
-    return docs.withColumn("lengths", F.transform("chunks", lambda c: token_count(c))).withColumn("bm25", scoring.bm25(F.col("question"), F.col("chunks")))
+    made = F.struct(F.transform("chunks", lambda c: token_count(c)).alias("lengths"), scoring.bm25(F.col("question"), F.col("chunks")).alias("bm25"))
+    return docs.select("*", F.inline(F.array(made)))  # a generator of one row: made once, not at each use
 
 
 #: The same derivations in SQL. d: documents; c: chunks; s: chunks with BM25.

@@ -74,9 +74,9 @@ def sentence_split(spark, sf_dir) -> DataFrame:
 @query(f"WITH {SCORED_SQL} SELECT doc_id, i AS chunk, bm25 AS score, rank::INT AS rank FROM s")
 def bm25_scores(spark, sf_dir) -> DataFrame:
     docs = scored_docs(spark, sf_dir)
-    docs = docs.withColumn("order", scoring.ranking(F.col("bm25")))
-    long = docs.select("doc_id", "order", F.posexplode("bm25").alias("chunk", "score"))
-    return long.select("doc_id", "chunk", "score", F.array_position("order", F.col("chunk")).cast("int").alias("rank"))
+    ranked = F.array_sort(F.transform("bm25", lambda s, i: F.struct((-s).alias("k"), i.alias("i"))))
+    long = docs.select("doc_id", F.posexplode(ranked).alias("place", "x"))
+    return long.select("doc_id", F.col("x.i").alias("chunk"), (F.lit(0.0) - F.col("x.k")).alias("score"), (F.col("place") + 1).alias("rank"))
 
 
 @query(f"WITH {DOCS_SQL}, x AS (SELECT doc_id, unnest(range(0, len(chunks))) AS i FROM d) SELECT doc_id, i::INT AS chunk, -i::DOUBLE AS lead, round({HASH.format(salt='random', key='doc_id || chr(58) || i')}, 12) AS random FROM x")
@@ -157,6 +157,48 @@ def bm25_budget_report(spark, sf_dir) -> DataFrame:
     )
 
 
+@query(
+    f"WITH {_GREEDY} SELECT source, ratio, count(*) AS n, count(DISTINCT source) AS n_clusters, round(avg(full_tokens / greatest(1, kept_tokens)), 6) AS compression, round(avg(truncated::INT), 6) AS truncated_rate, "
+    "round(avg((kept_tokens > budget * 1.02::DOUBLE)::INT), 6) AS over_budget_rate, round(avg(kept_tokens), 6) AS tokens, round(avg(list_contains(kept, gold)::INT), 6) AS all_gold_rate FROM sel GROUP BY ALL"
+)
+def cell_summary(spark, sf_dir) -> DataFrame:
+    """What each cell of source and ratio keeps: compression, truncated and over-budget shares, tokens, documents that keep all gold chunks."""
+    rows = selections(spark, sf_dir)
+    whole = F.size(F.array_except("gold_chunks", "kept")) == 0
+    return rows.groupBy("source", "ratio").agg(
+        F.count("*").alias("n"), F.count_distinct("cluster_id").alias("n_clusters"), F.round(F.avg(F.col("full_tokens") / F.greatest(F.lit(1), "kept_tokens")), 6).alias("compression"),
+        F.round(F.avg(F.col("truncated").cast("int")), 6).alias("truncated_rate"), F.round(F.avg(selection.over_budget(F.col("kept_tokens"), F.col("budget")).cast("int")), 6).alias("over_budget_rate"),
+        F.round(F.avg("kept_tokens"), 6).alias("tokens"), F.round(F.avg(whole.cast("int")), 6).alias("all_gold_rate"),
+    )
+
+
+_LEAD_KEPT = """, lo AS (SELECT doc_id, list({'i': i, 't': tokens} ORDER BY i) AS o FROM s GROUP BY doc_id),
+lg AS (SELECT sel.*, lo.o, list_reduce(list_transform(lo.o, lambda x: {'k': [x.i], 'u': x.t::INT, 'f': true}), lambda a, x: CASE WHEN a.u + x.u <= sel.budget THEN {'k': list_concat(a.k, x.k), 'u': a.u + x.u, 'f': true} ELSE a END, {'k': []::INT[], 'u': 0, 'f': true}) AS a FROM sel JOIN lo USING (doc_id)),
+realised AS (SELECT source, ratio, kept_tokens, CASE WHEN len(a.k) = 0 THEN least(budget, o[1].t) ELSE a.u END AS lead_tokens FROM lg)"""
+
+
+@query(
+    f"WITH {_GREEDY}{_LEAD_KEPT}, r AS (SELECT source, ratio, count(*) AS n, avg(kept_tokens) / greatest(1.0::DOUBLE, avg(lead_tokens)) AS t FROM realised GROUP BY ALL) "
+    "SELECT source, ratio, n, round(t, 6) AS tokens_ratio, abs(t - 1.0::DOUBLE) > 0.1::DOUBLE AS budget_mismatch FROM r"
+)
+def budget_mismatch(spark, sf_dir) -> DataFrame:
+    """Realised tokens of BM25 selection against leading chunks on the same documents, and whether they are too far apart to compare."""
+    docs = scored_docs(spark, sf_dir).withColumn("full_tokens", F.aggregate("lengths", F.lit(0), lambda a, x: a + x))
+    wide = docs.withColumn("ratio", F.explode(F.array(*[F.lit(r) for r in (2.0, 4.0, 8.0)]))).withColumn("budget", selection.budget(F.col("full_tokens"), F.col("ratio")))
+    kept = lambda scores: selection.select_chunks(F.col("chunks"), scores, F.col("lengths"), F.col("budget"))["kept_tokens"]
+    rows = wide.select("source", "ratio", kept(F.col("bm25")).alias("ours"), kept(scoring.lead(F.col("question"), F.col("chunks"))).alias("other"))
+    ratio = F.avg("ours") / F.greatest(F.lit(1.0), F.avg("other"))
+    found = rows.groupBy("source", "ratio").agg(F.count("*").alias("n"), ratio.alias("t"))
+    return found.select("source", "ratio", "n", F.round("t", 6).alias("tokens_ratio"), (F.abs(F.col("t") - 1) > 0.1).alias("budget_mismatch"))
+
+
+@query("SELECT conv_id, turn, nfc_normalize(text || 'e' || chr(769) || ' o' || chr(770) || chr(777)) AS text FROM conversations")
+def normalize_nfc(spark, sf_dir) -> DataFrame:
+    """Turns with decomposed letters behind them, in form NFC."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat("text", F.lit("e\u0301 o\u0302\u0309")).alias("text"))
+    return text.in_nfc(rows, "text")
+
+
 _NORMAL = "list_filter(" + TERMS + ", lambda t: t NOT IN ('a', 'an', 'the'))"
 
 

@@ -59,3 +59,22 @@ def test_readers_and_training(spark):
     for threshold, want in ((0.0, [0, 1, 0, 1, 1]), (0.25, [0, 1, 0, 1, 0]), (-0.5, [1] * 5)):
         assert training.examples(labels, "loo_bin", threshold).first()["target"] == want
     assert training.group_size(4, 10, 9) == 2
+
+
+def test_training_examples_by_source(spark):
+    row = lambda d, chunks, gold, informative, estimator: (d, "q", ["Paris"], chunks, gold, [0.5, -0.1], [1.0, -1.0], informative, estimator)
+    data = [row("a", ["in Paris", "x"], [1], True, "ridge"), row("b", ["y", "x"], [], True, "ridge"), row("c", ["in paris", "x"], [0], False, "ridge")]
+    labels = spark.createDataFrame(data, "doc_id string, question string, answers array<string>, chunks array<string>, gold_chunks array<int>, beta array<double>, z array<double>, informative boolean, estimator string")
+    found = lambda source, **more: {r["doc_id"]: (r["target"], r["gold"]) for r in training.examples(labels, source, **more).collect()}
+    assert found("span") == {"a": ([0.0, 1.0], [1]), "b": ([0.0, 0.0], [])}
+    assert found("answer") == {"a": ([1.0, 0.0], [0])}
+    assert found("beta") == {"a": ([1.0, -1.0], [1]), "b": ([1.0, -1.0], [])}
+    with pytest.raises(Exception, match="leave-one-out"):
+        found("loo_bin")
+
+
+def test_nfc_of_texts_and_lists(spark):
+    from quillsieve.functions import text
+
+    docs = spark.createDataFrame([("tie\u0302\u0301ng", ["Vie\u0323\u0302t", None]), (None, None)], "t string, xs array<string>")
+    assert [tuple(r) for r in text.in_nfc(docs, "t", "xs").collect()] == [("tiếng", ["Việt", None]), (None, None)]
