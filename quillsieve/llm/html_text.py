@@ -38,6 +38,8 @@ MARKED = frozenset(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _PREFIX = frozenset("no has with without not is".split())
+#: Parts of names that only say where or in what form something stands. A name counts as marked if all its other parts are.
+GENERIC = frozenset("site page main global top bottom left right upper lower inner outer box bar block area section container wrapper wrap holder list item items content text link links unit slot user reader primary secondary mobile desktop js c u l wp id the new".split())
 
 WORD_PLACES = ("block", "heading", "link", "frame", "bare")
 TAG_KINDS = ("a", "li", "p", "h", "div", "br", "inline", "frame", "article", "other")
@@ -56,11 +58,18 @@ def _marked(name: str, attributes: str) -> bool:
         if key in ("class", "id"):
             for one in value.split():
                 parts = [x for x in re.split(r"[^a-z]+", one) if x]
-                if parts and parts[0] not in _PREFIX and not MARKED.isdisjoint(parts):
+                if parts and parts[0] not in _PREFIX and not MARKED.isdisjoint(parts) and all(x in MARKED or x in GENERIC for x in parts):
                     return True
     return False
 
 
+def _titles(page: str, at: int, name: str) -> bool:
+    """Whether a header that begins here holds a page's first heading and no menu, so that it is the article's own."""
+    end = re.compile(rf"</{name}\b", re.I).search(page, at)
+    held = page[at : end.start() if end else at].lower()
+    return "<h1" in held and "<nav" not in held and "<ul" not in held and "<form" not in held
+
+
 def _kind(name: str) -> str:
     if name in ("a", "li", "p", "br"):
         return name
@@ -120,7 +129,7 @@ def nodes(page: str) -> list[tuple]:
         if name in HOLDERS:
             if opens and not (m[3] or "").rstrip().endswith("/"):
                 number += 1
-                own = name in FRAME and not (name == "header" and inside_article) or _marked(name, m[3] or "") or name == "article" and inside_article > 0 and bool(re.search(r"comment|reply", m[3] or "", re.I))
+                own = name in FRAME and not (name == "header" and (inside_article or _titles(page, at, name))) or _marked(name, m[3] or "") or name == "article" and inside_article > 0 and bool(re.search(r"comment|reply", m[3] or "", re.I))
                 if name in ("article", "main"):
                     inside_article += 1
                     # The article's own start ends whatever frame was left open around it.
@@ -232,7 +241,7 @@ def _widened(items: list[tuple], a: int, b: int) -> tuple[int, int]:
     if not count:
         return a, b
     holder = max(count, key=lambda k: (count[k], -k))
-    inside = [i for i, n in enumerate(items) if n[0] == "text" and n[4] == holder and n[2] and n[1] in ("block", "heading", "bare")]
+    inside = [i for i, n in enumerate(items) if n[0] == "text" and n[4] == holder and n[2] and n[1] != "frame"]
     return (min([a, *inside]), max([b, *(i + 1 for i in inside)])) if holder else (a, b)
 
 
