@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="quillsieve-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")

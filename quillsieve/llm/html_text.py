@@ -242,7 +242,12 @@ def _widened(items: list[tuple], a: int, b: int) -> tuple[int, int]:
         return a, b
     holder = max(count, key=lambda k: (count[k], -k))
     inside = [i for i, n in enumerate(items) if n[0] == "text" and n[4] == holder and n[2] and n[1] != "frame"]
-    return (min([a, *inside]), max([b, *(i + 1 for i in inside)])) if holder else (a, b)
+    if not holder:
+        return a, b
+    a, b = min([a, *inside]), max([b, *(i + 1 for i in inside)])
+    # Headings between the container's start and the region are the article's, though a header holds them.
+    start = next((i for i, n in enumerate(items[:a]) if n[0] == "tag" and n[3] and n[4] == holder), a)
+    return min([a, *(i for i in range(start, a) if items[i][0] == "text" and items[i][1] == "heading" and not items[i][5])]), b
 
 
 def main_text(page: str | None) -> str:

@@ -275,7 +275,7 @@ def trained(rounds: int = 70) -> Field:
 
 
 _SEED = re.compile(r"[0-9@]")
-_WRITTEN = (" dot ", "(at)", "[at]", "{at}", " arroba ", "(dot)", "[dot]", " punto ", " punkt ")
+_WRITTEN = re.compile(r"\s(?:dot|arroba|punto|punkt|point)(?=\s)|[(\[{](?:at|dot)[)\]}]", re.I)
 #: Code points around a seed that are read.
 REACH = 80
 
@@ -283,13 +283,7 @@ REACH = 80
 def windows(text: str) -> list[tuple[int, int]]:
     """The stretches of a text around digits, at-signs and written-out marks, merged where they meet."""
     at = [m.start() for m in _SEED.finditer(text)]
-    low = text.lower()
-    if len(low) == len(text):
-        for mark in _WRITTEN:
-            k = low.find(mark)
-            while k >= 0:
-                at.append(k)
-                k = low.find(mark, k + 1)
+    at += [m.start() for m in _WRITTEN.finditer(text)]
     out: list[list[int]] = []
     for p in sorted(at):
         a, b = max(0, p - REACH), min(len(text), p + REACH)

@@ -53,3 +53,13 @@ def test_table(spark):
     n = len(h.main_text(PAGE))
     assert got == [(1, "u", n), (1, "u", n), (2, None, 0), (3, "v", 0)]
     assert h.extract(frame.limit(0)).count() == 0
+
+
+def test_names_that_only_look_marked():
+    words = " ".join("many words of the article stand here and go on" for _ in range(4))
+    kept = f'<article><div class="entry-header"><h1>Title</h1></div><p class="notice-period">Notice of a month. {words}</p><div class="social-history">Social past. {words}</div></article>'
+    assert h.main_text(kept).startswith("Title\n\nNotice of a month.") and "Social past." in h.main_text(kept)
+    framed = f'<article><p>{words}</p><div class="cookie-notice">We use cookies</div><div class="site-footer">The end</div><div class="user-comments"><p>First!</p></div></article>'
+    assert h.main_text(framed) == words
+    own = f'<body><div class="content"><header><h1>Title</h1></header><p>{words}</p><p>{words} <a href="#">last link</a></p></div></body>'
+    assert h.main_text(own).startswith("Title") and h.main_text(own).endswith("last link")

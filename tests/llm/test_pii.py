@@ -63,3 +63,7 @@ def test_table(spark):
     first = ("1", 1, 0, 0, 1, "email:0:8,phone:13:30")
     assert got == [first, first, ("2", 0, 0, 0, 0, ""), ("3", 0, 0, 0, 0, ""), ("None", 0, 1, 1, 0, "ip:0:7,card:10:29")]
     assert pii.personal_data(frame.limit(0)).count() == 0
+
+
+def test_windows_do_not_depend_on_the_rest_of_a_text():
+    assert pii.windows("İ " * 50 + "ana at mail dot\tcom") and pii.windows("ana at mail POINT com") and not pii.windows("a disappointing text")
