@@ -54,9 +54,17 @@ def _cell(value) -> str:
     return "–" if value is None or value != value else f"{value:.3f}" if isinstance(value, float) else str(value)
 
 
+def _all(rows: DataFrame, limit: int) -> list:
+    """The rows of a small frame; a larger one is an error, never cut."""
+    found = rows.limit(limit + 1).collect()
+    if len(found) > limit:
+        raise ValueError(f"a report of more than {limit} rows")
+    return found
+
+
 def markdown(rows: DataFrame, limit: int = 2000) -> str:
     """A small frame as a Markdown table; bars in cells are escaped."""
-    found = rows.limit(limit).collect()
+    found = _all(rows, limit)
     lines = ["| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns)]
     return "\n".join(lines + ["| " + " | ".join(_cell(v).replace("|", "\\|") for v in r) + " |" for r in found])
 
@@ -76,5 +84,5 @@ def pivot(cells: DataFrame, rows: str, columns: str, value: str, names: list[str
 
 def latex(frame: DataFrame, limit: int = 2000) -> str:
     head = " & ".join(tex(c) for c in frame.columns) + r" \\"
-    body = [" & ".join(tex(_cell(v)) for v in r) + r" \\" for r in frame.limit(limit).collect()]
+    body = [" & ".join(tex(_cell(v)) for v in r) + r" \\" for r in _all(frame, limit)]
     return "\n".join([r"\begin{tabular}{l" + "r" * (len(frame.columns) - 1) + "}", head, r"\hline", *body, r"\end{tabular}"])
