@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillsieve.llm.base import checked_broadcast, free_name, row_hash, stored, table
 
-#: Fixed masks: words at 1 are hashed, words at 0 may differ. Any two substitutions in 13 words leave one mask whole.
+#: Fixed masks: words at 1 are hashed, words at 0 may differ. Any two substitutions in 13 words, all that the share
+#: allows, leave one mask whole somewhere; most sets of three do as well. Items of fewer words have masks by length.
 MASKS = ("1101011", "110010101", "1110011")
 #: Words of a window, and the share of them that must agree place by place.
 WINDOW, SIMILARITY = 13, 0.8
+#: Words of benchmark items that may be broadcast, of about ten bytes each.
+BROADCAST_WORDS = 4_000_000
 
 _WORDS = r"filter(split(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), x -> x <> '')"
 
@@ -19,22 +26,56 @@ def _words() -> Column:
     return F.expr(_WORDS)
 
 
-def seeds(rows: DataFrame, id_column: str, masks: tuple = MASKS) -> DataFrame:
-    """(id, pos, h): the hash of each mask at each place of each text where it fits."""
-    hashed = []
-    for m, mask in enumerate(masks):
-        at = ", ".join(f"get(w, pos + {k})" for k, c in enumerate(mask) if c == "1")
-        hashed.append(f"if(pos + {len(mask)} <= size(w), xxhash64({m}, {at}), null)")
-    least = min(map(len, masks))
+def short_masks(n: int, similarity: float = SIMILARITY) -> list[tuple[int, str]]:
+    """(place, mask) for an item of n words that is compared whole: however the substitutions fall that the share allows, one mask stays whole.
+
+    The words form two groups more than there may be substitutions; each mask leaves out as many groups
+    as there may be substitutions. An item that allows none has one mask of all its words.
+    """
+    gone = n - math.ceil(n * similarity)
+    groups = min(gone + 2, n)
+    out = set()
+    for left in itertools.combinations(range(groups), gone):
+        bits = "".join("0" if k * groups // n in left else "1" for k in range(n))
+        out.add((bits.index("1"), bits.strip("0")))
+    return sorted(out)
+
+
+def _hash(mask: str, at: str) -> str:
+    return f"xxhash64('{mask}', " + ", ".join(f"get(w, {at} + {k})" for k, c in enumerate(mask) if c == "1") + ")"
+
+
+def _hashed_words(rows: DataFrame, id_column: str) -> DataFrame:
     # The words pass through a generator of one row, or they would be split again at each place.
+    return rows.selectExpr(f"{id_column} AS id", f"inline(array(named_struct('w', transform({_WORDS}, x -> xxhash64(x)))))")
+
+
+def _at_each_place(rows: DataFrame, masks: Iterable[str]) -> DataFrame:
+    masks = sorted(set(masks))
+    hashed = [f"if(pos + {len(m)} <= size(w), {_hash(m, 'pos')}, null)" for m in masks]
+    least = min(map(len, masks))
     return (
-        rows.selectExpr(f"{id_column} AS id", f"inline(array(named_struct('w', transform({_WORDS}, x -> xxhash64(x)))))")
-        .selectExpr("id", "w", f"explode(if(size(w) < {least}, cast(array() AS array<int>), sequence(0, size(w) - {least}))) AS pos")
+        rows.selectExpr("id", "w", f"explode(if(size(w) < {least}, cast(array() AS array<int>), sequence(0, size(w) - {least}))) AS pos")
         .selectExpr("id", "pos", f"explode(array({', '.join(hashed)})) AS h")
         .where("h IS NOT NULL")
     )
 
 
+def seeds(rows: DataFrame, id_column: str, masks: Iterable[str] = MASKS) -> DataFrame:
+    """(id, pos, h): the hash of each mask at each place of each text where it fits."""
+    return _at_each_place(_hashed_words(rows, id_column), masks)
+
+
+def item_seeds(items: DataFrame, short: dict[int, list[tuple[int, str]]], masks: tuple = MASKS, window: int = WINDOW) -> DataFrame:
+    """(id, pos, h): seeds of benchmark items, of whole windows by masks at each place, of shorter ones by the masks of their length."""
+    rows = _hashed_words(items, "item_id")
+    out = _at_each_place(rows.where(F.size("w") >= window), masks)
+    for n, placed in short.items():
+        made = ", ".join(f"named_struct('pos', {at}, 'h', {_hash(m, str(at))})" for at, m in placed)
+        out = out.union(rows.where(F.size("w") == n).selectExpr("id", f"inline(array({made}))"))
+    return out
+
+
 def overlap(doc: Column, item: Column, diagonal: Column, window: int = WINDOW, similarity: float = SIMILARITY) -> Column:
     """The most agreeing words in a window of item words laid on doc words at a diagonal; null if no window reaches the share.
 
@@ -55,23 +96,31 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple = MASKS, wi
 
     They overlap if, laid on each other at a place where a spaced seed of both agrees, some window of
     words agrees in the share asked for. n_matched is the best window's agreeing words. Words are
-    runs of letters and digits in lower case. Texts too short for the shortest mask, null and empty
-    ones match nothing; rows without an id are reported without it; repeated rows give one; other
+    runs of letters and digits in lower case. An item shorter than a window is compared whole, so one
+    of up to four words must occur as it is. Texts without words match nothing; very long ones are
+    searched whole; rows without an id are reported without it; repeated rows give one; other
     columns are ignored; an empty table on either side gives no rows.
 
-    The benchmark's seeds are broadcast if there are few enough, else both sides are shuffled by hash.
+    The masks of short items are only sought in documents if the benchmark has items of that length:
+    at most `window` different lengths come to the driver. The benchmark's seeds are broadcast if
+    there are few enough, its items if they hold few enough words; else both sides are shuffled.
     """
     items = stored(benchmark.select("item_id", _words().alias("item")))
-    theirs = stored(seeds(benchmark, "item_id", masks).select(F.col("id").alias("item_id"), F.col("pos").alias("at"), "h").distinct())
-    ours = seeds(docs, "doc_id", masks)
+    lengths = items.where(F.size("item").between(1, window - 1)).select(F.size("item").alias("n")).distinct().collect()
+    short = {r["n"]: short_masks(r["n"], similarity) for r in lengths}
+    theirs = stored(item_seeds(benchmark, short, masks, window).select(F.col("id").alias("item_id"), F.col("pos").alias("at"), "h").distinct())
+    ours = seeds(docs, "doc_id", [*masks, *(m for placed in short.values() for _, m in placed)])
     hits = ours.join(checked_broadcast(theirs), "h").select(F.col("id").alias("doc_id"), "item_id", (F.col("pos") - F.col("at")).alias("diagonal"))
     hits = stored(hits.distinct())
+    size = items.agg(F.sum(F.size("item") + 1)).first()[0] or 0
+    asked = items.withColumnRenamed("item_id", "_item")
+    asked = F.broadcast(asked) if size <= BROADCAST_WORDS else asked
     found = stored(hits.select(F.col("doc_id").alias("_id")).distinct())
     texts = docs.select("doc_id", "text").join(checked_broadcast(found), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     laid = (
         hits.alias("h")
         .join(texts.select(F.col("doc_id").alias("_id"), _words().alias("doc")), F.col("h.doc_id").eqNullSafe(F.col("_id")))
-        .join(checked_broadcast(items.withColumnRenamed("item_id", "_item")), F.col("h.item_id").eqNullSafe(F.col("_item")))
+        .join(asked, F.col("h.item_id").eqNullSafe(F.col("_item")))
     )
     matched = laid.select("doc_id", "item_id", overlap(F.col("doc"), F.col("item"), F.col("diagonal"), window, similarity).alias("n_matched"))
     return matched.where("n_matched IS NOT NULL").groupBy("doc_id", "item_id").agg(F.max("n_matched").cast("long").alias("n_matched"))
@@ -98,13 +147,16 @@ def _seed_sql(source: str) -> str:
     return " UNION ALL ".join(parts)
 
 
-#: The same by joining the patterns' words instead of their hashes.
+#: The same by joining the patterns' words instead of their hashes; items shorter than a window wherever one word agrees.
 SQL = rf"""
 WITH d AS MATERIALIZED (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM documents),
 b AS MATERIALIZED (SELECT item_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM benchmark),
 ds AS ({_seed_sql("d")}),
-bs AS ({_seed_sql("b")}),
-hits AS (SELECT DISTINCT ds.id AS doc_id, bs.id AS item_id, ds.pos - bs.pos AS diagonal FROM ds JOIN bs USING (h)),
+bs AS ({_seed_sql(f"b WHERE len(w) >= {WINDOW}")}),
+dw AS (SELECT id, unnest(range(0, len(w))) AS pos, unnest(w) AS word FROM d WHERE EXISTS (SELECT 1 FROM b WHERE len(w) < {WINDOW})),
+bw AS (SELECT id, unnest(range(0, len(w))) AS pos, unnest(w) AS word FROM b WHERE len(w) < {WINDOW}),
+hits AS (SELECT DISTINCT ds.id AS doc_id, bs.id AS item_id, ds.pos - bs.pos AS diagonal FROM ds JOIN bs USING (h)
+  UNION SELECT dw.id, bw.id, dw.pos - bw.pos FROM dw JOIN bw USING (word)),
 laid AS (
   SELECT h.doc_id, h.item_id, least({WINDOW}, len(b.w)) AS n,
          list_transform(range(0, len(b.w)), lambda k: CASE WHEN k + h.diagonal >= 0 AND d.w[k + h.diagonal + 1] = b.w[k + 1] THEN 1 ELSE 0 END) AS same

@@ -17,7 +17,7 @@ def brute(docs, items):
         for item_id, passage in items:
             b = words(passage)
             n = min(13, len(b))
-            if n < 7:
+            if n == 0:
                 continue
             for at in range(-len(b) + 1, len(w)):
                 same = [int(0 <= at + k < len(w) and w[at + k] == b[k]) for k in range(len(b))]
@@ -57,3 +57,36 @@ def test_against_brute_force(spark):
     kept = {r["doc_id"] for r in d.decontaminate(frame, bench).collect()}
     assert kept == {i for i, _ in docs} - {i for i, _ in want}
     assert d.contaminated(frame.limit(0), bench).count() == 0 and d.contaminated(frame, bench.limit(0)).count() == 0
+
+
+def test_masks_of_short_items_allow_any_substitutions():
+    for n in range(1, 13):
+        for gone in itertools.combinations(range(n), n - math.ceil(n * d.SIMILARITY)):
+            assert any(all(c == "0" or at + k not in gone for k, c in enumerate(m)) for at, m in d.short_masks(n)), (n, gone)
+
+
+def test_short_items_against_brute_force_and_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(40)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(1 + i % 14))) for i in range(28)]
+    docs = []
+    for k in range(140):
+        w = [rng.choice(vocabulary) for _ in range(rng.randint(0, 30))]
+        part = items[k % 28][1].split(" ")
+        for at in rng.sample(range(len(part)), min(len(part), rng.randint(0, 2))):
+            part[at] = "other"
+        at = rng.choice([0, len(w), rng.randint(0, len(w))])
+        w[at:at] = part
+        docs.append((k, " ".join(w)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["n_matched"] for r in d.contaminated(frame, bench).collect()}
+    want = brute(docs, items)
+    assert got == want
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(docs, columns=["doc_id", "text"]))
+    con.register("benchmark", pd.DataFrame(items, columns=["item_id", "text"]))
+    assert {(a, b): c for a, b, c in con.sql(d.SQL).fetchall()} == want
