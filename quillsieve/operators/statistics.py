@@ -20,14 +20,15 @@ def bootstrap(rows: DataFrame, keys: list[str], cluster: str, values: list[str],
     """(keys, b, values): means of values when clusters are drawn with replacement, `draws` times for each cell.
 
     Rows become one sum for each cluster before any draw. Draw b takes as its s-th cluster number
-    floor(k * hash('b:s')), which needs no generator state and is the same in every run.
+    floor(k * hash('b:s')), which needs no generator state and is the same in every run, and the same
+    in all cells of k clusters: how often each is drawn is found once for each k, then joined.
     """
     sums = cluster_sums(rows, keys, cluster, values)
-    cells = sums.select(*keys, "k").distinct()
-    drawn = cells.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("s", F.explode(F.sequence(F.lit(0), (F.col("k") - 1).cast("int"))))
+    drawn = sums.select("k").distinct().withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("s", F.explode(F.sequence(F.lit(0), (F.col("k") - 1).cast("int"))))
     place = F.floor(F.col("k") * hash_unit(F.concat_ws(":", "b", "s"), salt)).cast("int")
-    taken = drawn.withColumn("j", place).join(sums.drop("k", cluster), [*keys, "j"])
-    means = [(F.sum(v) / F.sum("size")).alias(v) for v in values]
+    times = drawn.groupBy("k", "b", place.alias("j")).agg(F.count("*").alias("times"))
+    taken = sums.drop(cluster).join(times, ["k", "j"])
+    means = [(F.sum(F.col(v) * F.col("times")) / F.sum(F.col("size") * F.col("times"))).alias(v) for v in values]
     return taken.groupBy(*keys, "b").agg(*means)
 
 
@@ -81,7 +82,7 @@ def cr1(rows: DataFrame, keys: list[str], cluster: str, value: str) -> DataFrame
     return totals.select(*keys, mean.alias("mean"), se.alias("se"), F.col("g").alias("clusters"), "n")
 
 
-def sign_flips(rows: DataFrame, keys: list[str], cluster: str, value: str, most: int = 16, draws: int = 4096) -> DataFrame:
+def sign_flips(rows: DataFrame, keys: list[str], cluster: str, value: str, most: int = 20, draws: int = 20_000) -> DataFrame:
     """(keys, x, flipped): sums over clusters under every choice of signs if there are few clusters, else under keyed draws."""
     sums = cluster_sums(rows, keys, cluster, [value])
     cells = sums.select(*keys, "k").distinct()

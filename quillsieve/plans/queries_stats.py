@@ -47,8 +47,8 @@ FACTS = (
     f"FROM documents, (VALUES {_CELLS}) AS c(reader, arm, ratio, base))"
 )
 KEYS = ["reader", "source", "ratio", "arm"]
-#: Draws of the registered queries, as their SQL has them; the operator's own default is the reference's.
-SQL_DRAWS = 200
+#: Draws of the registered queries and their SQL: Holm's least p, tests / (draws + 1), stays under 0.05 up to 250 tests.
+DRAWS = 5000
 
 
 @query(f"WITH {FACTS} SELECT reader, source, ratio, arm, count(*) AS n, count(DISTINCT cluster) AS clusters, round(avg(f1), 9) AS f1, round(median(f1), 9) AS median, round(avg((f1 > 0.5)::INT), 9) AS over FROM f GROUP BY ALL")
@@ -77,19 +77,19 @@ def paired_diff(spark, sf_dir) -> DataFrame:
     return paired(spark, sf_dir).groupBy(*PKEYS).agg(F.count("*").alias("n"), F.round(F.avg("d"), 9).alias("diff"))
 
 
-def _boot_sql(rows: str, keys: str, value: str, draws: int = 200) -> str:
+def _boot_sql(rows: str, keys: str, value: str, draws: int = DRAWS) -> str:
     unit = HASH.format(salt="boot", key="b || chr(58) || s")
     return (
         f"cs AS (SELECT {keys}, cluster, count(*) AS size, sum({value}) AS v, (row_number() OVER (PARTITION BY {keys} ORDER BY cluster)) - 1 AS j FROM {rows} GROUP BY {keys}, cluster), "
         f"cells AS (SELECT {keys}, count(*) AS k FROM cs GROUP BY {keys}), "
-        f"dr AS (SELECT {keys}, b, floor(k * {unit})::BIGINT AS j FROM (SELECT *, unnest(range(0, k)) AS s FROM (SELECT *, unnest(range(0, {draws})) AS b FROM cells))), "
-        f"bo AS MATERIALIZED (SELECT {keys}, b, sum(v) / sum(size) AS v FROM dr JOIN cs USING ({keys}, j) GROUP BY {keys}, b)"
+        f"dr AS MATERIALIZED (SELECT k, b, j, count(*) AS times FROM (SELECT k, b, floor(k * {unit})::BIGINT AS j FROM (SELECT *, unnest(range(0, k)) AS s FROM (SELECT *, unnest(range(0, {draws})) AS b FROM (SELECT DISTINCT k FROM cells)))) GROUP BY ALL), "
+        f"bo AS MATERIALIZED (SELECT {keys}, b, sum(v * times) / sum(size * times) AS v FROM cs JOIN cells USING ({keys}) JOIN dr USING (k, j) GROUP BY {keys}, b)"
     )
 
 
 @query(f"WITH {FACTS}, {_boot_sql('f', 'reader, source, ratio, arm', 'f1')} SELECT reader, source, ratio, arm, round(quantile_cont(v, 0.025), 12) AS lo, round(quantile_cont(v, 0.975), 12) AS hi FROM bo GROUP BY ALL")
 def cluster_bootstrap_ci(spark, sf_dir) -> DataFrame:
-    boot = st.bootstrap(facts(spark, sf_dir), KEYS, "cluster", ["f1"], SQL_DRAWS)
+    boot = st.bootstrap(facts(spark, sf_dir), KEYS, "cluster", ["f1"], DRAWS)
     return st.interval(boot, KEYS, "f1").select(*KEYS, F.round("lo", 12).alias("lo"), F.round("hi", 12).alias("hi"))
 
 
@@ -99,7 +99,7 @@ def cluster_bootstrap_ci(spark, sf_dir) -> DataFrame:
     "round(least(1.0, 2 * (least(count(*) FILTER (v <= 0), count(*) FILTER (v >= 0)) + 1) / (count(*) + 1)), 9) AS two_sided FROM bo GROUP BY ALL"
 )
 def directional_tests(spark, sf_dir) -> DataFrame:
-    boot = st.bootstrap(paired(spark, sf_dir), PKEYS, "cluster", ["d"], SQL_DRAWS)
+    boot = st.bootstrap(paired(spark, sf_dir), PKEYS, "cluster", ["d"], DRAWS)
     d = F.col("d")
     tests = [st.directional_p("superiority", d), st.directional_p("noninferiority", d, 0.02), st.directional_p("equivalence", d, 0.05), st.two_sided_p(d)]
     names = ("superiority", "noninferiority", "equivalence", "two_sided")
@@ -172,7 +172,7 @@ SELECT family, count(*) AS n_tests, count(*) FILTER (holm <= 0.05) AS n_supporte
 )
 def family_rollup(spark, sf_dir) -> DataFrame:
     """Pre-registered families: superiority over other arms, noninferiority to the full context; Holm inside each."""
-    boot = st.bootstrap(paired(spark, sf_dir).where("vs NOT LIKE 'abl%'"), PKEYS, "cluster", ["d"], SQL_DRAWS)
+    boot = st.bootstrap(paired(spark, sf_dir).where("vs NOT LIKE 'abl%'"), PKEYS, "cluster", ["d"], DRAWS)
     edge = F.when(F.col("vs") == "full", F.lit(-0.05)).otherwise(F.lit(0.0))
     p = (F.count_if(F.col("d") <= F.col("edge")) + 1) / (F.count("*") + 1)
     tests = boot.withColumn("edge", edge).groupBy(*PKEYS).agg(p.alias("p"))
@@ -187,17 +187,17 @@ def cr1_se(spark, sf_dir) -> DataFrame:
     return out.select(*PKEYS, F.round("mean", 9).alias("mean"), F.round("se", 9).alias("se"))
 
 
-@query(f"""WITH {PAIRED}, s AS (SELECT source, ratio, cluster, sum(d) AS s FROM p WHERE reader = 'strong' AND vs = 'rival' GROUP BY ALL),
-n AS (SELECT *, row_number() OVER (PARTITION BY source, ratio ORDER BY cluster) - 1 AS j FROM s), k AS (SELECT source, ratio, count(*) AS k, sum(s) AS t FROM n GROUP BY ALL),
-x AS (SELECT source, ratio, t, unnest(range(0, 1::BIGINT << k::INT)) AS x FROM k),
-v AS (SELECT x.source, x.ratio, x.x, any_value(t) AS t, sum(CASE WHEN (x.x >> j::INT) & 1 = 1 THEN -s ELSE s END) AS f FROM x JOIN n USING (source, ratio) GROUP BY ALL)
-SELECT source, ratio, round(avg((abs(f) >= abs(t) - 1e-12)::INT), 9) AS p FROM v GROUP BY ALL""")
+@query(f"""WITH {PAIRED}, s AS (SELECT reader, source, ratio, vs, cluster, sum(d) AS s FROM p GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY reader, source, ratio, vs ORDER BY cluster) - 1 AS j FROM s), k AS (SELECT reader, source, ratio, vs, count(*) AS k, sum(s) AS t FROM n GROUP BY ALL),
+x AS (SELECT reader, source, ratio, vs, t, unnest(range(0, 1::BIGINT << k::INT)) AS x FROM k),
+v AS (SELECT reader, source, ratio, vs, x.x, any_value(t) AS t, sum(CASE WHEN (x.x >> j::INT) & 1 = 1 THEN -s ELSE s END) AS f FROM x JOIN n USING (reader, source, ratio, vs) GROUP BY ALL)
+SELECT reader, source, ratio, vs, round(avg((abs(f) >= abs(t) - 1e-12)::INT), 9) AS p FROM v GROUP BY ALL""")
 def sign_flip(spark, sf_dir) -> DataFrame:
-    """The exact sign-flip test of one comparison: every choice of signs of its clusters."""
-    rows = paired(spark, sf_dir).where("reader = 'strong' AND vs = 'rival'")
-    flips = st.sign_flips(rows, ["source", "ratio"], "cluster", "d")
-    seen = rows.groupBy("source", "ratio").agg(F.sum("d").alias("t"))
-    return flips.join(seen, ["source", "ratio"]).groupBy("source", "ratio").agg(F.round(F.avg((F.abs("flipped") >= F.abs("t") - 1e-12).cast("int")), 9).alias("p"))
+    """The exact sign-flip test of every comparison: every choice of signs of its clusters."""
+    rows = paired(spark, sf_dir)
+    flips = st.sign_flips(rows, PKEYS, "cluster", "d")
+    seen = rows.groupBy(*PKEYS).agg(F.sum("d").alias("t"))
+    return flips.join(seen, PKEYS).groupBy(*PKEYS).agg(F.round(F.avg((F.abs("flipped") >= F.abs("t") - 1e-12).cast("int")), 9).alias("p"))
 
 
 @query(f"WITH {FACTS} SELECT source, arm, ratio, weak, strong FROM (SELECT a.source, a.arm, a.ratio, a.reader AS weak, b.reader AS strong FROM (SELECT reader, source, arm, ratio, avg(f1) AS m FROM f GROUP BY ALL) a JOIN (SELECT reader, source, arm, ratio, avg(f1) AS m FROM f GROUP BY ALL) b USING (source, arm, ratio) WHERE a.m < b.m AND arm = 'full')")
@@ -207,12 +207,12 @@ def reader_pairs(spark, sf_dir) -> DataFrame:
     return weak.join(strong, ["source", "arm", "ratio"]).where("mw < ms").select("source", "arm", "ratio", "weak", "strong")
 
 
-@query(f"WITH {FACTS} SELECT doc_id, arm, ratio FROM f WHERE reader = 'weak' AND (doc_id * 7 + len(arm)) % 5 <> 0 EXCEPT SELECT doc_id, arm, ratio FROM f WHERE reader = 'weak' AND doc_id % 3 = 0")
+@query(f"WITH {FACTS} SELECT reader, doc_id, arm, ratio FROM f EXCEPT SELECT reader, doc_id, arm, ratio FROM f WHERE doc_id IN (SELECT doc_id FROM labels)")
 def resume_anti_join(spark, sf_dir) -> DataFrame:
-    """What remains of planned work once finished keys are taken out."""
-    f = facts(spark, sf_dir).where("reader = 'weak'").select("doc_id", "arm", "ratio")
-    planned = f.where((F.col("doc_id") * 7 + F.length("arm")) % 5 != 0)
-    return planned.join(f.where(F.col("doc_id") % 3 == 0), ["doc_id", "arm", "ratio"], "left_anti").distinct()
+    """What remains of planned work once finished keys are taken out: the outcomes of labelled documents are finished."""
+    planned = facts(spark, sf_dir).select("reader", "doc_id", "arm", "ratio")
+    finished = planned.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    return planned.join(finished, ["reader", "doc_id", "arm", "ratio"], "left_anti").distinct()
 
 
 @query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
@@ -222,12 +222,18 @@ def last_row_wins(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("r", F.row_number().over(last)).where("r = 1").select("user_id", "event_type", "event_id", "value")
 
 
-@query("SELECT coalesce(a.source, b.source) AS source, a.n AS n_first, b.n AS n_second, round(coalesce(b.m, 0) - coalesce(a.m, 0), 6) AS change FROM (SELECT source, count(*) AS n, avg(n_chars) AS m FROM documents WHERE doc_id % 3 <> 0 AND source <> 'src1' GROUP BY 1) a FULL JOIN (SELECT source, count(*) AS n, avg(n_chars) AS m FROM documents WHERE doc_id % 3 <> 1 AND source <> 'src2' GROUP BY 1) b ON a.source = b.source")
+_RUN = "(SELECT source, count(*) AS n, avg(n_chars) AS m FROM documents WHERE doc_id {} (SELECT doc_id FROM labels) GROUP BY 1)"
+
+
+@query(f"SELECT coalesce(a.source, b.source) AS source, a.n AS n_first, b.n AS n_second, round(coalesce(b.m, 0) - coalesce(a.m, 0), 6) AS change FROM {_RUN.format('IN')} a FULL JOIN {_RUN.format('NOT IN')} b ON a.source IS NOT DISTINCT FROM b.source")
 def compare_runs(spark, sf_dir) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    run = lambda cond, n, m: docs.where(cond).groupBy("source").agg(F.count("*").alias(n), F.avg("n_chars").alias(m))
-    both = run("doc_id % 3 <> 0 AND source <> 'src1'", "n_first", "a").join(run("doc_id % 3 <> 1 AND source <> 'src2'", "n_second", "b"), "source", "full")
-    return both.select("source", "n_first", "n_second", F.round(F.coalesce("b", F.lit(0.0)) - F.coalesce("a", F.lit(0.0)), 6).alias("change"))
+    """Labelled documents as the first run, all others as the second."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    done = table(spark, sf_dir, "labels").select("doc_id")
+    run = lambda how, n, m: docs.join(done, "doc_id", how).groupBy("source").agg(F.count("*").alias(n), F.avg("n_chars").alias(m))
+    first, second = run("left_semi", "n_first", "a"), run("left_anti", "n_second", "b").withColumnRenamed("source", "other")
+    both = first.join(second, F.col("source").eqNullSafe(F.col("other")), "full")
+    return both.select(F.coalesce("source", "other").alias("source"), "n_first", "n_second", F.round(F.coalesce("b", F.lit(0.0)) - F.coalesce("a", F.lit(0.0)), 6).alias("change"))
 
 
 @query("SELECT source, lang, count(*) AS n, round(avg(quality), 6) AS quality, round(avg(toxic), 6) AS toxic, round(avg(n_chars), 6) AS chars FROM documents JOIN labels USING (doc_id) GROUP BY ALL")
