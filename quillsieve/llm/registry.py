@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillsieve.llm import chat, decontaminate, html_text, lines, mixing, pii, secrets, simhash, topk, toxicity
+from quillsieve.llm import chat, decontaminate, filters, html_text, lines, mixing, pii, secrets, simhash, topk, toxicity
 
 QUERIES = {
     "op1_line_dedup": lines.op1,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_html": html_text.op8,
     "op9_topk": topk.op9,
     "op10_mixing": mixing.op10,
+    "op13_filter_audit": filters.op13,
 }
 
 SQL = {
     "op7_decontamination": decontaminate.SQL,
     "op9_topk": topk.SQL,
     "op10_mixing": mixing.SQL,
+    "op13_filter_audit": filters.SQL,
 }

@@ -44,7 +44,9 @@ def test_held_out_accuracy_and_edges(spark):
     assert len(wrong) <= 0.02 * len(held)
     assert said[5000] == said[5001] < 0.3 and said[5002] > 0.7 and said[5003] > 0.7 and said[None] > 0.7
     kept = {r["doc_id"] for r in t.without_toxic(frame, marks).collect()}
-    assert None in kept and 5002 not in kept and 5000 in kept
+    assert None not in kept and 5002 not in kept and 5000 in kept
+    harmless = t.without_toxic(frame.union(spark.createDataFrame([(None, "a quiet word", 0.5)], frame.schema)), marks)
+    assert [r["text"] for r in harmless.where("doc_id is null").collect()] == ["a quiet word"]
     nothing = t.fit(frame, marks.limit(0))
     assert {r["score"] for r in t.scored(frame, nothing).collect()} == {0.5}
     assert t.scored(frame.limit(0), model).count() == 0
