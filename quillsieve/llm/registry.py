@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillsieve.llm import chat, decontaminate, filters, html_text, lines, mixing, pii, secrets, simhash, topk, toxicity
+from quillsieve.llm import chat, decontaminate, filters, html_text, lines, mixing, pii, secrets, simhash, sketch, topk, toxicity
 
 QUERIES = {
     "op1_line_dedup": lines.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_html": html_text.op8,
     "op9_topk": topk.op9,
     "op10_mixing": mixing.op10,
+    "op11_setsketch": sketch.op11,
     "op13_filter_audit": filters.op13,
 }
 
@@ -22,5 +23,6 @@ SQL = {
     "op7_decontamination": decontaminate.SQL,
     "op9_topk": topk.SQL,
     "op10_mixing": mixing.SQL,
+    "op11_setsketch": sketch.SQL,
     "op13_filter_audit": filters.SQL,
 }
