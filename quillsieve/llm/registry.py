@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillsieve.llm import chat, decontaminate, filters, html_text, lines, mixing, pii, secrets, simhash, sketch, topk, toxicity
+from quillsieve.llm import changes, chat, decontaminate, filters, html_text, lines, mixing, pii, secrets, simhash, sketch, topk, toxicity
 
 QUERIES = {
     "op1_line_dedup": lines.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_topk": topk.op9,
     "op10_mixing": mixing.op10,
     "op11_setsketch": sketch.op11,
+    "op12_changes": changes.op12,
     "op13_filter_audit": filters.op13,
 }
 
