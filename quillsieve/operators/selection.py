@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -108,3 +110,93 @@ def reassembled(units: Column, keep: Column, chunks: Column, whole: Column) -> C
         return F.when(title != "", F.concat(title, F.lit("\n"), body)).otherwise(body)
 
     return F.array_join(F.transform(keys, written), CHUNK_SEP)
+
+
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), with the value made once however often `of` uses it."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
+def assembled(units: Column, keep: Column, chunks: Column, whole: Column) -> Column:
+    """As reassembled(), in one pass: sentences and whole chunks in their order, joined while their paragraph stays the same.
+
+    Units are in document order, and the chunks of a paragraph follow each other.
+    """
+    item = lambda at, j, key, title, text: F.named_struct(F.lit("at"), at, F.lit("j"), j, F.lit("key"), key, F.lit("title"), title, F.lit("text"), text)
+    none = F.lit(None).cast("int")
+    full = F.transform(whole.cast(_INTS), lambda i: item(i, F.lit(-1), none, F.lit(""), F.element_at(chunks, i + 1)))
+    part = F.transform(F.array_distinct(keep.cast(_INTS)), lambda j: let(F.element_at(units, j + 1), lambda u: item(u["chunk"].cast("int"), j, F.coalesce(u["paragraph"], u["chunk"]).cast("int"), u["title"], u["text"])))
+    start = F.named_struct(F.lit("text"), F.lit(None).cast("string"), F.lit("key"), none)
+
+    def add(a: Column, x: Column) -> Column:
+        own = F.when(x["title"] != "", F.concat(x["title"], F.lit("\n"), x["text"])).otherwise(x["text"])
+        more = F.when(a["key"] == x["key"], F.concat(a["text"], F.lit(" "), x["text"])).otherwise(F.concat(a["text"], F.lit(CHUNK_SEP), own))
+        return F.named_struct(F.lit("text"), F.when(a["text"].isNull(), own).otherwise(more), F.lit("key"), x["key"])
+
+    return F.coalesce(F.aggregate(F.array_sort(F.concat(full, part)), start, add, lambda a: a["text"]), F.lit(""))
+
+
+def fitting(order: Column, text_of: Callable[[Column], Column], count: Callable[[Column], Column], limit: Column) -> Column:
+    """(n, text, tokens) of the longest head of `order` whose text, counted anew, is within the limit; n is 0 if there is none."""
+    start = F.named_struct(F.lit("n"), F.lit(0), F.lit("text"), F.lit(""), F.lit("tokens"), F.lit(0))
+    lengths = F.when(F.size(order) > 0, F.sequence(F.size(order), F.lit(1), F.lit(-1))).otherwise(F.array().cast(_INTS))
+
+    def shorter(a: Column, n: Column) -> Column:
+        tried = let(text_of(F.slice(order, 1, n)), lambda t: F.named_struct(F.lit("n"), n, F.lit("text"), t, F.lit("tokens"), count(t)))
+        return F.when(a["n"] > 0, a).otherwise(let(tried, lambda x: F.when(x["tokens"] <= limit, x).otherwise(a)))
+
+    return F.aggregate(lengths, start, shorter)
+
+
+def selection(kept: Column, partial: Column, text: Column, tokens: Column, truncated: Column) -> Column:
+    return F.named_struct(
+        F.lit("kept"), F.array_sort(kept.cast(_INTS)), F.lit("partial"), F.array_sort(partial.cast(_INTS)), F.lit("text"), text, F.lit("kept_tokens"), tokens.cast("int"), F.lit("truncated"), truncated
+    )
+
+
+def _cut(text: Column, limit: Column, kept: Column, count: Callable[[Column], Column]) -> Column:
+    """What is kept if nothing fits: the head of a text."""
+    return let(head(text, limit), lambda t: selection(kept, F.array(), t, count(t), F.lit(True)))
+
+
+def chunk_selection(chunks: Column, scores: Column, lengths: Column, limit: Column, separator: int, count: Callable[[Column], Column]) -> Column:
+    """(kept, partial, text, kept_tokens, truncated): chunks by falling score with the separators before them; the text is counted anew, the weakest chunk dropped until it fits."""
+
+    def of(order: Column) -> Column:
+        found = let(order, lambda o: let(fitting(o, lambda k: joined(chunks, k), count, limit), lambda f: F.when(f["n"] > 0, selection(F.slice(o, 1, f["n"]), F.array(), f["text"], f["tokens"], F.lit(False)))))
+        best = let(F.element_at(ranking(scores), 1), lambda b: _cut(F.element_at(chunks, b + 1), limit, F.array(b), count))
+        return F.coalesce(found, best)
+
+    return of(greedy(scores, lengths, limit, separator)["kept"])
+
+
+def sentence_selection(chunks: Column, units: Column, scores: Column, limit: Column, count: Callable[[Column], Column]) -> Column:
+    """As chunk_selection() over sentences; kept are the chunks touched. A document without sentences keeps the head of its first chunk."""
+    none = F.array().cast(_INTS)
+    touched = lambda keep: F.array_distinct(F.transform(keep, lambda j: F.element_at(units, j + 1)["chunk"]))
+
+    def of(order: Column) -> Column:
+        found = let(order, lambda o: let(fitting(o, lambda k: assembled(units, k, chunks, none), count, limit), lambda f: F.when(f["n"] > 0, selection(touched(F.slice(o, 1, f["n"])), F.array(), f["text"], f["tokens"], F.lit(False)))))
+        best = let(F.element_at(ranking(scores), 1), lambda b: _cut(assembled(units, F.array(b), chunks, none), limit, touched(F.array(b)), count))
+        return F.coalesce(found, F.when(F.size(units) > 0, best).otherwise(_cut(F.element_at(chunks, 1), limit, F.array(F.lit(0)), count)))
+
+    return of(select_sentences(units, scores, limit)["keep"])
+
+
+def fill_selection(chunks: Column, scores: Column, lengths: Column, units: Column, unit_scores: Column, limit: Column, separator: int, count: Callable[[Column], Column]) -> Column:
+    """Whole chunks first, then sentences of the others in what is left (partial: the chunks these are from). Where no chunk fits whole it is sentence selection; where chunks are sentences (paragraph set), chunk selection."""
+
+    def filled(whole: Column) -> Column:
+        order = fill(units, unit_scores, whole["kept"], whole["kept_tokens"], limit, separator)["keep"]
+        of = lambda o: let(fitting(o, lambda k: assembled(units, k, chunks, whole["kept"]), count, limit), lambda f: F.when(f["n"] > 0, selection(
+            whole["kept"], F.array_distinct(F.transform(F.slice(o, 1, f["n"]), lambda j: F.element_at(units, j + 1)["chunk"])), f["text"], f["tokens"], F.lit(False))))
+        return F.coalesce(let(order, of), whole)
+
+    def plain(s: Column) -> Column:
+        return selection(F.array(), F.when(s["truncated"], F.array().cast(_INTS)).otherwise(s["kept"]), s["text"], s["kept_tokens"], s["truncated"])
+
+    def choose(whole: Column) -> Column:
+        sentences = F.exists(units, lambda u: u["paragraph"].isNotNull())
+        return F.when(sentences, whole).when(whole["truncated"], let(sentence_selection(chunks, units, unit_scores, limit, count), plain)).otherwise(filled(whole))
+
+    return let(chunk_selection(chunks, scores, lengths, limit, separator, count), choose)
