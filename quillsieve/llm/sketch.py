@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillsieve.llm import scan
@@ -29,6 +29,10 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.2, 20.0, 255
 #: By how much the logarithm of the likelihood of PERCENT may lie below the best one of a pair that is compared; a pair at PERCENT itself lies lower once in 250,000.
 SURPRISE = 10.0
+#: Rounds in which one node stands for its component in a bucket.
+TURNS = 2
+#: Nodes of a bucket that is compared pair by pair; members of sets in a block of a larger one; columns of the matrix that compares blocks.
+SMALL, ELEMENTS, COLUMNS = 8, 1 << 18, 4096
 #: Shingles whose values are made together.
 CHUNK = 1 << 17
 _ODD = np.random.default_rng(11).integers(1 << 62, 1 << 63, REGISTERS, dtype=np.uint64) | np.uint64(1)
@@ -145,8 +149,13 @@ def full_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(look, "a long, b long, h array<long>")
 
 
+def _may_link(percent: int) -> Column:
+    """Whether sets u and v can share enough: they share at most the members that each has in common with any other set."""
+    return F.least("met_u", "met_v") * (100 + percent) >= (F.col("n_u") + F.col("n_v")) * percent
+
+
 def _likely(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs(u, v) whose registers in marks(node, n, regs) make the similarity plausible."""
+    """Those of pairs(u, v) that may link and whose registers in marks(node, n, met, regs) make the similarity plausible."""
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,18 +164,99 @@ def _likely(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(fit)) for c in ("u", "v")], names=["u", "v"])
 
     for c in ("u", "v"):
-        pairs = pairs.join(marks.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("regs").alias(f"r_{c}")), c)
-    return pairs.mapInArrow(choose, "u long, v long")
+        pairs = pairs.join(marks.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("met").alias(f"met_{c}"), F.col("regs").alias(f"r_{c}")), c)
+    return pairs.where(_may_link(percent)).mapInArrow(choose, "u long, v long")
+
+
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """How many members each two sets have in common."""
+    flat = np.concatenate(sets)
+    _, at, count = np.unique(flat, return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    several = count[at] > 1
+    place = np.cumsum(count > 1) - 1
+    at, owner = place[at[several]], owner[several]
+    order = np.argsort(at, kind="stable")
+    at, owner = at[order], owner[order]
+    out = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    for first in range(0, int(at[-1]) + 1 if len(at) else 0, COLUMNS):
+        a, b = np.searchsorted(at, [first, first + COLUMNS])
+        held = np.zeros((len(sets), min(COLUMNS, int(at[-1]) + 1 - first)), dtype=np.float32)
+        held[owner[a:b], at[a:b] - first] = 1
+        out += held @ held.T
+    return out
+
+
+def _forest(nodes: np.ndarray, parts: np.ndarray, block: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links of a block or two that join all components which any link of theirs joins."""
+    n = np.array([len(x) for x in sets])
+    linked = _common(sets) * (100 + percent) >= (n[:, None] + n[None, :]) * percent
+    linked &= parts[:, None] != parts[None, :]
+    if block.min() != block.max():
+        linked &= block[:, None] != block[None, :]
+    head: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while head.setdefault(x, x) != x:
+            x = head[x]
+        return x
+
+    out = []
+    for i, j in np.argwhere(np.triu(linked, 1)):
+        a, b = find(int(parts[i])), find(int(parts[j]))
+        if a != b:
+            head[b] = a
+            out.append((int(nodes[i]), int(nodes[j])))
+    return out
+
+
+def _in_blocks(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between components of rest(bucket, node, part) that share a bucket, from all pairs of a bucket.
+
+    A bucket is cut into blocks of about ELEMENTS members of sets; each two blocks meet in a task,
+    which compares their sets all at once and gives only links that join components.
+    """
+    held = rest.join(sets, "node").withColumn("n", F.size("h"))
+    cut = rest.join(sets.select("node", F.size("h").alias("n")), "node").groupBy("bucket").agg(F.ceil(F.sum("n") / ELEMENTS).cast("int").alias("blocks"))
+    placed = held.join(checked_broadcast(stored(cut)), "bucket").withColumn("block", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    met = placed.select("bucket", "node", "part", "block", "h", other.alias("with"))
+    met = met.select("bucket", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "node", "part", "block", "h")
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+
+        def done() -> pa.RecordBatch:
+            found = _forest(*[np.array([r[k] for r in rows]) for k in (0, 1, 2)], [r[3] for r in rows], percent) if len({r[1] for r in rows}) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+        for batch in batches:
+            keys = list(zip(*[batch.column(c).to_numpy().tolist() for c in ("bucket", "low", "high")], strict=True))
+            node, part, block = (batch.column(c).to_numpy().tolist() for c in ("node", "part", "block"))
+            column = batch.column("h")
+            ends = column.offsets.to_numpy()
+            flat = column.values.to_numpy(zero_copy_only=False)
+            for k, own in enumerate(keys):
+                if own != key and rows:
+                    yield done()
+                    rows = []
+                key = own
+                rows.append((node[k], part[k], block[k], flat[ends[k] : ends[k + 1]].copy()))
+        if rows:
+            yield done()
+
+    at = ["bucket", "low", "high"]
+    return met.repartition(*at).sortWithinPartitions(*at).mapInArrow(look, "u long, v long")
 
 
 def _components(members: DataFrame, marks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, part) of every node of members(bucket, size, least, node) under all links of nodes that share a bucket.
 
     First each node is compared with the smallest node of all its buckets, which joins most copies.
-    Then buckets that still hold several components go on: the first of their nodes in an order of
-    the bucket's own, four times as many in each round, are compared with all its nodes of other
-    components, until each node has been among them. So every pair of a bucket is either in one
-    component or compared, and a bucket of near copies needs a few rows a node.
+    In buckets that still hold several components one node of each is compared with a node of
+    another one, in TURNS rounds with other nodes each. What still holds several
+    components is compared whole: buckets of SMALL nodes or fewer as pairs, a share of the nodes in
+    each round, larger ones in blocks. So every pair of a bucket is in one component or compared.
     """
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -189,26 +279,37 @@ def _components(members: DataFrame, marks: DataFrame, sets: DataFrame, percent:
             dropped(old)
         return out
 
-    nodes = members.select("node").distinct()
-    parts = stored(nodes.select("node", F.col("node").alias("part")))
-    parts = joined(parts, linked(members.groupBy("node").agg(F.min("least").alias("v")).select(F.col("node").alias("u"), "v")))
-    live, before, most = members.select("bucket", "size", "node"), 0.0, 2.0
-    while True:
-        now = live.join(checked_broadcast(parts), "node")
-        split = stored(now.groupBy("bucket").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("bucket"))
-        rest = stored(now.join(checked_broadcast(split), "bucket", "left_semi"))
-        dropped(split)
+    def split(live: DataFrame, parts: DataFrame) -> DataFrame:
+        """(bucket, size, node, part) of live buckets that hold several components."""
+        now = live.select("bucket", "size", "node").join(checked_broadcast(parts), "node")
+        several = stored(now.groupBy("bucket").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("bucket"))
+        rest = stored(now.join(checked_broadcast(several), "bucket", "left_semi"))
+        dropped(several)
         dropped(live)
-        largest = rest.agg(F.max("size")).first()[0]
-        if largest is None or before >= largest:
-            break
+        return rest
+
+    parts = stored(members.select("node").distinct().select("node", F.col("node").alias("part")))
+    parts = joined(parts, linked(members.groupBy("node").agg(F.min("least").alias("v")).select(F.col("node").alias("u"), "v")))
+    rest = split(members, parts)
+    for turn in range(TURNS):
+        order = F.xxhash64("bucket", "node", F.lit(turn))
+        firsts = rest.groupBy("bucket", "part").agg(F.min(order).alias("h"), F.min_by("node", order).alias("u"))
+        heads = firsts.groupBy("bucket").agg(F.min_by("u", "h").alias("v"))
+        parts = joined(parts, linked(firsts.join(heads, "bucket").select("u", "v")))
+        rest = split(rest, parts)
+    sizes = marks.select("node", "n", "met")
+    fit = _may_link(percent)
+    before, most = 0.0, 2.0
+    while before < SMALL and rest.limit(1).count():
         turn = F.shiftrightunsigned(F.xxhash64("bucket", "node"), 11) * F.lit(2.0**-53) * F.col("size")
-        heads = rest.where((turn >= before) & (turn < most)).select("bucket", F.col("node").alias("u"), F.col("part").alias("of_u"))
-        others = rest.select("bucket", F.col("node").alias("v"), F.col("part").alias("of_v"))
-        tried = heads.join(others, (heads["bucket"] == others["bucket"]) & (F.col("of_u") != F.col("of_v"))).select("u", "v")
+        known = rest.where(F.col("size") <= SMALL).join(checked_broadcast(sizes), "node")
+        heads = known.where((turn >= before) & (turn < most)).select("bucket", F.col("node").alias("u"), F.col("part").alias("of_u"), F.col("n").alias("n_u"), F.col("met").alias("met_u"))
+        others = known.select("bucket", F.col("node").alias("v"), F.col("part").alias("of_v"), F.col("n").alias("n_v"), F.col("met").alias("met_v"))
+        tried = heads.join(others, (heads["bucket"] == others["bucket"]) & (F.col("of_u") != F.col("of_v")) & fit).select("u", "v")
         parts = joined(parts, linked(tried))
-        live, before, most = rest.select("bucket", "size", "node"), most, most * 4
-        live._quillsieve_path = rest._quillsieve_path
+        before, most = most, most * 4
+        rest = split(rest, parts)
+    parts = joined(parts, stored(_in_blocks(rest.where(F.col("size") > SMALL), sets, percent)))
     dropped(rest)
     return parts
 
@@ -232,17 +333,28 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     classes = stored(grouped.withColumn("node", F.monotonically_increasing_id()))
     bands = F.array(*[F.xxhash64(F.lit(k), F.substring("regs", 1 + k * ROWS, ROWS)) for k in range(BANDS)])
     buckets = classes.select("node", F.explode(bands).alias("bucket"))
-    shared = stored(buckets.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("least")).where("size > 1"))
-    members = stored(buckets.join(checked_broadcast(shared), "bucket"))
+    shared = stored(buckets.groupBy("bucket").count().where("count > 1").select("bucket"))
+    together = stored(buckets.join(checked_broadcast(shared), "bucket", "left_semi"))
     dropped(shared)
-    live = stored(classes.join(checked_broadcast(stored(members.select("node").distinct())), "node", "left_semi"))
+    live = stored(classes.join(checked_broadcast(stored(together.select("node").distinct())), "node", "left_semi"))
     # Of each set the row with its smallest doc_id is read again; rows that repeat that id may give a set twice.
     firsts = live.select(F.col("least").alias("_least")).distinct()
     wanted = docs.select("doc_id", "text").join(checked_broadcast(firsts), F.col("doc_id").eqNullSafe(F.col("_least")), "left_semi")
     sets = stored(full_sets(wanted, size).join(checked_broadcast(live.select("a", "b", "node")), ["a", "b"]).select("node", "h"))
     if sets.groupBy("node").count().where("count > 1").limit(1).count():
         sets = stored(sets.dropDuplicates(["node"]))
-    parts = _components(members, live.select("node", "n", "regs"), sets, percent)
+    # Members that no other set has can't be shared, so sets with too many of them have no link.
+    alone = sets.select("node", F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    met = live.join(stored(alone), "node", "left").withColumn("met", F.col("n") - F.coalesce("alone", F.lit(0))).where(F.col("met") * 100 >= F.col("n") * percent)
+    marks = stored(met.select("node", "n", "met", "regs"))
+    dropped(live)
+    held = stored(together.join(checked_broadcast(marks.select("node")), "node", "left_semi"))
+    dropped(together)
+    full = stored(held.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("least")).where("size > 1"))
+    members = stored(held.join(checked_broadcast(full), "bucket"))
+    dropped(held)
+    dropped(full)
+    parts = _components(members, marks, sets, percent)
     dropped(members)
     dropped(sets)
     whole = classes.select("a", "b", "least", "node").join(checked_broadcast(parts), "node", "left").withColumn("part", F.coalesce("part", "node"))

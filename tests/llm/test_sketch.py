@@ -78,3 +78,16 @@ def test_registers_merge_and_estimate():
         ra, rb = (sketch.registers(x, np.array([0, len(x)])) for x in (a, b))
         assert sketch.plausible(ra, rb, sizes, sizes)[0] == want
         assert abs((ra == rb).mean() - (1 - 2 * sketch._larger(np.array((1 - shared) / 2)))) < 0.12
+
+
+def test_large_buckets_in_several_blocks(spark, monkeypatch):
+    """A family around a template, most of it just below the limit, compared in blocks of a few sets."""
+    monkeypatch.setattr(sketch, "ELEMENTS", 2000)
+    monkeypatch.setattr(sketch, "COLUMNS", 64)
+    rng = np.random.default_rng(15)
+    template = [f"w{i}" for i in range(100)]
+    docs = [(k, " ".join(changed(rng, template, int(rng.integers(2, 9))))) for k in range(250)]
+    got = sketch.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))
+    want = brute(docs)
+    assert sorted((tuple(r[c] for c in ("doc_id", "n_shingles", "component_id", "kept")) for r in got.collect()), key=repr) == want
+    assert 10 < len({c for _, _, c, _ in want}) < 240
