@@ -185,7 +185,7 @@ def _asked(arms: list[Arm], ratios: list[float], models: dict, tools: dict) -> C
 
 
 def arm_rows(docs: DataFrame, specs: list[str], ratios: list[float], models: dict | None = None, tools: dict | None = None, count: Callable[[Column], Column] = word_units, separator: int = 1) -> DataFrame:
-    """A row for each of docs, each arm and ratio: base columns, arm, ratio (null for full), num_chunks, n_gold, full_tokens, budget, kept, partial, text, kept_tokens, truncated, gold_recall, seconds, error.
+    """A row for each of docs, each arm and ratio: base columns, arm, ratio (null for full), num_chunks, n_gold, full_tokens, budget, kept, partial, text, kept_tokens, truncated, gold_recall, seconds, error, and the document's question, answers and gold_chunks.
 
     docs: doc_id, source, language, hop, cluster_id, needle_relpos, question, answers, chunks and
     gold_chunks; betas for oracle_beta, para where chunks are sentences of paragraphs. models and
@@ -265,4 +265,4 @@ def arm_rows(docs: DataFrame, specs: list[str], ratios: list[float], models: dic
     base = [c if c in docs.columns else F.lit(None).cast("double").alias(c) for c in BASE]
     return rows.select(
         *base, "arm", "ratio", F.size("chunks").alias("num_chunks"), F.size("gold_chunks").alias("n_gold"), "full_tokens", "budget", "kept", "partial", "text", "kept_tokens", "truncated",
-        recall.alias("gold_recall"), F.col("seconds"), F.col("said.error").alias("error"), F.col("answers"), F.col("question"))
+        recall.alias("gold_recall"), F.col("seconds"), F.col("said.error").alias("error"), "question", "answers", "gold_chunks")

@@ -36,7 +36,7 @@ def arm_docs(spark, sf_dir) -> DataFrame:
     rows = rows.withColumn("middle", middle).withColumn("words", F.array_remove(F.split(F.element_at("chunks", F.col("middle") + 1), r"\s+"), "")).where(F.size("words") >= 10)
     gold = F.when(F.col("hop") == "multi", F.array(F.lit(0), F.col("middle"))).otherwise(F.array("middle"))
     return rows.select(
-        "doc_id", "source", F.col("lang").alias("language"), "hop", F.concat_ws(":", "source", "lang").alias("cluster_id"), (F.col("middle") / F.size("chunks")).alias("needle_relpos"),
+        "doc_id", "source", F.col("lang").alias("language"), "hop", F.concat_ws(":", "source", "lang", F.pmod("doc_id", F.lit(2))).alias("cluster_id"), (F.col("middle") / F.size("chunks")).alias("needle_relpos"),
         F.array_join(F.slice("words", 1, 6), " ").alias("question"), F.array(F.array_join(F.slice("words", 7, 4), " ")).alias("answers"), "chunks", gold.alias("gold_chunks"),
     )
 
@@ -63,7 +63,7 @@ ROWS_SQL = rf"""
 l AS (SELECT doc_id, lang AS language, source, list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '') AS lines FROM documents),
 c0 AS (SELECT *, CASE WHEN len(lines) >= 4 THEN 'multi' ELSE 'single' END AS hop, CASE WHEN len(lines) >= 4 THEN [array_to_string(lines[k + 1 : k + 2], chr(10)) FOR k IN range(0, len(lines), 2)] ELSE lines END AS chunks FROM l WHERE len(lines) >= 2),
 d AS MATERIALIZED (
-  SELECT doc_id, source, language, hop, source || ':' || language AS cluster_id, middle / len(chunks) AS needle_relpos, array_to_string(words[1:6], ' ') AS question, array_to_string(words[7:10], ' ') AS answer, chunks,
+  SELECT doc_id, source, language, hop, source || ':' || language || ':' || (doc_id % 2) AS cluster_id, middle / len(chunks) AS needle_relpos, array_to_string(words[1:6], ' ') AS question, array_to_string(words[7:10], ' ') AS answer, chunks,
     CASE WHEN hop = 'multi' THEN [0, middle] ELSE [middle] END AS gold, array_to_string(chunks, {_BREAK}) AS full_text
   FROM (SELECT *, {_WORDS.format('chunks[middle + 1]')} AS words FROM (SELECT *, (len(chunks) // 2)::INT AS middle FROM c0)) WHERE len(words) >= 10),
 b AS MATERIALIZED (SELECT doc_id, full_text, chunks, {_tokens('full_text')}::INT AS full_tokens, r.ratio, greatest(1, ceil({_tokens('full_text')} / r.ratio))::INT AS budget FROM d, (VALUES (2.0::DOUBLE), (4.0::DOUBLE), (8.0::DOUBLE)) AS r(ratio)),

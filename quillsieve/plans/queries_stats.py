@@ -89,8 +89,9 @@ def _boot_sql(rows: str, keys: str, value: str, draws: int = DRAWS) -> str:
 
 @query(f"WITH {FACTS}, {_boot_sql('f', 'reader, source, ratio, arm', 'f1')} SELECT reader, source, ratio, arm, round(quantile_cont(v, 0.025), 12) AS lo, round(quantile_cont(v, 0.975), 12) AS hi FROM bo GROUP BY ALL")
 def cluster_bootstrap_ci(spark, sf_dir) -> DataFrame:
-    boot = st.bootstrap(facts(spark, sf_dir), KEYS, "cluster", ["f1"], DRAWS)
-    return st.interval(boot, KEYS, "f1").select(*KEYS, F.round("lo", 12).alias("lo"), F.round("hi", 12).alias("hi"))
+    ends = lambda means, drawn: dict(zip(("lo", "hi"), st.quantiles(drawn[:, 0]), strict=True))
+    found = st.bootstrapped(facts(spark, sf_dir), KEYS, "cluster", ["f1"], "lo double, hi double", ends, DRAWS)
+    return found.select(*KEYS, F.round("lo", 12).alias("lo"), F.round("hi", 12).alias("hi"))
 
 
 @query(
@@ -99,11 +100,13 @@ def cluster_bootstrap_ci(spark, sf_dir) -> DataFrame:
     "round(least(1.0, 2 * (least(count(*) FILTER (v <= 0), count(*) FILTER (v >= 0)) + 1) / (count(*) + 1)), 9) AS two_sided FROM bo GROUP BY ALL"
 )
 def directional_tests(spark, sf_dir) -> DataFrame:
-    boot = st.bootstrap(paired(spark, sf_dir), PKEYS, "cluster", ["d"], DRAWS)
-    d = F.col("d")
-    tests = [st.directional_p("superiority", d), st.directional_p("noninferiority", d, 0.02), st.directional_p("equivalence", d, 0.05), st.two_sided_p(d)]
+    def tests(means, drawn) -> dict:
+        d = drawn[:, 0]
+        return {"superiority": st.one_sided(d, "superiority"), "noninferiority": st.one_sided(d, "noninferiority", 0.02), "equivalence": st.one_sided(d, "equivalence", 0.05), "two_sided": st.two_sided(d)}
+
     names = ("superiority", "noninferiority", "equivalence", "two_sided")
-    return boot.groupBy(*PKEYS).agg(*[F.round(t, 9).alias(n) for t, n in zip(tests, names, strict=True)])
+    found = st.bootstrapped(paired(spark, sf_dir), PKEYS, "cluster", ["d"], ", ".join(f"{n} double" for n in names), tests, DRAWS)
+    return found.select(*PKEYS, *[F.round(n, 9).alias(n) for n in names])
 
 
 _P = f"CASE WHEN doc_id % 11 = 3 THEN NULL ELSE round({HASH.format(salt='p', key='doc_id')} * 0.2, 9) END"
@@ -172,10 +175,9 @@ SELECT family, count(*) AS n_tests, count(*) FILTER (holm <= 0.05) AS n_supporte
 )
 def family_rollup(spark, sf_dir) -> DataFrame:
     """Pre-registered families: superiority over other arms, noninferiority to the full context; Holm inside each."""
-    boot = st.bootstrap(paired(spark, sf_dir).where("vs NOT LIKE 'abl%'"), PKEYS, "cluster", ["d"], DRAWS)
-    edge = F.when(F.col("vs") == "full", F.lit(-0.05)).otherwise(F.lit(0.0))
-    p = (F.count_if(F.col("d") <= F.col("edge")) + 1) / (F.count("*") + 1)
-    tests = boot.withColumn("edge", edge).groupBy(*PKEYS).agg(p.alias("p"))
+    both = lambda means, drawn: {"over": st.one_sided(drawn[:, 0], "superiority"), "near": st.one_sided(drawn[:, 0], "noninferiority", 0.05)}
+    found = st.bootstrapped(paired(spark, sf_dir).where("vs NOT LIKE 'abl%'"), PKEYS, "cluster", ["d"], "over double, near double", both, DRAWS)
+    tests = found.select(*PKEYS, F.when(F.col("vs") == "full", F.col("near")).otherwise(F.col("over")).alias("p"))
     tests = tests.withColumn("family", F.when(F.col("vs") == "full", F.lit("H1-oracle")).otherwise(F.lit("H1"))).withColumn("tie", F.concat("reader", "source", "ratio", "vs"))
     return st.adjusted(tests, "p", ["family"], "tie").groupBy("family").agg(F.count("*").alias("n_tests"), F.count_if(F.col("holm") <= 0.05).alias("n_supported"))
 
