@@ -3,8 +3,8 @@
 The first stage is keyed by (client, number) and lets only the first arrival of a number through, so
 repeats of a hot client are rejected all over the cluster. The second stage is keyed by client and
 holds what it got until its number is next. Event time is the day of a row, so the watermark of a
-micro-batch is the largest day of all earlier batches, and a timer three days after each held row
-fires where that row has waited long enough.
+batch is the largest day of all earlier ones, and a timer three days after each held row wakes
+clients without new rows.
 """
 
 from __future__ import annotations
@@ -64,7 +64,7 @@ class FirstArrival(StatefulProcessor):
         known, first = self.seen.exists(), None
         for row in rows:
             if row.change_id is None:
-                continue  # the row that moves the watermark past all days
+                continue  # a tick
             if known:
                 yield self._out(row, row.n)
             elif first is None:
@@ -94,63 +94,81 @@ class Sequencer(StatefulProcessor):
     """Applies the rows of a client in the order of their numbers; rows of other lanes are rejected ones passing through.
 
     Numbers that come here are different, so within a batch their order decides nothing, and rows
-    need no sorting: what can't be applied yet is held as state.
+    need no sorting: what can't be applied yet is held as state. The watermark is the largest day of
+    earlier batches; a client with new rows jumps before it takes them, the others by their timers.
+    From the day `end` on every held row has waited long enough, and what is applied then counts as
+    the batch after this one.
     """
 
-    def __init__(self, batch: int) -> None:
-        self.batch = batch
+    def __init__(self, batch: int, end: int) -> None:
+        self.batch, self.end = batch, end
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.now = handle.getValueState("now", "next long, city string, balance double, waiting long")
+        self.now = handle.getValueState("now", "next long, city string, balance double, waiting long, earliest int")
         self.held = handle.getMapState("held", "n long", "change_id long, day int, op string, city string, balance double")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         client, lane = key
         if lane:
             for row in rows:
-                yield self._row(client, row.n, row.change_id, row.op, row.batch)
+                yield self._row(client, row.n, row.change_id, row.op, self.batch)
             return
         self._load()
+        yield from self._jump(client, timerValues)
         fresh: dict = {}
         for row in rows:
             if row.n < self.next:
-                yield self._row(client, row.n, row.change_id, row.op, row.batch)
+                yield self._row(client, row.n, row.change_id, row.op, self.batch)
                 continue
             fresh[row.n] = (row.change_id, row.day, row.op, row.city, row.balance)
-            yield from self._drain(client, row.batch, fresh)
+            yield from self._drain(client, self.batch, fresh)
             if len(fresh) >= BUFFER:
                 self._hold(fresh)
         self._hold(fresh)
-        self.now.update((self.next, self.city, self.balance, self.waiting))
+        self._save()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        client, _ = key
         self._load()
-        if not self.waiting:
+        moved = False
+        for row in self._jump(key[0], timerValues):
+            moved = True
+            yield row
+        if moved:
+            self._save()
+
+    def _load(self) -> None:
+        self.next, self.city, self.balance, self.waiting, self.earliest = self.now.get() or (1, None, None, 0, 0)
+
+    def _save(self) -> None:
+        self.now.update((self.next, self.city, self.balance, self.waiting, self.earliest))
+
+    def _jump(self, client, timerValues) -> Iterator[Row]:
+        """Applies what has waited long enough, skipping the numbers before it."""
+        day = timerValues.getCurrentWatermarkInMs() // DAY_MS
+        if not self.waiting or self.earliest > day - PATIENCE:
             return
-        limit = timerValues.getCurrentWatermarkInMs() // DAY_MS - PATIENCE
-        days = sorted((n, value[1]) for (n,), value in ((tuple(k), tuple(v)) for k, v in self.held.iterator()))
+        days = sorted((tuple(k)[0], tuple(v)[1]) for k, v in self.held.iterator())
         earliest = [0] * len(days)  # of each and all later numbers
         for k in range(len(days) - 1, -1, -1):
             earliest[k] = min(days[k][1], earliest[k + 1] if k + 1 < len(days) else days[k][1])
         for k, (n, _) in enumerate(days):
             if n < self.next:
                 continue  # applied since
-            if earliest[k] > limit:
+            self.earliest = earliest[k]
+            if earliest[k] > day - PATIENCE:
                 break
             missed, self.next = n - self.next, n
-            yield from self._drain(client, self.batch + 1, {}, missed)
-        self.now.update((self.next, self.city, self.balance, self.waiting))
-
-    def _load(self) -> None:
-        self.next, self.city, self.balance, self.waiting = self.now.get() or (1, None, None, 0)
+            yield from self._drain(client, self.batch + (day >= self.end), {}, missed)
 
     def _hold(self, fresh: dict) -> None:
+        days = {value[1] for value in fresh.values()}
         for n, value in fresh.items():
             self.held.updateValue((n,), value)
-        for day in {value[1] for value in fresh.values()}:
+        for day in days:
             self.handle.registerTimer((day + PATIENCE) * DAY_MS - 1)
+        if days:
+            self.earliest = min(days) if not self.waiting else min(self.earliest, *days)
         self.waiting += len(fresh)
         fresh.clear()
 
@@ -191,7 +209,10 @@ def _session(spark: SparkSession) -> SparkSession:
         own.conf.set(key, spark.conf.get(key))
     own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
-    own.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true")
+    # Each start opens its stores anew: they don't reserve disk ahead and are closed as soon as a task has committed.
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
+    own.conf.set("spark.sql.streaming.stateStore.unloadOnCommit", "true")
+    own.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     return own
 
 
@@ -222,15 +243,26 @@ def applied(changes: DataFrame) -> DataFrame:
     last = max(r["day"] for r in found)
     numbers = sorted({*range(1, BATCHES + 1), *(r["batch"] for r in found)})
     fields = [c for c in rows.columns]
-    end = {c: F.lit(None).cast(kind) for c, kind in rows.dtypes} | {"n": F.lit(0).cast("long"), "day": F.lit(last + PATIENCE), "at": F.timestamp_seconds(F.lit((last + PATIENCE) * 86400)), "batch": F.lit(BATCHES)}
+
+    def tick(day: int) -> DataFrame:
+        """A row without change_id, which only carries its day."""
+        values = {c: F.lit(None).cast(kind) for c, kind in rows.dtypes} | {"n": F.lit(0).cast("long"), "day": F.lit(day), "at": F.timestamp_seconds(F.lit(day * 86400)), "batch": F.lit(BATCHES)}
+        return spark.range(1).select(*[values[c].alias(c) for c in fields])
+
     own = _session(spark)
+    seen = {r["batch"]: r["day"] for r in found}
     for number in numbers:
         batches.where(F.col("batch") == number).select(fields).write.mode("append").parquet(f"{root}/feed")
         if number == numbers[-1]:
-            spark.range(1).select(*[end[c].alias(c) for c in fields]).write.mode("append").parquet(f"{root}/feed")
+            # A row that moves the watermark past all days; the stream then goes on without data once.
+            tick(last + PATIENCE).write.mode("append").parquet(f"{root}/feed")
+            own.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true")
+        elif number not in seen:
+            # An empty batch is a batch, too: what has waited long enough moves at its start.
+            tick(max((d for b, d in seen.items() if b < number), default=0)).write.mode("append").parquet(f"{root}/feed")
         feed = own.readStream.schema(rows.schema).parquet(f"{root}/feed").withWatermark("at", "0 seconds")
         unique = feed.groupBy("client_id", "n").transformWithState(FirstArrival(), _lane_schema(rows), "Append", "EventTime", eventTimeColumnName="at")
-        steps = unique.groupBy("client_id", "lane").transformWithState(Sequencer(number), _out_schema(rows), "Append", "EventTime")
+        steps = unique.groupBy("client_id", "lane").transformWithState(Sequencer(number, last + PATIENCE), _out_schema(rows), "Append", "EventTime")
         run = steps.writeStream.format("parquet").outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{root}/checkpoint").option("path", f"{root}/out").start()
         run.awaitTermination()
     return _result(spark.read.schema(_out_schema(rows)).parquet(f"{root}/out"))
