@@ -212,6 +212,7 @@ def _session(spark: SparkSession) -> SparkSession:
     # Each start opens its stores anew: they don't reserve disk ahead and are closed as soon as a task has committed.
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
     own.conf.set("spark.sql.streaming.stateStore.unloadOnCommit", "true")
+    own.conf.set("spark.sql.streaming.checkpoint.fileChecksum.enabled", "false")
     own.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     return own
 
