@@ -152,13 +152,51 @@ def lexical_answers(spark, sf_dir) -> DataFrame:
     return said.groupBy("reader", "language").agg(F.count("*").alias("n"), F.round(F.avg(token_f1(F.col("answer"), F.col("answers"))), 6).alias("f1"))
 
 
-@query()
+#: Lines in digest order, draws of each needle, and lines taken up to the first that overflows; {pool} and {needles} are SELECTs.
+_HAYSTACK = r"""
+hp AS (SELECT DISTINCT chunk FROM ({pool})), hl AS MATERIALIZED (SELECT chunk, row_number() OVER (ORDER BY sha1(chunk), chunk) - 1 AS i FROM hp),
+hn AS (SELECT count(*) AS n, 4 * ceil(30000 / avg(length(chunk)))::BIGINT + 16 AS most FROM hl), ha AS MATERIALIZED ({needles}),
+hd AS (SELECT doc_id, needle, answer, n, unnest(range(0, most)) AS j FROM ha, hn),
+hi AS (SELECT doc_id, any_value(needle) AS needle, any_value(answer) AS answer, min(j) AS j, i FROM (SELECT *, floor(n * {unit})::BIGINT AS i FROM hd) GROUP BY doc_id, i),
+hu AS (SELECT doc_id, chunk, j, length(needle) + sum(length(chunk)) OVER w AS total, row_number() OVER w AS r FROM hi JOIN hl USING (i) WHERE chunk <> needle AND NOT contains(lower(regexp_replace(chunk, '^\s+|\s+$', '', 'g')), lower(regexp_replace(answer, '^\s+|\s+$', '', 'g'))) WINDOW w AS (PARTITION BY doc_id ORDER BY j)),
+hk AS (SELECT * FROM (SELECT *, min(CASE WHEN total > 30000 AND r > 1 THEN r END) OVER (PARTITION BY doc_id) AS cut FROM hu) WHERE r < cut),
+ho AS (SELECT doc_id, list(chunk ORDER BY r) AS others FROM hk GROUP BY doc_id),
+hg AS (SELECT doc_id, others, floor({gap} * (len(others) + 1))::INT AS gold FROM ho)"""
+_DRAW, _GAP = HASH.format(salt="draw", key="doc_id || chr(58) || j"), HASH.format(salt="gap", key="doc_id")
+
+
+@query(
+    "WITH "
+    + _HAYSTACK.format(
+        pool="SELECT chunk FROM (SELECT unnest(string_split(text, chr(10))) AS chunk FROM documents) WHERE trim(chunk, ' ') <> ''",
+        needles="SELECT item_id AS doc_id, text AS needle, array_to_string(string_split(text, ' ')[1:5], ' ') AS answer FROM benchmark", unit=_DRAW, gap=_GAP)
+    + " SELECT doc_id, (len(others) + 1)::INT AS n_chunks, gold, md5(array_to_string(list_concat(list_concat(others[1 : gold], [needle]), others[gold + 1 :]), chr(10))) AS chunks_md5 FROM hg JOIN ha USING (doc_id)"
+)
 def haystacks(spark, sf_dir) -> DataFrame:
-    """Benchmark passages hidden among document lines: how many chunks, where, how often the passage occurs."""
+    """Benchmark passages hidden among 30,000 characters of document lines, drawn from all of them."""
     pool = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("chunk")).where(F.trim("chunk") != "").distinct()
     needles = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("needle"), F.array(F.substring_index("text", " ", 5)).alias("answers"))
-    docs = build.haystacks(needles, pool, target_chars=3000)
-    return docs.select("doc_id", F.size("chunks").alias("n_chunks"), "gold", F.size(F.filter("chunks", lambda c: c == F.col("needle"))).alias("needles"))
+    docs = build.haystacks(needles, pool)
+    return docs.select("doc_id", F.size("chunks").alias("n_chunks"), "gold", F.md5(F.array_join("chunks", "\n")).alias("chunks_md5"))
+
+
+@query(
+    "WITH "
+    + DOCS_SQL
+    + ", "
+    + _HAYSTACK.format(
+        pool="SELECT chunks[gold + 1] AS chunk FROM d", needles="SELECT 'web_test_' || doc_id AS doc_id, chunks[gold + 1] AS needle, answers[1] AS answer, language AS title, source AS cluster FROM d", unit=_DRAW, gap=_GAP)
+    + " SELECT doc_id, cluster AS cluster_id, title, (len(others) + 1)::INT AS n_chunks, gold, round(gold / greatest(1, len(others)), 9) AS needle_relpos, md5(array_to_string(list_concat(list_concat(others[1 : gold], [needle]), others[gold + 1 :]), chr(10))) AS chunks_md5 FROM hg JOIN ha USING (doc_id)"
+)
+def squad_documents(spark, sf_dir) -> DataFrame:
+    """Documents from question rows: each document's asked line among those of all others, up to 30,000 characters."""
+    docs = doc_docs(spark, sf_dir)
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("language").alias("title"), F.element_at("chunks", F.element_at("gold_chunks", 1) + 1).alias("context"), "question", "answers", F.col("source").alias("cluster"))
+    built = build.squad_documents(rows, rows, "web", "test", "en")
+    gold = F.element_at("gold_chunks", 1)
+    return built.select(
+        "doc_id", "cluster_id", F.col("metadata.title").alias("title"), F.size("chunks").alias("n_chunks"), gold.alias("gold"), F.round("metadata.needle_relpos", 9).alias("needle_relpos"), F.md5(F.array_join("chunks", "\n")).alias("chunks_md5")
+    )
 
 
 @query(f"""WITH {DOCS_SQL}, c AS (SELECT doc_id, list_transform(chunks, lambda c: least(512, {COUNT.format("c")}))::INT[] AS n FROM d),

@@ -33,6 +33,39 @@ def test_stream_appends_each_key_once(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.read.parquet(sink).collect()) == [(1, 0), (2, 0), (3, 1), (4, 2)]
 
 
+def test_stream_reads_only_its_own_keys(spark, tmp_path):
+    source, sink, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "ck")
+    source.mkdir()
+    for turn in range(3):
+        (source / f"{turn}.json").write_text("\n".join(json.dumps({"k": k, "v": turn}) for k in range(turn * 5, turn * 5 + 8)))
+        ingest.ingest(spark, str(source), "k int, v int", sink, checkpoint, ["k"], buckets=16).awaitTermination(60)
+    assert sorted(r["k"] for r in spark.read.parquet(sink).collect()) == list(range(18))
+    index = f"{checkpoint}-keys/data"
+    every = spark.read.parquet(index)
+    bucket = every.where("k = 3").first()["_bucket"]
+    seen = ingest.seen_keys(spark, index, [bucket])
+    assert seen.where("k = 3").count() == 1
+    scan = seen._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in scan and "_bucket" in scan
+    read = seen._jdf.queryExecution().executedPlan()
+    seen.collect()
+    files_read = read.collectLeaves().head().metrics().apply("numFiles").value()
+    assert 0 < files_read < len(every.inputFiles())
+
+
+def test_batch_written_again_after_a_failure(spark, tmp_path, monkeypatch):
+    source, sink, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "ck")
+    source.mkdir()
+    (source / "0.json").write_text('{"k": 1}\n{"k": 2}')
+    ingest.ingest(spark, str(source), "k int", sink, checkpoint, ["k"]).awaitTermination(60)
+    (source / "1.json").write_text('{"k": 2}\n{"k": 3}')
+    # As if a first attempt of batch 1 had written its rows and then failed before its keys.
+    spark.createDataFrame([(3,)], "k int").write.mode("append").parquet(sink)
+    (tmp_path / "ck-keys" / "started-1").touch()
+    ingest.ingest(spark, str(source), "k int", sink, checkpoint, ["k"]).awaitTermination(60)
+    assert sorted(r["k"] for r in spark.read.parquet(sink).collect()) == [1, 2, 3]
+
+
 def test_resume_and_guard(spark, tmp_path):
     planned = spark.createDataFrame([(d, a) for d in "xyz" for a in "pq"], "doc string, arm string")
     done = spark.createDataFrame([("x", "p")], "doc string, arm string")

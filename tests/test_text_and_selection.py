@@ -137,6 +137,42 @@ def test_haystack_properties(spark):
         assert [i for i, c in enumerate(r["chunks"]) if "Hà Nội" in c] == [r["gold"]] and 5 < len(r["chunks"]) < 40
 
 
+def test_haystacks_draw_from_the_whole_pool(spark):
+    import hashlib
+    import math as m
+
+    unit = lambda key, salt: int(hashlib.sha1(f"{salt}:{key}".encode()).hexdigest()[:13], 16) / 16**13
+    pool = [(f"line {i} " + "x" * (i % 37), f"t{i % 3}") for i in range(4000)]
+    needles = [(f"d{i}", f"needle {i}", [f"line {i}7 "], f"t{i % 4}") for i in range(12)]
+    frame = spark.createDataFrame(needles, "doc_id string, needle string, answers array<string>, title string")
+    lines = spark.createDataFrame(pool, "chunk string, title string")
+    got = {r["doc_id"]: r for r in documents.haystacks(frame, lines.select("chunk"), 1500).collect()}
+    order = sorted((c for c, _ in pool), key=lambda c: (hashlib.sha1(c.encode()).hexdigest(), c))
+    most = 4 * m.ceil(1500 / (sum(map(len, order)) / len(order))) + 16
+    for doc, needle, answers, _ in needles:
+        taken, total = [], len(needle)
+        for j in range(most):
+            c = order[m.floor(len(order) * unit(f"{doc}:{j}", "draw"))]
+            if c in taken or answers[0].strip() in c:
+                continue
+            if total + len(c) > 1500 and taken:
+                break
+            taken.append(c)
+            total += len(c)
+        taken.insert(m.floor(unit(doc, "gap") * (len(taken) + 1)), needle)
+        assert got[doc]["chunks"] == taken
+    hard = {r["doc_id"]: r for r in documents.haystacks(frame, lines, 1500, "title").collect()}
+    title = dict(pool)
+    for doc, needle, _, own in needles:
+        others = [title[c] for c in hard[doc]["chunks"] if c != needle]
+        assert set(others) == {own} if own != "t3" else len(set(others)) == 3
+    # A pool smaller than the target is taken whole; an empty one leaves the needle alone.
+    few = documents.haystacks(frame, lines.select("chunk").limit(9), 10_000).collect()
+    assert all(len(r["chunks"]) == 10 for r in few) and all(r["chunks"] == [r["needle"]] for r in documents.haystacks(frame, lines.select("chunk").limit(0), 100).collect())
+    with pytest.raises(ValueError):
+        documents.squad_documents(frame, frame, "s", "dev", "vi", distractors="near")
+
+
 def test_padding_moves_gold(spark):
     frame = spark.createDataFrame([("d", ["a" * 10, "gold", "b" * 10], [1], ["gold"], [f"pad {i}" for i in range(9)] + ["has gold"])], "doc_id string, chunks array<string>, gold_chunks array<int>, answers array<string>, pool array<string>")
     got = documents.padded(frame, "pool", 60).first()
