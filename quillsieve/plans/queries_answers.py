@@ -7,7 +7,8 @@ read, so compression and order of a context decide what they find.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillsieve.functions.text import answer_recall, contains_answer, exact_match, token_f1
@@ -84,6 +85,13 @@ def answer_rows(spark, sf_dir) -> DataFrame:
 CELL = ["reader", "source", "ratio", "arm"]
 
 
+def figure(value: Column | str) -> Column:
+    """A figure with nine digits. Means of values that have nine often lie between two ninth digits; a shift, here and in SQL, keeps sums in another order from rounding apart."""
+    return F.round((F.col(value) if isinstance(value, str) else value) + 3e-11, 9)
+
+
+
+
 def _draws_sql(rows: str, keys: str, values: tuple[str, ...], draws: int = DRAWS) -> str:
     """bo: means of values in each cell for each draw of clusters with replacement."""
     sums = ", ".join(f"sum({v}) AS {v}" for v in values)
@@ -98,10 +106,10 @@ def _draws_sql(rows: str, keys: str, values: tuple[str, ...], draws: int = DRAWS
 
 @query(
     f"WITH {ANSWERS_SQL}, {_draws_sql('an', 'reader, source, ratio, arm', ('f1',))}, ci AS (SELECT reader, source, ratio, arm, quantile_cont(f1, 0.025) AS lo, quantile_cont(f1, 0.975) AS hi FROM bo GROUP BY ALL) "
-    "SELECT reader, source, ratio, arm, count(*) AS n, count(DISTINCT cluster_id) AS n_clusters, round(avg(f1), 9) AS f1, round(any_value(lo), 9) AS f1_lo, round(any_value(hi), 9) AS f1_hi, round(median(f1), 9) AS f1_median, round(avg(em), 9) AS em, "
-    "round(avg(recall), 9) AS recall, round(avg(gold_recall), 9) AS gold_recall, round(avg(full_tokens / greatest(1, kept_tokens)), 9) AS compression, round(avg(kept_tokens / greatest(1, budget)), 9) AS budget_use, round(avg(truncated::INT), 9) AS truncated, "
-    "round(avg(held::INT), 9) AS answer_in, round(avg(f1) FILTER (held), 9) AS f1_answer_in, round(avg(f1) FILTER (NOT held), 9) AS f1_answer_out, round(avg(len(kept) + len(partial)) FILTER (len(kept) + len(partial) > 0), 9) AS touched, "
-    "round(avg((len(list_intersect(kept, gold)) = len(gold))::INT) FILTER (gold_recall IS NOT NULL), 9) AS all_gold FROM an JOIN ci USING (reader, source, ratio, arm) GROUP BY ALL"
+    "SELECT reader, source, ratio, arm, count(*) AS n, count(DISTINCT cluster_id) AS n_clusters, round(avg(f1) + 3e-11::DOUBLE, 9) AS f1, round(any_value(lo) + 3e-11::DOUBLE, 9) AS f1_lo, round(any_value(hi) + 3e-11::DOUBLE, 9) AS f1_hi, round(median(f1) + 3e-11::DOUBLE, 9) AS f1_median, round(avg(em) + 3e-11::DOUBLE, 9) AS em, "
+    "round(avg(recall) + 3e-11::DOUBLE, 9) AS recall, round(avg(gold_recall) + 3e-11::DOUBLE, 9) AS gold_recall, round(avg(full_tokens / greatest(1, kept_tokens)) + 3e-11::DOUBLE, 9) AS compression, round(avg(kept_tokens / greatest(1, budget)) + 3e-11::DOUBLE, 9) AS budget_use, round(avg(truncated::INT) + 3e-11::DOUBLE, 9) AS truncated, "
+    "round(avg(held::INT) + 3e-11::DOUBLE, 9) AS answer_in, round(avg(f1) FILTER (held) + 3e-11::DOUBLE, 9) AS f1_answer_in, round(avg(f1) FILTER (NOT held) + 3e-11::DOUBLE, 9) AS f1_answer_out, round(avg(len(kept) + len(partial)) FILTER (len(kept) + len(partial) > 0) + 3e-11::DOUBLE, 9) AS touched, "
+    "round(avg((len(list_intersect(kept, gold)) = len(gold))::INT) FILTER (gold_recall IS NOT NULL) + 3e-11::DOUBLE, 9) AS all_gold FROM an JOIN ci USING (reader, source, ratio, arm) GROUP BY ALL"
 )
 def arm_cells(spark, sf_dir) -> DataFrame:
     """Every cell of reader, source, ratio and arm: answer metrics with a cluster-bootstrap interval, what was kept, and F1 where the answer stands in the context and where not."""
@@ -109,13 +117,13 @@ def arm_cells(spark, sf_dir) -> DataFrame:
     ends = lambda means, drawn: dict(zip(("f1_lo", "f1_hi"), st.quantiles(drawn[:, 0]), strict=True))
     interval = st.bootstrapped(rows, CELL, "cluster_id", ["f1"], "f1_lo double, f1_hi double", ends, DRAWS)
     touched = F.size("kept") + F.size("partial")
-    mean = lambda c: F.round(F.avg(c), 9)
+    mean = lambda c: figure(F.avg(c))
     cells = rows.groupBy(*CELL).agg(
-        F.count("*").alias("n"), F.count_distinct("cluster_id").alias("n_clusters"), mean("f1").alias("f1"), F.round(F.median("f1"), 9).alias("f1_median"), mean("em").alias("em"), mean("recall").alias("recall"), mean("gold_recall").alias("gold_recall"),
+        F.count("*").alias("n"), F.count_distinct("cluster_id").alias("n_clusters"), mean("f1").alias("f1"), figure(F.median("f1")).alias("f1_median"), mean("em").alias("em"), mean("recall").alias("recall"), mean("gold_recall").alias("gold_recall"),
         mean(F.col("full_tokens") / F.greatest(F.lit(1), "kept_tokens")).alias("compression"), mean(F.col("kept_tokens") / F.greatest(F.lit(1), "budget")).alias("budget_use"), mean(F.col("truncated").cast("int")).alias("truncated"),
         mean(F.col("held").cast("int")).alias("answer_in"), mean(F.when(F.col("held"), F.col("f1"))).alias("f1_answer_in"), mean(F.when(~F.col("held"), F.col("f1"))).alias("f1_answer_out"), mean(F.when(touched > 0, touched)).alias("touched"),
         mean(F.when(F.col("gold_recall").isNotNull(), (F.size(F.array_except("gold_chunks", "kept")) == 0).cast("int"))).alias("all_gold"))
-    return cells.join(interval, CELL).withColumn("f1_lo", F.round("f1_lo", 9)).withColumn("f1_hi", F.round("f1_hi", 9))
+    return cells.join(interval, CELL).withColumn("f1_lo", figure("f1_lo")).withColumn("f1_hi", figure("f1_hi"))
 
 
 def pairs(rows: DataFrame, ours: str, others: tuple[str, ...]) -> DataFrame:
@@ -146,14 +154,12 @@ v AS MATERIALIZED (SELECT x.reader, x.source, x.ratio, x.vs, x.x, any_value(mean
   sum(CASE WHEN (x.x >> j::INT) & 1 = 1 THEN -1 ELSE 1 END * (s + m * {MARGIN}::DOUBLE)) AS up, sum(CASE WHEN (x.x >> j::INT) & 1 = 1 THEN -1 ELSE 1 END * (s - m * {MARGIN}::DOUBLE)) AS down FROM x JOIN cl USING (reader, source, ratio, vs) GROUP BY ALL),
 p AS (SELECT reader, source, ratio, vs, any_value(mean) AS mean, any_value(k)::INT AS clusters, quantile_cont(mean + r / n, 0.025) AS lo, quantile_cont(mean + r / n, 0.975) AS hi, avg((up >= t + n * {MARGIN}::DOUBLE - 1e-12)::INT) AS above, avg((down <= t - n * {MARGIN}::DOUBLE + 1e-12)::INT) AS below FROM v GROUP BY ALL),
 e AS (SELECT cl.reader, cl.source, cl.ratio, cl.vs, sqrt(any_value(k) / (any_value(k) - 1) * sum(pow(s - m * mean, 2))) / any_value(n) AS se FROM cl JOIN ce USING (reader, source, ratio, vs) GROUP BY ALL)
-SELECT reader, source, ratio, vs, clusters, round(mean, 9) AS mean, round(lo + 3e-11::DOUBLE, 9) AS lo, round(hi + 3e-11::DOUBLE, 9) AS hi, round(above, 9) AS above_p, round(greatest(above, below), 9) AS equal_p, round(se, 9) AS se, round(se * (1.6448536269514722::DOUBLE + 0.8416212335729143::DOUBLE), 9) AS mde FROM p JOIN e USING (reader, source, ratio, vs)"""
+SELECT reader, source, ratio, vs, clusters, round(mean + 3e-11::DOUBLE, 9) AS mean, round(lo + 3e-11::DOUBLE, 9) AS lo, round(hi + 3e-11::DOUBLE, 9) AS hi, round(above + 3e-11::DOUBLE, 9) AS above_p, round(greatest(above, below) + 3e-11::DOUBLE, 9) AS equal_p, round(se + 3e-11::DOUBLE, 9) AS se, round(se * (1.6448536269514722::DOUBLE + 0.8416212335729143::DOUBLE) + 3e-11::DOUBLE, 9) AS mde FROM p JOIN e USING (reader, source, ratio, vs)"""
 )
 def wild_ci(spark, sf_dir) -> DataFrame:
     """Wild cluster-bootstrap intervals, sign-flip tests against the margin, robust errors and least detectable effects of every comparison."""
     found = st.wild(pairs(answers(spark, sf_dir), OURS, _OTHERS), PAIR, "cluster_id", "d", MARGIN)
-    # Ends of dyadic shares often lie between two ninth digits; a shift keeps sums in another order from rounding apart.
-    ends = [F.round(F.col(c) + 3e-11, 9).alias(c) for c in ("lo", "hi")]
-    return found.select(*PAIR, "clusters", *ends, *[F.round(c, 9).alias(c) for c in ("mean", "above_p", "equal_p", "se", "mde")])
+    return found.select(*PAIR, "clusters", *[figure(c).alias(c) for c in ("mean", "lo", "hi", "above_p", "equal_p", "se", "mde")])
 
 
 def families(rows: DataFrame) -> DataFrame:
@@ -185,12 +191,12 @@ h AS (SELECT *, max(least(1.0::DOUBLE, (m - r + 1) * p)) OVER (PARTITION BY fami
 )
 
 
-@query(f"WITH {_FAMILY} SELECT family, reader, source, ratio, vs, n, round(diff, 9) AS diff, round(p, 9) AS p, round(holm, 9) AS holm, budget_mismatch FROM h")
+@query(f"WITH {_FAMILY} SELECT family, reader, source, ratio, vs, n, round(diff + 3e-11::DOUBLE, 9) AS diff, round(p + 3e-11::DOUBLE, 9) AS p, round(holm + 3e-11::DOUBLE, 9) AS holm, budget_mismatch FROM h")
 def family_tests(spark, sf_dir) -> DataFrame:
     """Every pre-registered test on real selections, Holm-adjusted within its family."""
     tests = families(answers(spark, sf_dir)).withColumn("tie", F.concat("reader", "source", "ratio", "vs"))
     found = st.adjusted(tests, "p", ["family"], "tie")
-    return found.select("family", *PAIR, "n", F.round("diff", 9).alias("diff"), F.round("p", 9).alias("p"), F.round("holm", 9).alias("holm"), "budget_mismatch")
+    return found.select("family", *PAIR, "n", figure("diff").alias("diff"), figure("p").alias("p"), figure("holm").alias("holm"), "budget_mismatch")
 
 
 @query(f"WITH {_FAMILY} SELECT family, count(*) AS n_tests, count(*) FILTER (holm < 0.05) AS n_supported, count(*) FILTER (budget_mismatch) AS n_budget_mismatch FROM h GROUP BY 1")
@@ -203,7 +209,7 @@ def family_summary(spark, sf_dir) -> DataFrame:
 
 @query(
     f"WITH {ANSWERS_SQL}, bg AS (SELECT source, ratio, arm, avg(f1) FILTER (gold_recall = 1) AS f1_all, count(*) FILTER (gold_recall = 1) AS n_all, avg(f1) FILTER (gold_recall < 1) AS f1_missing, count(*) FILTER (gold_recall < 1) AS n_missing "
-    "FROM an WHERE reader = 'long' AND hop = 'multi' AND arm NOT LIKE 'oracle%' AND arm <> 'full' AND gold_recall IS NOT NULL AND list_contains(kept, gold[len(gold)]) GROUP BY ALL) SELECT source, ratio, arm, n_all, n_missing, round(f1_all, 9) AS f1_all_gold, round(f1_missing, 9) AS f1_gold_missing FROM bg"
+    "FROM an WHERE reader = 'long' AND hop = 'multi' AND arm NOT LIKE 'oracle%' AND arm <> 'full' AND gold_recall IS NOT NULL AND list_contains(kept, gold[len(gold)]) GROUP BY ALL) SELECT source, ratio, arm, n_all, n_missing, round(f1_all + 3e-11::DOUBLE, 9) AS f1_all_gold, round(f1_missing + 3e-11::DOUBLE, 9) AS f1_gold_missing FROM bg"
 )
 def bridge_effect(spark, sf_dir) -> DataFrame:
     """F1 of the whole-context reader on multi-hop documents whose answer chunk is kept, where every gold chunk is kept and where one is missing."""
@@ -211,7 +217,7 @@ def bridge_effect(spark, sf_dir) -> DataFrame:
     rows = rows.where(F.array_contains("kept", F.element_at("gold_chunks", -1)))
     whole = F.col("gold_recall") == 1
     return rows.groupBy("source", "ratio", "arm").agg(
-        F.count_if(whole).alias("n_all"), F.count_if(~whole).alias("n_missing"), F.round(F.avg(F.when(whole, F.col("f1"))), 9).alias("f1_all_gold"), F.round(F.avg(F.when(~whole, F.col("f1"))), 9).alias("f1_gold_missing")
+        F.count_if(whole).alias("n_all"), F.count_if(~whole).alias("n_missing"), figure(F.avg(F.when(whole, F.col("f1")))).alias("f1_all_gold"), figure(F.avg(F.when(~whole, F.col("f1")))).alias("f1_gold_missing")
     )
 
 
@@ -246,7 +252,7 @@ UPGRADE = ["source", "weak", "strong", "ratio"]
 @query(
     f"WITH {ANSWERS_SQL}, {_upgrades_sql((OURS,))}, {_draws_sql('up', 'source, weak, strong, ratio', ('w0', 's0', 'wf', 'sf'))}, pt AS (SELECT source, weak, strong, ratio, count(*) AS n, avg(w0) AS w0, avg(s0) AS s0, avg(wf) AS wf, avg(sf) AS sf FROM up GROUP BY ALL), "
     "iv AS (SELECT source, weak, strong, ratio, quantile_cont((s0 - w0) / (sf - wf), 0.025) FILTER (abs(sf - wf) >= 1e-9) AS lo, quantile_cont((s0 - w0) / (sf - wf), 0.975) FILTER (abs(sf - wf) >= 1e-9) AS hi FROM bo GROUP BY ALL) "
-    f"SELECT source, weak, strong, ratio, round(sf - wf, 9) AS gap, round((s0 - w0) / (sf - wf), 9) AS retention, round(lo, 9) AS lo, round(hi, 9) AS hi FROM pt JOIN iv USING (source, weak, strong, ratio) WHERE sf - wf >= {LEAST_GAP}::DOUBLE"
+    f"SELECT source, weak, strong, ratio, round(sf - wf + 3e-11::DOUBLE, 9) AS gap, round((s0 - w0) / (sf - wf) + 3e-11::DOUBLE, 9) AS retention, round(lo + 3e-11::DOUBLE, 9) AS lo, round(hi + 3e-11::DOUBLE, 9) AS hi FROM pt JOIN iv USING (source, weak, strong, ratio) WHERE sf - wf >= {LEAST_GAP}::DOUBLE"
 )
 def retention_ci(spark, sf_dir) -> DataFrame:
     """The share of each reader upgrade that compression leaves, with a joint bootstrap interval of the ratio of means."""
@@ -260,16 +266,16 @@ def retention_ci(spark, sf_dir) -> DataFrame:
 
     rows = upgrades(answers(spark, sf_dir), (OURS,))
     found = st.bootstrapped(rows, UPGRADE, "cluster_id", ["w0", "s0", "wf", "sf"], "gap double, retention double, lo double, hi double", of, DRAWS)
-    return found.select(*UPGRADE, *[F.round(c, 9).alias(c) for c in ("gap", "retention", "lo", "hi")])
+    return found.select(*UPGRADE, *[figure(c).alias(c) for c in ("gap", "retention", "lo", "hi")])
 
 
 @query(
     f"WITH {ANSWERS_SQL}, {_upgrades_sql((ENSEMBLE, OURS))}, {_draws_sql('up', 'source, weak, strong, ratio', ('w0', 's0', 'w1', 's1', 'wf', 'sf'))}, pt AS (SELECT source, weak, strong, ratio, avg(w0) AS w0, avg(s0) AS s0, avg(w1) AS w1, avg(s1) AS s1, avg(wf) AS wf, avg(sf) AS sf FROM up GROUP BY ALL), "
-    "dv AS (SELECT source, weak, strong, ratio, ((s0 - w0) - (s1 - w1)) / (sf - wf) AS v, (s0 - w0) / (sf - wf) - (s1 - w1) / (sf - wf) AS d FROM bo WHERE abs(sf - wf) >= 1e-9), "
+    "dv AS (SELECT source, weak, strong, ratio, ((s0 - w0) - (s1 - w1)) / (sf - wf) AS v, round((s0 - w0) / (sf - wf) - (s1 - w1) / (sf - wf), 12) AS d FROM bo WHERE abs(sf - wf) >= 1e-9), "
     "pv AS (SELECT source, weak, strong, ratio, (count(*) FILTER (d <= 0) + 1) / (count(*) + 1) AS p, quantile_cont(d, 0.025) AS lo, quantile_cont(d, 0.975) AS hi FROM dv GROUP BY ALL), "
     f"tt AS (SELECT CASE WHEN weak = '{HELD_OUT}' OR strong = '{HELD_OUT}' THEN 'H3-heldout' ELSE 'H3' END AS family, source, weak, strong, ratio, (s0 - w0) / (sf - wf) - (s1 - w1) / (sf - wf) AS diff, lo, hi, p FROM pt JOIN pv USING (source, weak, strong, ratio) WHERE sf - wf >= {LEAST_GAP}::DOUBLE), "
     "h AS (SELECT *, max(least(1.0::DOUBLE, (m - r + 1) * p)) OVER (PARTITION BY family ORDER BY r) AS holm FROM (SELECT *, count(*) OVER (PARTITION BY family) AS m, row_number() OVER (PARTITION BY family ORDER BY p, source || weak || strong || ratio) AS r FROM tt)) "
-    "SELECT family, source, weak, strong, ratio, round(diff, 9) AS diff, round(lo, 9) AS lo, round(hi, 9) AS hi, round(p, 9) AS p, round(holm, 9) AS holm FROM h"
+    "SELECT family, source, weak, strong, ratio, round(diff + 3e-11::DOUBLE, 9) AS diff, round(lo + 3e-11::DOUBLE, 9) AS lo, round(hi + 3e-11::DOUBLE, 9) AS hi, round(p + 3e-11::DOUBLE, 9) AS p, round(holm + 3e-11::DOUBLE, 9) AS holm FROM h"
 )
 def retention_family(spark, sf_dir) -> DataFrame:
     """H3: the fused arm retains more of an upgrade than ours, for pairs of label readers and, apart, pairs with the held-out one; one joint bootstrap of six means each."""
@@ -278,14 +284,15 @@ def retention_family(spark, sf_dir) -> DataFrame:
         if means[5] - means[4] < LEAST_GAP:
             return None
         diff = lambda m: st.retentions(m[..., [0, 1, 4, 5]]) - st.retentions(m[..., [2, 3, 4, 5]])
-        lo, hi = st.quantiles(diff(drawn))
-        return {"diff": float(diff(means)), "lo": lo, "hi": hi, "p": st.one_sided(diff(drawn), "superiority")}
+        each = np.round(diff(drawn), 12)  # sums in another order leave what is 0 at 0
+        lo, hi = st.quantiles(each)
+        return {"diff": float(diff(means)), "lo": lo, "hi": hi, "p": st.one_sided(each, "superiority")}
 
     rows = upgrades(answers(spark, sf_dir), (ENSEMBLE, OURS))
     tests = st.bootstrapped(rows, UPGRADE, "cluster_id", ["w0", "s0", "w1", "s1", "wf", "sf"], "diff double, lo double, hi double, p double", of, DRAWS)
     tests = tests.withColumn("family", F.when((F.col("weak") == HELD_OUT) | (F.col("strong") == HELD_OUT), F.lit("H3-heldout")).otherwise(F.lit("H3"))).withColumn("tie", F.concat(*UPGRADE))
     found = st.adjusted(tests, "p", ["family"], "tie")
-    return found.select("family", *UPGRADE, *[F.round(c, 9).alias(c) for c in ("diff", "lo", "hi", "p", "holm")])
+    return found.select("family", *UPGRADE, *[figure(c).alias(c) for c in ("diff", "lo", "hi", "p", "holm")])
 
 
 @query(
@@ -293,11 +300,11 @@ def retention_family(spark, sf_dir) -> DataFrame:
     "ln1 AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY reader, source, arm) AS n, lead(x) OVER w AS x2, lead(y) OVER w AS y2, min(x) OVER (PARTITION BY reader, source, arm) AS least_x, max(x) OVER (PARTITION BY reader, source, arm) AS most_x FROM pt WINDOW w AS (PARTITION BY reader, source, arm ORDER BY x)), "
     "tg AS (SELECT DISTINCT reader, source, x AS target, ln(x) AS t FROM pt0 WHERE arm = 'sent+bm25'), "
     "mt AS (SELECT l.*, target, t, row_number() OVER (PARTITION BY l.reader, l.source, l.arm, target ORDER BY CASE WHEN l.x <= t THEN 0 ELSE 1 END, CASE WHEN l.x <= t THEN -l.i ELSE l.i END) AS pick FROM ln1 l JOIN tg ON l.reader = tg.reader AND l.source = tg.source WHERE l.i < l.n OR l.n = 1) "
-    "SELECT reader, source, arm, round(target, 9) AS target, round(CASE WHEN n = 1 THEN y ELSE y + (t - x) / (x2 - x) * (y2 - y) END, 7) AS f1, t < least_x - 1e-12 OR t > most_x + 1e-12 AS extrapolated FROM mt WHERE pick = 1"
+    "SELECT reader, source, arm, round(target + 3e-11::DOUBLE, 9) AS target, round(CASE WHEN n = 1 THEN y ELSE y + (t - x) / (x2 - x) * (y2 - y) END, 7) AS f1, t < least_x - 1e-12 OR t > most_x + 1e-12 AS extrapolated FROM mt WHERE pick = 1"
 )
 def equal_compression(spark, sf_dir) -> DataFrame:
     """F1 of every arm at the compression that sentence selection realises, interpolated on its logarithm."""
     rows = answers(spark, sf_dir).where("arm <> 'full'")
     points = rows.groupBy("reader", "source", "arm", "ratio").agg(F.avg(F.col("full_tokens") / F.greatest(F.lit(1), "kept_tokens")).alias("x"), F.avg("f1").alias("y"))
     found = st.at_equal(points, ["reader", "source"], "arm", "x", "y", "sent+bm25")
-    return found.select("reader", "source", "arm", F.round("target", 9).alias("target"), F.round("value", 7).alias("f1"), "extrapolated")
+    return found.select("reader", "source", "arm", figure("target").alias("target"), F.round("value", 7).alias("f1"), "extrapolated")
