@@ -262,7 +262,7 @@ def applied(changes: DataFrame) -> DataFrame:
             # An empty batch is a batch, too: what has waited long enough moves at its start.
             tick(max((d for b, d in seen.items() if b < number), default=0)).write.mode("append").parquet(f"{root}/feed")
         feed = own.readStream.schema(rows.schema).parquet(f"{root}/feed").withWatermark("at", "0 seconds")
-        unique = feed.groupBy("client_id", "n").transformWithState(FirstArrival(), _lane_schema(rows), "Append", "EventTime", eventTimeColumnName="at")
+        unique = feed.groupBy("client_id", "n").transformWithState(FirstArrival(), _lane_schema(rows), "Append", "None", eventTimeColumnName="at")
         steps = unique.groupBy("client_id", "lane").transformWithState(Sequencer(number, last + PATIENCE), _out_schema(rows), "Append", "EventTime")
         run = steps.writeStream.format("parquet").outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{root}/checkpoint").option("path", f"{root}/out").start()
         run.awaitTermination()
