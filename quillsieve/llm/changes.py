@@ -22,8 +22,8 @@ from quillsieve.llm.base import dropped, shared_dir, stored, table
 BATCHES, FIRST_DAY, DAYS = 12, 19723, 160
 #: Days that a held row waits for those before it.
 PATIENCE = 3
-#: Rows of a client kept in memory until they go to its state.
-BUFFER = 10_000
+#: New rows of a client kept in memory until they are held; held rows that stand beside its position, in one read with it.
+BUFFER, BESIDE = 10_000, 16
 DAY_MS = 86_400_000
 
 
@@ -90,6 +90,9 @@ class FirstArrival(StatefulProcessor):
         pass
 
 
+_HELD = "change_id: long, day: int, op: string, city: string, balance: double"
+
+
 class Sequencer(StatefulProcessor):
     """Applies the rows of a client in the order of their numbers; rows of other lanes are rejected ones passing through.
 
@@ -105,8 +108,8 @@ class Sequencer(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.now = handle.getValueState("now", "next long, city string, balance double, waiting long, earliest int")
-        self.held = handle.getMapState("held", "n long", "change_id long, day int, op string, city string, balance double")
+        self.now = handle.getValueState("now", f"next long, city string, balance double, waiting long, earliest int, beside array<struct<n: long, {_HELD}>>")
+        self.held = handle.getMapState("held", "n long", _HELD.replace(":", ""))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         client, lane = key
@@ -138,17 +141,21 @@ class Sequencer(StatefulProcessor):
             self._save()
 
     def _load(self) -> None:
-        self.next, self.city, self.balance, self.waiting, self.earliest = self.now.get() or (1, None, None, 0, 0)
+        self.next, self.city, self.balance, self.waiting, self.earliest, beside = self.now.get() or (1, None, None, 0, 0, [])
+        self.beside = {r[0]: tuple(r[1:]) for r in map(tuple, beside or [])}
 
     def _save(self) -> None:
-        self.now.update((self.next, self.city, self.balance, self.waiting, self.earliest))
+        self.now.update((self.next, self.city, self.balance, self.waiting, self.earliest, [(n, *value) for n, value in self.beside.items()]))
 
     def _jump(self, client, timerValues) -> Iterator[Row]:
         """Applies what has waited long enough, skipping the numbers before it."""
         day = timerValues.getCurrentWatermarkInMs() // DAY_MS
-        if not self.waiting or self.earliest > day - PATIENCE:
+        if not (self.waiting or self.beside) or self.earliest > day - PATIENCE:
             return
-        days = sorted((tuple(k)[0], tuple(v)[1]) for k, v in self.held.iterator())
+        days = [(n, value[1]) for n, value in self.beside.items()]
+        if self.waiting:
+            days += [(tuple(k)[0], tuple(v)[1]) for k, v in self.held.iterator()]
+        days.sort()
         earliest = [0] * len(days)  # of each and all later numbers
         for k in range(len(days) - 1, -1, -1):
             earliest[k] = min(days[k][1], earliest[k + 1] if k + 1 < len(days) else days[k][1])
@@ -163,19 +170,22 @@ class Sequencer(StatefulProcessor):
 
     def _hold(self, fresh: dict) -> None:
         days = {value[1] for value in fresh.values()}
-        for n, value in fresh.items():
-            self.held.updateValue((n,), value)
         for day in days:
             self.handle.registerTimer((day + PATIENCE) * DAY_MS - 1)
         if days:
-            self.earliest = min(days) if not self.waiting else min(self.earliest, *days)
-        self.waiting += len(fresh)
+            self.earliest = min(days) if not (self.waiting or self.beside) else min(self.earliest, *days)
+        self.beside |= fresh
         fresh.clear()
+        if len(self.beside) > BESIDE:
+            for n, value in self.beside.items():
+                self.held.updateValue((n,), value)
+            self.waiting += len(self.beside)
+            self.beside = {}
 
     def _drain(self, client, batch: int, fresh: dict, missed: int = 0) -> Iterator[Row]:
         """Applies what is next as long as it is there."""
         while True:
-            value = fresh.pop(self.next, None)
+            value = fresh.pop(self.next, None) or self.beside.pop(self.next, None)
             if value is None and self.waiting:
                 value = self.held.getValue((self.next,))
                 if value is not None:
