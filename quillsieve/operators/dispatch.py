@@ -102,11 +102,11 @@ def word_units(text: Column) -> Column:
 
 def sentence_units(docs: DataFrame) -> DataFrame:
     """docs with units, the sentences of their chunks: chunk, text, title, paragraph, title_tokens, tokens."""
-    paragraph = F.get(F.col("para"), F.lit(0)) if "para" in docs.columns else None
+    known = "para" in docs.columns
 
     def of(c: Column, i: Column) -> Column:
         title = chunk_title(c, F.col("hop"))
-        para = F.lit(None).cast("int") if paragraph is None else F.get(F.col("para"), i).cast("int")
+        para = F.get(F.col("para"), i).cast("int") if known else F.lit(None).cast("int")
         made = lambda s: F.named_struct(F.lit("chunk"), i, F.lit("text"), s, F.lit("title"), title, F.lit("paragraph"), para, F.lit("title_tokens"), token_count(title), F.lit("tokens"), token_count(s))
         return F.transform(split_sentences(chunk_body(c, F.col("hop"))), made)
 
@@ -213,7 +213,7 @@ def arm_rows(docs: DataFrame, specs: list[str], ratios: list[float], models: dic
     rows = _once(rows, **made) if made else rows
 
     def scores(arm: Arm, level: str) -> Column:
-        if arm.name in ("sent+", "fill+") or arm.name in ("sent", "fill"):
+        if arm.name in ("sent", "fill"):
             return scores(arm.parts[0], level)
         if arm.name == "rrf":
             return scoring.fused(*[scores(p, level) for p in arm.parts])

@@ -139,7 +139,7 @@ def interaction_fits(measured: DataFrame, penalties: DataFrame, alpha: float) ->
     """
     maps = penalties.groupBy(F.col("source").alias("_s")).agg(F.map_from_entries(F.collect_list(F.struct("model", "penalty"))).alias("penalties"))
     rows = measured.join(maps, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    rows = rows.withColumn("answers_in", F.col("answers_in")).withColumn("gold", F.struct("gold", "penalties"))
+    rows = rows.withColumn("gold", F.struct("gold", "penalties"))
 
     def each(masks, y, row):
         gold, given = row["gold"]["gold"], dict(row["gold"]["penalties"])

@@ -9,7 +9,7 @@ from quillsieve.functions.hashing import hash_unit
 from quillsieve.functions.text import gold_recall, jaccard, token_count, token_f1
 from quillsieve.operators import attribution as at
 from quillsieve.operators import documents as build
-from quillsieve.operators import readers, scoring, selection
+from quillsieve.operators import readers, scoring
 from quillsieve.operators.statistics import spearman
 from quillsieve.plans.frames import COUNT, DOCS_SQL, HASH, SCORED_SQL, doc_docs, scored_docs, table
 from quillsieve.plans.queries_text import _GREEDY, selections
