@@ -52,6 +52,24 @@ class FirstSentence(Reader):
         return [next((s.strip() for s in re.split(r"(?<=[.!?…])\s+|\n", c or "") if s.strip()), "") for c in contexts]
 
 
+class LineReader(Reader):
+    """Turns to the line that shares the most distinct words with the question, the first on ties, and says some of its words."""
+
+    name = "line"
+
+    def __init__(self, first: int = 7, words: int = 4):
+        self.first, self.words = first, words
+
+    def generate(self, contexts: list[str], questions: list[str]) -> list[str]:
+        out = []
+        for context, question in zip(contexts, questions, strict=True):
+            lines, asked = (context or "").split("\n"), set(_words(question))
+            found = max(lines, key=lambda line: len(asked.intersection(_words(line))))  # max keeps the first of equals
+            said = [w for w in re.split(r"[ \t\n\f\r]+", found) if w]
+            out.append(" ".join(said[self.first - 1 : self.first - 1 + self.words]))
+        return out
+
+
 LEXICAL = (SentenceReader("rare", True), SentenceReader("overlap", False), FirstSentence())
 
 

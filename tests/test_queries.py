@@ -12,7 +12,7 @@ def plain(v):
 
 
 @pytest.mark.skipif(not Path(SAMPLE).exists(), reason="no test data")
-@pytest.mark.parametrize("name", ["bm25_budget_report", "greedy_select", "answer_metrics", "paired_diff", "holm_bh", "loo_labels", "window_packing", "arm_rows", "family_tests", "mask_determinism", "squad_documents"])
+@pytest.mark.parametrize("name", ["bm25_budget_report", "greedy_select", "answer_metrics", "paired_diff", "holm_bh", "loo_labels", "window_packing", "arm_rows", "family_tests", "mask_determinism", "squad_documents", "measure_queue", "measured_answers"])
 def test_query_equals_its_sql(spark, name):
     from quillsieve.plans import queries
 
