@@ -3,11 +3,14 @@
 A page becomes a list of tags and text nodes. Words score what labelled pages say of words in such
 a place, tags score below zero, and one linear scan finds the contiguous region with the largest
 sum. The region is widened to the article or container that it lies in; what stands in menus, side
-bars, notices, adverts, forms, scripts or reader comments is left out of it.
+bars, notices, adverts, forms, scripts or reader comments is left out of it. Elements whose names
+speak against them go or stay by a logistic fit to labelled elements: parts of their names, links,
+words, headings and form controls in them.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import html
 import math
@@ -15,6 +18,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,42 +36,97 @@ FRAME = frozenset("nav footer aside form menu dialog button label fieldset heade
 BLOCK = frozenset("p h1 h2 h3 h4 h5 h6 div section article main ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption hr address details summary body html nav footer aside form menu dialog header center".split())
 VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
 HOLDERS = (BLOCK | FRAME) - VOID - {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "body", "html"}
-#: Parts of class names and ids, and roles, of what isn't the article.
-MARKED = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs crumbs footer header masthead topbar comment comments commentlist disqus replies reply respond discussion share sharing social related recommended recommendations widget widgets toolbar pagination pager login search skip".split()
+#: Parts of class names and ids that name what isn't the article.
+STRONG = frozenset(
+    "ad ads adv advert adverts advertisement advertising advertorial banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup sidebar sidenav nav navbar navigation breadcrumb breadcrumbs crumbs footer masthead topbar comment comments commentlist disqus replies reply respond share sharing related recommended recommendations widget widgets toolbar pagination pager login skip".split()
 )
+#: Parts that may as well be what a section of an article is about.
+WEAK = frozenset("menu header discussion social search".split())
+#: Parts that say in what form something stands.
+FORM = frozenset("icons icon buttons button form label labels links link list item items card cards cta trail previous prev next posts post articles article stories".split())
+#: Parts that say where it stands or whose it is, which tells nothing.
+PLACE = frozenset("box bar block area section container wrapper wrap holder inner outer info law policy author user reader site page main global top bottom left right upper lower content text unit slot primary secondary mobile desktop js c u l wp id the new".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _PREFIX = frozenset("no has with without not is".split())
-#: Parts of names that only say where or in what form something stands. A name counts as marked if all its other parts are.
-GENERIC = frozenset("site page main global top bottom left right upper lower inner outer box bar block area section container wrapper wrap holder list item items content text link links unit slot user reader primary secondary mobile desktop js c u l wp id the new".split())
+#: Elements of one line or paragraph, which end at their end tag or where the next block begins.
+FLAT = frozenset("p span li h1 h2 h3 h4 h5 h6".split())
 
 WORD_PLACES = ("block", "heading", "link", "frame", "bare")
 TAG_KINDS = ("a", "li", "p", "h", "div", "br", "inline", "frame", "article", "other")
 
 
-def _marked(name: str, attributes: str) -> bool:
-    """Whether an element's attributes say that it isn't part of the article."""
+def evidence(name: str, attributes: str) -> tuple | None:
+    """What an element's attributes say against it: True if it is hidden or has such a role, else features of its names; None if nothing."""
     if name in ("body", "html", "article", "main") or not attributes:
-        return False
+        return None
+    best = None
     for m in _CLASS.finditer(attributes):
-        key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
-        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in ROLES:
-            return True
-        if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
+        key, value = m[1].lower(), (m[2] or "").strip("\"'")
+        if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "role" and value.lower() in ROLES:
+            return (True,)
+        if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+            return (True,)
         if key in ("class", "id"):
             for one in value.split():
-                parts = [x for x in re.split(r"[^a-z]+", one) if x]
-                if parts and parts[0] not in _PREFIX and not MARKED.isdisjoint(parts) and all(x in MARKED or x in GENERIC for x in parts):
-                    return True
-    return False
+                parts = [x for x in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", one).lower()) if x]
+                strong, weak = STRONG.intersection(parts), WEAK.intersection(parts)
+                if parts[:1] and parts[0] not in _PREFIX and (strong or weak):
+                    rest = [x for x in parts if x not in STRONG and x not in WEAK]
+                    found = (False, bool(strong), bool(weak), any(x in FORM for x in rest), any(x not in FORM and x not in PLACE for x in rest), key == "id" or name in FLAT and not strong, frozenset(strong | weak))
+                    best = max(best or found, found, key=lambda f: (f[1], not f[4], f[3], not f[5]))
+    return best
 
 
-def _titles(page: str, at: int, name: str) -> bool:
-    """Whether a header that begins here holds a page's first heading and no menu, so that it is the article's own."""
-    end = re.compile(rf"</{name}\b", re.I).search(page, at)
-    held = page[at : end.start() if end else at].lower()
-    return "<h1" in held and "<nav" not in held and "<ul" not in held and "<form" not in held
+def features(said: tuple, words: int, linked: int, heads: str, controls: int) -> list[float]:
+    """An element's features: those of its names, its link density, its words outside links, whether a heading in it says its name, controls of forms."""
+    _, strong, weak, form, other, anchor, names = said
+    titled = bool(names.intersection(re.findall("[a-z]+", heads.lower())))
+    free = words - linked
+    return [1.0, strong, weak and not strong, form, other, anchor, linked / max(1, words), min(1.0, math.log1p(free) / 4), titled, controls > 0]
+
+
+def labelled_elements() -> list[tuple[list[float], int]]:
+    """Features of elements with 1 for what isn't the article: names as pages use them, about contents of several lengths."""
+    out = []
+    contents = [(3, 0, 0), (12, 0, 0), (60, 4, 0), (6, 6, 0), (20, 16, 0), (4, 1, 2)]
+
+    def add(name: str, key: str, element: str, words: int, linked: int, controls: int, heads: str, y: int) -> None:
+        said = evidence(element, f' {key}="{name}"')
+        if said:
+            out.append((features(said, words, linked, heads, controls), y))
+
+    for strong in sorted(STRONG):
+        for words, linked, controls in contents:
+            for name in (strong, f"{strong}-box", f"site-{strong}", f"{strong}-links"):
+                add(name, "class", "div", words, linked, controls, "", 1)
+            add(strong, "id", "div", words, linked, controls, "", 1)
+            # A subject beside the name: the article's own where it is prose.
+            add(f"{strong}-history", "class", "div", words, linked, controls, "", int(linked > words / 2 or controls > 0))
+        for words in (12, 60, 300):
+            add(strong, "id", "section", words, 0, 0, strong, 0)
+    for weak in sorted(WEAK):
+        for words, linked, controls in contents:
+            links = int(linked > words / 2 or controls > 0)
+            add(weak, "class", "div", words, linked, controls, "", int(links or words < 4))
+            add(f"{weak}-icons", "class", "div", words, linked, controls, "", 1)
+            add(f"{weak}-section", "class", "div", words, linked, controls, "", int(links or words < 4))
+            add(f"{weak}-history", "class", "div", words, linked, controls, "", links)
+            add(weak, "id", "p", words, linked, controls, "", links)
+        for words in (3, 12, 60, 300):
+            add(weak, "id", "div", words, 0, 0, weak, 0)
+    return out
+
+
+@functools.lru_cache(maxsize=1)
+def element_weights() -> tuple[float, ...]:
+    """Weights of features() by a logistic fit to the labelled elements: Newton steps with a small ridge."""
+    rows = labelled_elements()
+    x, y = np.array([f for f, _ in rows], dtype=float), np.array([v for _, v in rows], dtype=float)
+    w = np.zeros(x.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w)), x.T @ (p - y) + 0.1 * w)
+    return tuple(float(v) for v in w)
 
 
 def _kind(name: str) -> str:
@@ -84,24 +143,37 @@ def _kind(name: str) -> str:
     return "inline" if name in ("b", "i", "em", "strong", "span", "u", "small", "code", "sub", "sup", "mark", "q", "cite", "font", "abbr", "time") else "other"
 
 
+class _Element:
+    """An element that may not be the article's: its items run from start to end."""
+
+    __slots__ = ("name", "said", "start", "end", "inside", "sure")
+
+    def __init__(self, name: str, said: tuple | None, start: int, inside: bool, sure: bool):
+        self.name, self.said, self.start, self.end, self.inside, self.sure = name, said, start, -1, inside, sure
+
+
 def nodes(page: str) -> list[tuple]:
     """The page in order: ("text", place, words, text, holder, framed) and ("tag", kind, name, opens, holder, framed).
 
     holder numbers the innermost container; framed tells whether anything around isn't the article.
+    One pass lists tags and texts with the elements that may have to go, a second decides on these
+    by what they hold; both take time in proportion to the page.
     """
-    out: list[tuple] = []
-    stack: list[tuple[str, int, bool]] = []
+    items: list[tuple] = []
+    stack: list[tuple[str, int, _Element | None]] = []
+    suspects: list[_Element] = []
+    around: list[_Element] = []
+    comments: set[int] = set()
     number, link, heading, block, at = 0, 0, 0, 0, 0
-    inside_article = frames = 0
+    inside_article = 0
     open_names: Counter = Counter()
+    flat, depth = None, 0
 
     def text(raw: str) -> None:
         said = html.unescape(raw)
-        words = len(said.split())
-        if words or said:
-            f = frames > 0
-            place = "frame" if f else "link" if link else "heading" if heading else "block" if block or inside_article else "bare"
-            out.append(("text", place, words, said, stack[-1][1] if stack else 0, f))
+        if said:
+            place = "link" if link else "heading" if heading else "block" if block or inside_article else "bare"
+            items.append(("text", place, len(said.split()), said, stack[-1][1] if stack else 0))
 
     for m in _NODE.finditer(page):
         if m.start() < at:
@@ -113,11 +185,22 @@ def nodes(page: str) -> list[tuple]:
         if not name:
             continue
         opens = not m[1]
+        attributes = m[3] or ""
+        bare = attributes.rstrip().endswith("/")
         if opens and name in RAW:
-            if not (m[3] or "").rstrip().endswith("/"):
+            if not bare:
                 end = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(page, at)
                 at = page.find(">", end.start()) + 1 or len(page) if end else len(page)
             continue
+        if flat:
+            if name == flat.name:
+                depth += 1 if opens and name == "span" else -1
+            elif flat.name == "li" and name in ("ul", "ol"):
+                depth += 1 if opens else -1
+            elif flat.name != "li" and name in BLOCK and name != "br":
+                depth = 0
+            if depth <= 0:
+                flat.end, flat = len(items), None
         if name == "a":
             link = int(opens)
         elif re.fullmatch("h[1-6]", name):
@@ -127,39 +210,94 @@ def nodes(page: str) -> list[tuple]:
             block = int(opens)
             heading = 0
         if name in HOLDERS:
-            if opens and not (m[3] or "").rstrip().endswith("/"):
+            if opens and not bare:
                 number += 1
-                own = name in FRAME and not (name == "header" and (inside_article or _titles(page, at, name))) or _marked(name, m[3] or "") or name == "article" and inside_article > 0 and bool(re.search(r"comment|reply", m[3] or "", re.I))
+                said = evidence(name, attributes)
+                comment = name == "article" and inside_article > 0 and bool(re.search(r"comment|reply", attributes, re.I))
+                one = None
+                if comment or said or name in FRAME:
+                    one = _Element(name, said, len(items), inside_article > 0, comment)
+                    suspects.append(one)
+                    if comment:
+                        comments.add(len(items))
                 if name in ("article", "main"):
                     inside_article += 1
                     # The article's own start ends whatever frame was left open around it.
-                    if not own:
-                        if frames:
-                            stack[:] = [(n, k, f and n not in FRAME) for n, k, f in stack]
-                            frames = sum(f for *_, f in stack)
-                stack.append((name, number, own))
+                    if not comment:
+                        for other in around:
+                            if other.end < 0:
+                                other.end = len(items)
+                        around.clear()
+                elif name in FRAME:
+                    around.append(one)
+                stack.append((name, number, one))
                 open_names[name] += 1
-                frames += own
                 link = 0
             elif not opens and open_names[name]:
                 while True:
-                    n, _, f = stack.pop()
+                    n, _, one = stack.pop()
                     open_names[n] -= 1
-                    frames -= f
+                    if one and one.end < 0:
+                        one.end = len(items)
                     if n in ("article", "main"):
                         inside_article -= 1
                     if n == name:
                         break
                 link = heading = block = 0
-        elif opens and name not in VOID and name in ("p", "span", "li", "h1", "h2", "h3", "h4", "h5", "h6") and _marked(name, m[3] or ""):
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            out.append(("tag", _kind(name), name, True, stack[-1][1] if stack else 0, True))
-            if end:
-                at = end.end()
-            continue
-        out.append(("tag", _kind(name), name, opens, stack[-1][1] if stack else 0, frames > 0))
+        elif opens and name in FLAT and not bare and not flat:
+            said = evidence(name, attributes)
+            if said:
+                flat, depth = _Element(name, said, len(items), inside_article > 0, False), 1
+                suspects.append(flat)
+        items.append(("tag", _kind(name), name, opens, stack[-1][1] if stack else 0))
     if at < len(page):
         text(page[at:])
+    return _decided(items, suspects, comments)
+
+
+def _decided(items: list[tuple], suspects: list[_Element], comments: set[int]) -> list[tuple]:
+    """Items with whether they stand in an element that goes."""
+    sums = [(0, 0, 0, 0, 0, 0)]
+    heads, head_at = [], []
+    for i, n in enumerate(items):
+        words, linked, articles, titles, lists, controls = sums[-1]
+        if n[0] == "text":
+            words += n[2]
+            linked += n[2] if n[1] == "link" else 0
+            if n[1] == "heading":
+                heads.append(n[3])
+                head_at.append(i)
+        elif n[3]:
+            articles += n[1] == "article" and i not in comments
+            titles += n[2] == "h1"
+            lists += n[2] in ("nav", "ul", "form")
+            controls += n[2] in ("form", "input", "button", "label", "fieldset")
+        sums.append((words, linked, articles, titles, lists, controls))
+    weights_of = element_weights() if suspects else ()
+    edges = [0] * (len(items) + 1)
+    for e in suspects:
+        end = e.end if e.end >= 0 else len(items)
+        words, linked, articles, titles, lists, controls = (y - x for x, y in zip(sums[min(e.start + 1, len(items))], sums[end], strict=True))
+        if e.said and e.said[0]:
+            goes = True
+        elif e.sure:
+            goes = True
+        elif articles > 0:  # What holds the article is a wrapper, whatever its name.
+            goes = False
+        elif e.name in FRAME:
+            goes = not (e.name == "header" and (e.inside or titles > 0 and lists == 0))
+            goes = goes or e.name == "header" and e.said is not None and e.said[1]
+        else:
+            first = bisect.bisect_left(head_at, e.start)
+            head = heads[first] if first < len(heads) and head_at[first] < end else ""
+            goes = sum(w * f for w, f in zip(weights_of, features(e.said, words, linked, head, controls), strict=True)) > 0
+        if goes:
+            edges[e.start] += 1
+            edges[max(end, e.start)] -= 1
+    out, frames = [], 0
+    for i, n in enumerate(items):
+        frames += edges[i]
+        out.append((n[0], "frame", *n[2:], True) if frames and n[0] == "text" else (*n, frames > 0))
     return out
 
 
@@ -285,7 +423,8 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Null and empty pages, and pages without an article, give an empty text. Unclosed tags, scripts,
     comments and pages cut short are read as far as they go. Repeated rows appear once each; other
-    columns are ignored; an empty table gives no rows.
+    columns are ignored; an empty table gives no rows. Very long pages are read whole, in time in
+    proportion to their length; of regions with equal sums the first is taken.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

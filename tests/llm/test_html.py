@@ -63,3 +63,49 @@ def test_names_that_only_look_marked():
     assert h.main_text(framed) == words
     own = f'<body><div class="content"><header><h1>Title</h1></header><p>{words}</p><p>{words} <a href="#">last link</a></p></div></body>'
     assert h.main_text(own).startswith("Title") and h.main_text(own).endswith("last link")
+
+
+GOING = "related-posts share-buttons social-icons newsletter-form advert-label advertorial cookie-law-info author-comments comment-form post-comments sponsored-post promo-card recommended-articles subscribe-cta article-footer nav-previous breadcrumb-trail ad sidebar cookie-notice comments share newsletterSignup".split()
+WORDS = " ".join("many words of the article stand here and go on" for _ in range(4))
+
+
+def test_named_parts_of_an_article_go():
+    contents = ["Read it", "<p>Someone said this and that about it in a few words.</p>", f"<p>{WORDS}</p>", '<ul><li><a href="#">One more</a></li><li><a href="#">And another</a></li></ul>', "<label>Mail</label><input name=m><button>Go</button>"]
+    for name in GOING:
+        for content in contents:
+            for page in (f'<article><p>{WORDS}</p><div class="{name}">{content}</div><p>Last.</p></article>', f'<body><div class="content"><p>{WORDS}</p><div class="{name}">{content}</div><p>Last words of it.</p></div></body>'):
+                got = h.main_text(page)
+                assert got.startswith(WORDS) and "Last" in got and got.count("\n\n") == 1, (name, content, got)
+
+
+def test_parts_that_only_share_a_name_stay():
+    twins = [
+        f'<div class="social"><p>Social life was rich in those days. {WORDS}</p></div>', '<p id="search">The search went on.</p>', '<div id="discussion"><h2>Discussion</h2><p>It is not clear why.</p></div>',
+        '<div id="menu"><h2>The menu</h2><p>Soup came first.</p></div>', f'<div class="comment-period"><p>The period was long. {WORDS}</p></div>', '<div class="no-sidebar"><p>Wide.</p></div>', f'<div class="discussion-section"><p>{WORDS}</p></div>', f'<section id="related"><h2>Related work</h2><p>{WORDS}</p></section>',
+        '<div class="entry-header"><h2>A part</h2></div>', '<p>First <span class="no-ad">and</span> second.</p>',
+    ]
+    for twin in twins:
+        bare = h.main_text(f"<article><p>{WORDS}</p>{h.re.sub(' (class|id)=.[^>]*', '', twin)}<p>Last.</p></article>")
+        assert h.main_text(f"<article><p>{WORDS}</p>{twin}<p>Last.</p></article>") == bare, twin
+    wrapped = f'<body class="ad"><div class="page sidebar right"><form id="form"><article><p>{WORDS}</p></article></form></div></body>'
+    assert h.main_text(wrapped) == WORDS
+    # A marked paragraph ends where the next block begins, though its end tag is missing.
+    assert h.main_text(f'<article><p class="ad">Buy<p>{WORDS}<div>Last.</div></article>') == f"{WORDS}\n\nLast."
+
+
+def test_time_in_proportion_to_the_page():
+    for part in ("<header>", '<p class="ad">', '<span class="ad">', "<li hidden>", "<nav><article>", '<div class="ad">', "<h2 class='ad'>x", "<ul><li class=ad>", "<form><main>", "<header><h1>a"):
+        began = time.time()
+        h.main_text(part * 20_000)
+        short = time.time() - began
+        began = time.time()
+        h.main_text(part * 80_000)
+        assert time.time() - began < 8 * max(short, 0.1), (part, short, time.time() - began)
+
+
+def test_the_scan_decides_where_no_element_marks_the_article(monkeypatch):
+    pages = [p for p, *_ in h.labelled_pages()]
+    with_scan = [h.main_text(p) for p in pages]
+    monkeypatch.setattr(h, "best_region", lambda scores: (0, len(scores)))
+    changed = sum(h.main_text(p) != t for p, t in zip(pages, with_scan, strict=True))
+    assert changed >= 5
