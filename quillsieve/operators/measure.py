@@ -88,9 +88,12 @@ def measure(docs: DataFrame, reader: Reader, sink: str, settings: dict | None =
     spark = docs.sparkSession
     guard(spark, f"{sink}-settings", {"reader": reader.name, "waves": waves, **(settings or {})})
     at = f"{sink}/plans/{uuid.uuid4().hex}"
+    docs = docs.select("doc_id", "question", "answers", "chunks", "masks")
+    docs.write.parquet(f"{at}/docs")  # masks are drawn once, not again in each wave
+    docs = spark.read.schema(docs.schema).parquet(f"{at}/docs")
     rows = planned(docs, waves)
-    rows.write.partitionBy("wave").parquet(at)
-    plan = spark.read.schema(rows.schema).parquet(at)
+    rows.write.partitionBy("wave").parquet(f"{at}/prompts")
+    plan = spark.read.schema(rows.schema).parquet(f"{at}/prompts")
     ask(docs, plan, reader, sink, waves)
     return outcomes(docs, plan, answers_in(spark, sink), reader.name)
 

@@ -62,9 +62,13 @@ class LineReader(Reader):
 
     def generate(self, contexts: list[str], questions: list[str]) -> list[str]:
         out = []
+        held: dict[str, set[str]] = {}  # Masked contexts of a document share their lines.
         for context, question in zip(contexts, questions, strict=True):
             lines, asked = (context or "").split("\n"), set(_words(question))
-            found = max(lines, key=lambda line: len(asked.intersection(_words(line))))  # max keeps the first of equals
+            for line in lines:
+                if line not in held:
+                    held[line] = set(_words(line))
+            found = max(lines, key=lambda line: len(asked & held[line]))  # max keeps the first of equals
             said = [w for w in re.split(r"[ \t\n\f\r]+", found) if w]
             out.append(" ".join(said[self.first - 1 : self.first - 1 + self.words]))
         return out
