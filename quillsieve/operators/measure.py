@@ -20,9 +20,9 @@ def context_of(chunks: Column, mask: Column) -> Column:
 
 
 def prompt_key(question: Column, context: Column) -> Column:
-    """What tells prompts apart: a digest of question and context, the question's length before both."""
+    """What tells prompts apart: 128 bits of a digest of question and context, the question's length before both."""
     asked = F.coalesce(question, F.lit(""))
-    return F.sha2(F.concat(F.char_length(asked).cast("string"), F.lit(":"), asked, context), 256)
+    return F.substring(F.sha2(F.concat(F.char_length(asked).cast("string"), F.lit(":"), asked, context), 256), 1, 32)
 
 
 def planned(docs: DataFrame, waves: int, more: list[str] | None = None) -> DataFrame:
