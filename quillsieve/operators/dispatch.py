@@ -146,6 +146,7 @@ def _given(models: dict, stand_ins: dict, key: str):
     raise ValueError(f"no model for {key}")
 
 
+_UNITS = "array<struct<chunk: int, text: string, title: string, paragraph: int, title_tokens: int, tokens: int>>"
 _RESULT = "struct<chunk: array<array<double>>, sentence: array<array<double>>, texts: array<struct<ratio: double, text: string, truncated: boolean, error: string>>, seconds: double>"
 
 
@@ -196,12 +197,17 @@ def arm_rows(docs: DataFrame, specs: list[str], ratios: list[float], models: dic
     """
     arms = parse_all(specs)
     docs = docs.where(F.size("chunks") > 0)
-    rows = sentence_units(docs)
-    rows = _once(rows, lengths=F.transform("chunks", lambda c: token_count(c)), full_text=F.array_join("chunks", CHUNK_SEP), titled=F.transform("units", lambda u: F.when(u["title"] != "", F.concat(u["title"], F.lit("\n"), u["text"])).otherwise(u["text"])))
+    # Sentences only where an arm takes some.
+    cut = any(a.kind in ("sentence", "fill") for a in arms)
+    rows = sentence_units(docs) if cut else docs.withColumn("units", F.lit(None).cast(_UNITS))
+    titled = F.transform("units", lambda u: F.when(u["title"] != "", F.concat(u["title"], F.lit("\n"), u["text"])).otherwise(u["text"]))
+    rows = _once(rows, lengths=F.transform("chunks", lambda c: token_count(c)), full_text=F.array_join("chunks", CHUNK_SEP), titled=titled)
     rows = _once(rows, full_tokens=count(F.col("full_text")))
     ask = _asked(arms, ratios, models or {}, tools or {})
     if ask is not None:
-        rows = rows.withColumn("asked", ask("question", "chunks", "titled", "full_tokens"))
+        # Sentences go to Python only for a model that scores them.
+        sentences = F.col("titled") if _models(arms, "sentence") else F.lit(None).cast("array<string>")
+        rows = rows.withColumn("asked", ask("question", "chunks", sentences, "full_tokens"))
     names = {level: _models(arms, level) for level in ("chunk", "sentence")}
     bm25 = {"chunk": F.col("bm25_chunk"), "sentence": F.col("bm25_sentence")}
     made = {}
@@ -243,7 +249,8 @@ def arm_rows(docs: DataFrame, specs: list[str], ratios: list[float], models: dic
             F.lit(arm.label).alias("arm"), F.lit(arm.kind).alias("kind"), (scores(arm, "chunk") if arm.kind in ("chunk", "fill") else empty).alias("scores"),
             (scores(arm, "sentence") if arm.kind in ("sentence", "fill") else empty).alias("unit_scores"), texts.alias("texts"),
             (F.col("asked.seconds") if model else F.lit(0.0)).alias("seconds")))
-    rows = rows.select("*", F.inline(F.array(*each))).where("kind NOT IN ('chunk', 'fill') OR scores IS NOT NULL")
+    # What only scores are made from stays behind; a row for each arm and ratio carries the rest.
+    rows = rows.select(*[c for c in rows.columns if c not in ("titled", "asked", "bm25_chunk", "bm25_sentence")], F.inline(F.array(*each))).where("kind NOT IN ('chunk', 'fill') OR scores IS NOT NULL")
     listed = F.array(*[F.lit(float(r)) for r in ratios])
     rows = rows.withColumn("ratio", F.explode(F.when(F.col("kind") == "full", F.array(F.lit(None).cast("double"))).otherwise(listed)))
     limit = F.when(F.col("kind") == "full", F.col("full_tokens")).otherwise(selection.budget(F.col("full_tokens"), F.col("ratio")))

@@ -13,6 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from quillsieve.functions.hashing import hash_unit
+from quillsieve.sources.scratch import scratch_folder
 
 #: Clusters of a cell that are gathered in one row, of 16 bytes a value each; cells of more are drawn by joins.
 GATHERED = 1 << 18
@@ -20,14 +21,34 @@ GATHERED = 1 << 18
 _STEP = 128
 
 
-def cluster_sums(rows: DataFrame, keys: list[str], cluster: str, values: list[str]) -> DataFrame:
-    """For each cell and cluster the number of complete rows and the sums of values, and the cluster's place (j) among the k of its cell."""
+def _sums(rows: DataFrame, keys: list[str], cluster: str, values: list[str], more: tuple[str, ...] = ()) -> DataFrame:
     complete = rows.where(" AND ".join(f"{v} IS NOT NULL AND NOT isnan({v})" for v in values))
-    sums = complete.groupBy(*keys, cluster).agg(F.count("*").alias("size"), *[F.sum(v).alias(v) for v in values])
+    return complete.groupBy(*keys, cluster).agg(F.count("*").alias("size"), *[F.sum(v).alias(v) for v in (*values, *more)])
+
+
+def _placed(sums: DataFrame, keys: list[str], cluster: str) -> DataFrame:
     cell = Window.partitionBy(*keys)
     return sums.withColumn("j", F.row_number().over(cell.orderBy(cluster)) - 1).withColumn("k", F.count("*").over(cell))
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df written to scratch and read back, so that what it is made from is made once however often it is used."""
+    spark = df.sparkSession
+    path = scratch_folder(spark, "kept")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def cluster_table(rows: DataFrame, keys: list[str], cluster: str, values: list[str], more: tuple[str, ...] = ()) -> DataFrame:
+    """For each cell and cluster the number of complete rows (size) and the sums of values, and of `more` beside them: a small table, kept(), from which every figure of a cell is made."""
+    return kept(_sums(rows, keys, cluster, values, more))
+
+
+def cluster_sums(rows: DataFrame, keys: list[str], cluster: str, values: list[str]) -> DataFrame:
+    """For each cell and cluster the number of complete rows and the sums of values, and the cluster's place (j) among the k of its cell."""
+    return _placed(_sums(rows, keys, cluster, values), keys, cluster)
+
+
 def bootstrap(rows: DataFrame, keys: list[str], cluster: str, values: list[str], draws: int = 10_000, salt: str = "boot") -> DataFrame:
     """(keys, b, values): means of values when clusters are drawn with replacement, `draws` times for each cell.
 
@@ -35,7 +56,12 @@ def bootstrap(rows: DataFrame, keys: list[str], cluster: str, values: list[str],
     floor(k * hash('b:s')), which needs no generator state and is the same in every run, and the same
     in all cells of k clusters: how often each is drawn is found once for each k, then joined.
     """
-    sums = cluster_sums(rows, keys, cluster, values)
+    return _drawn(_sums(rows, keys, cluster, values), keys, cluster, values, draws, salt)
+
+
+def _drawn(table: DataFrame, keys: list[str], cluster: str, values: list[str], draws: int, salt: str) -> DataFrame:
+    """bootstrap() from the clusters' sums."""
+    sums = _placed(table, keys, cluster)
     drawn = sums.select("k").distinct().withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("s", F.explode(F.sequence(F.lit(0), (F.col("k") - 1).cast("int"))))
     place = F.floor(F.col("k") * hash_unit(F.concat_ws(":", "b", "s"), salt)).cast("int")
     times = drawn.groupBy("k", "b", place.alias("j")).agg(F.count("*").alias("times"))
@@ -157,15 +183,12 @@ def _per_cell(cells: DataFrame, keys: list[str], schema: str, figures: Callable[
     return cells.mapInArrow(run, schema)
 
 
-def cell_vectors(rows: DataFrame, keys: list[str], cluster: str, values: list[str], gathered: int = GATHERED) -> tuple[DataFrame, DataFrame]:
-    """(cells, large): clusters of each cell as one list of (cluster, size, sums), in order; and the rows of cells that have more than `gathered`."""
-    complete = rows.where(" AND ".join(f"{v} IS NOT NULL AND NOT isnan({v})" for v in values))
-    sums = complete.groupBy(*keys, cluster).agg(F.count("*").alias("size"), *[F.sum(v).alias(v) for v in values])
+def cell_vectors(sums: DataFrame, keys: list[str], cluster: str, values: list[str], gathered: int = GATHERED) -> tuple[DataFrame, DataFrame | None]:
+    """(cells, large) of a cluster_table(): clusters of each cell as one list of (cluster, size, sums), in order; and the clusters of cells that have more than `gathered`, None without such."""
     numbers = sums.groupBy(*keys).agg(F.count("*").alias("k"))
-    listed = sums
-    large = complete.limit(0)
+    listed, large = sums, None
     if (numbers.agg(F.max("k")).first()[0] or 0) > gathered:
-        large = complete.join(numbers.where(F.col("k") > gathered).drop("k"), keys, "left_semi")
+        large = sums.join(numbers.where(F.col("k") > gathered).drop("k"), keys, "left_semi")
         listed = sums.join(numbers.where(F.col("k") <= gathered).drop("k"), keys, "left_semi")
     each = F.array_sort(F.collect_list(F.struct(F.col(cluster).alias("c"), "size", *[F.col(v).alias(f"v{i}") for i, v in enumerate(values)])))
     return listed.groupBy(*keys).agg(each.alias("clusters")), large
@@ -180,21 +203,26 @@ def bootstrapped(rows: DataFrame, keys: list[str], cluster: str, values: list[st
     """keys and figures(means, drawn) of each cell, in the columns of schema: means of values over its rows, and [draws, values] means when clusters are drawn with replacement.
 
     The draws are those of bootstrap(). All values of a cell have the same draws, so figures may be
-    any function of several means. A cell's clusters become one short list, and nothing but these
-    lists moves; cells of more than `gathered` clusters are drawn by joins instead, with equal results.
+    any function of several means. rows are read once; a cell's clusters become one short list, and nothing
+    but these lists moves; cells of more than `gathered` clusters are drawn by joins instead, with equal results.
     """
-    cells, large = cell_vectors(rows, keys, cluster, values, gathered)
+    return bootstrapped_sums(cluster_table(rows, keys, cluster, values), keys, cluster, values, schema, figures, draws, salt, gathered)
+
+
+def bootstrapped_sums(sums: DataFrame, keys: list[str], cluster: str, values: list[str], schema: str, figures: Callable[[np.ndarray, np.ndarray], dict | None], draws: int = 10_000, salt: str = "boot", gathered: int = GATHERED) -> DataFrame:
+    """bootstrapped() from a cluster_table()."""
+    cells, large = cell_vectors(sums, keys, cluster, values, gathered)
 
     def of(row: dict) -> dict | None:
         sizes, sums = _arrays(row, len(values))
         return figures(sums.sum(axis=0) / sizes.sum(), drawn_means(sizes, sums, draws, salt))
 
     out = _per_cell(cells, keys, schema, of)
-    if not large.limit(1).count():
+    if large is None:
         return out
-    boot = bootstrap(large, keys, cluster, values, draws, salt)
+    boot = _drawn(large, keys, cluster, values, draws, salt)
     boot = boot.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("b", *[F.col(v).alias(f"v{i}") for i, v in enumerate(values)]))).alias("drawn"))
-    both = boot.join(large.groupBy(*keys).agg(F.array(*[F.avg(v) for v in values]).alias("means")), keys)
+    both = boot.join(large.groupBy(*keys).agg(F.array(*[F.sum(v) / F.sum("size") for v in values]).alias("means")), keys)
     joint = lambda row: figures(np.array(row["means"]), np.array([[d[f"v{i}"] for i in range(len(values))] for d in row["drawn"]]))
     return out.union(_per_cell(both, keys, schema, joint))
 
@@ -260,8 +288,8 @@ def wild(rows: DataFrame, keys: list[str], cluster: str, value: str, margin: flo
     margin. se: cluster-robust; mde: the least difference found with a power of 80 %. One pass a cell
     in memory that doubles up to EXACT clusters and stays there; a cell's clusters must fit in one row.
     """
-    cells, large = cell_vectors(rows, keys, cluster, [value], gathered)
-    if large.limit(1).count():
+    cells, large = cell_vectors(cluster_table(rows, keys, cluster, [value]), keys, cluster, [value], gathered)
+    if large is not None:
         raise ValueError(f"cells of more than {gathered} clusters have no sign flips")
 
     def of(row: dict) -> dict | None:
@@ -293,6 +321,7 @@ def at_equal(points: DataFrame, keys: list[str], arm: str, x: str, y: str, refer
     and extrapolated is set. Arms of one point, and points at one x (their mean counts), are defined:
     one point gives its own value. points has few rows, one for each cell.
     """
+    points = kept(points)
     known = points.where(f"{x} > 0 AND {y} IS NOT NULL").groupBy(*keys, arm, x).agg(F.avg(y).alias("_y")).select(*keys, arm, F.log(x).alias("_x"), "_y")
     own = F.array_sort(F.collect_list(F.struct("_x", "_y")))
     lines = known.groupBy(*keys, arm).agg(own.alias("_line"))

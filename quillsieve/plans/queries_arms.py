@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillsieve.operators import dispatch
+from quillsieve.plans.arms import parse
 from quillsieve.plans.frames import COUNT, HASH, TERMS, spread, table
 
 QUERIES: dict = {}
 SQL: dict = {}
 
 ARMS = ["full", "lead", "random", "bm25", "oracle_span", "embed", "fused=rrf:bm25|embed", "sent+bm25", "fill+bm25", "llmlingua2"]
+LABELS = [parse(a).label for a in ARMS]
 RATIOS = (2.0, 4.0, 8.0)
 
 
@@ -136,9 +138,10 @@ arm_rows AS MATERIALIZED (
   FROM d JOIN (SELECT * FROM wholes UNION ALL BY NAME SELECT * FROM chunked UNION ALL BY NAME SELECT * FROM sentences UNION ALL BY NAME SELECT * FROM filled UNION ALL BY NAME SELECT * FROM texts) a USING (doc_id))"""
 
 
-def selected(spark, sf_dir) -> DataFrame:
-    """The selection rows of every document, arm and ratio."""
-    return dispatch.arm_rows(arm_docs(spark, sf_dir), ARMS, list(RATIOS))
+def selected(spark, sf_dir, arms: list[str] | None = None, where: str = "true") -> DataFrame:
+    """The selection rows of every document, arm and ratio; of some arms, and of documents under a condition, for queries that read no others."""
+    specs = [a for a in ARMS if arms is None or parse(a).label in arms]
+    return dispatch.arm_rows(arm_docs(spark, sf_dir).where(where), specs, list(RATIOS))
 
 
 @query(

@@ -78,3 +78,20 @@ def test_equal_compression(spark):
     assert abs(got["ours", 2.0][0] - between(2.0, (1.5, 0.9), (3.0, 0.6))) < 1e-12 and not got["ours", 2.0][1]
     assert abs(got["ours", 8.0][0] - between(8.0, (3.0, 0.6), (6.0, 0.5))) < 1e-12 and got["ours", 8.0][1]
     assert got["one", 2.0] == (0.7, True) and abs(got["same", 2.0][0] - 0.3) < 1e-12 and got["same", 2.0][1] is False and ("void", 2.0) not in got
+
+
+def test_rows_are_made_once(spark):
+    """Cells, draws and interpolation read their rows once, however many figures are made from them."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    frame = rows_of(spark, {"few": 20, "many": 30})
+    rows, number = frame.mapInPandas(count, frame.schema), frame.count()
+    st.wild(rows, ["cell"], "cluster", "d").collect()
+    assert made.value == number
+    st.bootstrapped(rows, ["cell"], "cluster", ["d"], "m double", lambda means, drawn: {"m": float(means[0])}, 10).collect()
+    assert made.value == 2 * number
