@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -126,13 +129,13 @@ def ridge(x: np.ndarray, y: np.ndarray, alpha: float | np.ndarray) -> np.ndarray
     return np.linalg.pinv(x.T @ x + penalty, hermitian=True) @ (x.T @ y)
 
 
+@lru_cache(maxsize=1024)
 def fold_of(n: int, seed: int = 0) -> np.ndarray:
-    """A fold for each mask by hash, as even as can be."""
-    import hashlib
-
+    """A fold for each mask by hash, as even as can be; kept, as it depends on their number alone."""
     order = sorted(range(n), key=lambda k: hashlib.sha1(f"fold:{seed}:{k}".encode()).hexdigest())
     folds = np.zeros(n, dtype=int)
     folds[order] = np.arange(n) * min(FOLDS, n) // max(n, 1)
+    folds.setflags(write=False)
     return folds
 
 

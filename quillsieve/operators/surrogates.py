@@ -20,6 +20,7 @@ from pyspark.sql.types import StructType
 
 from quillsieve.functions.hashing import hash_unit
 from quillsieve.operators.attribution import fold_of
+from quillsieve.operators.statistics import kept
 
 #: Penalties tried for main effects and for interactions.
 MAIN_GRID = (0.1, 0.3, 1.0, 3.0, 10.0)
@@ -48,6 +49,31 @@ def dual(kernel: np.ndarray, y: np.ndarray, train: np.ndarray) -> tuple[np.ndarr
     return weights, y[train].mean() + across @ weights
 
 
+def duals(own: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(weights, centers, means) of many fits of one size at once: own is [fits, n, n], y [fits, n]."""
+    center = own.mean(axis=1)
+    inner = own - center[:, None, :] - center[:, :, None] + center.mean(axis=1)[:, None, None]
+    means = y.mean(axis=1)
+    weights = np.linalg.solve(inner + np.eye(own.shape[1]), (y - means[:, None])[:, :, None])[:, :, 0]
+    return weights, center, means
+
+
+def held_out_all(kernels_of: Callable[[np.ndarray], np.ndarray], y: np.ndarray, seed: int = 0) -> np.ndarray:
+    """held_out() for many kernels of one size at once: kernels_of(train) is [fits, n, n], y [fits, n] or, if shared, [n]."""
+    n = y.shape[-1]
+    folds, said = fold_of(n, seed), None
+    for f in range(folds.max() + 1):
+        train, out = np.flatnonzero(folds != f), np.flatnonzero(folds == f)
+        kernel = kernels_of(train)
+        if said is None:
+            y = np.broadcast_to(y, (len(kernel), n))
+            said = np.zeros(y.shape)
+        weights, center, means = duals(kernel[:, train[:, None], train[None, :]], y[:, train])
+        across = kernel[:, out[:, None], train[None, :]] - center[:, None, :]
+        said[:, out] = means[:, None] + (across @ weights[:, :, None])[:, :, 0]
+    return said
+
+
 def betas(masks: np.ndarray, y: np.ndarray, alpha: float) -> np.ndarray:
     """Coefficients of the additive surrogate."""
     weights, _ = dual(masks @ masks.T / alpha, y, np.arange(len(y)))
@@ -118,8 +144,10 @@ def interaction_errors(measured: DataFrame, alpha: float) -> DataFrame:
         if len(y) < 4:
             return
         for model, of in kernels(masks, y, row["gold"], alpha).items():
-            for a in MAIN_GRID if model == "additive" else PAIR_GRID:
-                yield {"model": model, "penalty": a, "mse": float(np.mean((held_out(of(a), y) - y) ** 2))}
+            grid = MAIN_GRID if model == "additive" else PAIR_GRID
+            said = held_out_all(lambda train, of=of, grid=grid: np.stack([of(a)(train) for a in grid]), y)
+            for a, mse in zip(grid, ((said - y) ** 2).mean(axis=1), strict=True):
+                yield {"model": model, "penalty": a, "mse": float(mse)}
 
     errors = _listed(measured, "doc_id {doc_id}, source string, model string, penalty double, mse double", each)
     return errors.groupBy("source", "model", "penalty").agg(F.avg("mse").alias("cv_mse"), F.count("*").alias("n"))
@@ -169,7 +197,8 @@ def interaction_gain(measured: DataFrame, alpha: float = 1.0) -> DataFrame:
     measured(doc_id, source, masks, y, gold, answers_in) with constant or no outcomes, or fewer than
     four masks, take no part.
     """
-    penalties = chosen_penalties(interaction_errors(measured, alpha))
+    measured = kept(measured.select("doc_id", "source", "masks", "y", "gold", "answers_in"))  # masks are drawn and answered once for both passes
+    penalties = kept(chosen_penalties(interaction_errors(measured, alpha)))
     fits = interaction_fits(measured, penalties, alpha)
     found = fits.groupBy("source", "model").agg(
         F.count("*").alias("n"), F.avg("r2").alias("r2"), F.avg("gain").alias("gain"), (F.stddev_samp("gain") / F.sqrt(F.count("gain"))).alias("gain_se"), F.avg((F.col("gain") > 0).cast("int")).alias("share_gaining"),
@@ -210,23 +239,36 @@ def _label(beta: np.ndarray, gold: list[int], answers_in: list[int]) -> dict:
     return {"first": first, "recall": recall, "degenerate": flat}
 
 
-def _refit(masks: np.ndarray, y: np.ndarray, at: np.ndarray, full: np.ndarray, alpha: float) -> dict:
-    """How a fit on some masks compares with the one on all: rank correlation, held-out R2 among its own masks and on the others."""
-    kernel = masks @ masks.T / alpha
-    weights, said = dual(kernel, y, at)
-    beta = np.round(masks[at].T @ weights / alpha, 9)
-    out: dict = {"spearman": None, "cv_r2": None, "heldout_r2": None}
+def _correlation(a: np.ndarray, b: np.ndarray) -> float:
+    a, b = a - a.mean(), b - b.mean()
+    return float(a @ b / np.sqrt((a @ a) * (b @ b)))
+
+
+def _refits(masks: np.ndarray, y: np.ndarray, kernel: np.ndarray, ats: np.ndarray, full: np.ndarray, alpha: float, gold: list[int], answers_in: list[int]) -> list[dict]:
+    """For fits on some masks each (ats, all of one number): their labels, and how they compare with the fit on all: rank correlation, held-out R2 among their own masks and on the others."""
+    inside, own = kernel[ats[:, :, None], ats[:, None, :]], y[ats]
+    weights, center, means = duals(inside, own)
+    coefficients = np.einsum("bm,bmc->bc", weights, masks[ats]) / alpha
+    varied = [b for b in range(len(ats)) if len(ats[b]) >= 4 and np.ptp(own[b]) >= FLAT]
+    within = dict(zip(varied, held_out_all(lambda train: inside[varied], own[varied]), strict=True)) if varied else {}
     whole = np.round(full, 9)
-    if np.std(beta) > 1e-12 and np.std(whole) > 1e-12:
-        out["spearman"] = float(np.corrcoef(_ranks(beta), _ranks(whole))[0, 1])
-    own = y[at]
-    if len(at) >= 4 and np.ptp(own) >= FLAT:
-        inside = kernel[np.ix_(at, at)]
-        out["cv_r2"] = float(1 - ((held_out(lambda train: inside, own) - own) ** 2).sum() / ((own - own.mean()) ** 2).sum())
-    rest = np.setdiff1d(np.arange(len(y)), at)
-    if len(rest) >= 2 and np.ptp(y[rest]) >= FLAT:
-        out["heldout_r2"] = float(1 - ((said[rest] - y[rest]) ** 2).sum() / ((y[rest] - y[rest].mean()) ** 2).sum())
-    return out
+    ranks = _ranks(whole) if np.std(whole) > 1e-12 else None
+    r2 = lambda said, seen: float(1 - ((said - seen) ** 2).sum() / ((seen - seen.mean()) ** 2).sum())
+    found = []
+    for b, at in enumerate(ats):
+        out: dict = {"spearman": None, "cv_r2": None, "heldout_r2": None}
+        beta = np.round(coefficients[b], 9)
+        if ranks is not None and np.std(beta) > 1e-12:
+            out["spearman"] = _correlation(_ranks(beta), ranks)
+        if b in within:
+            out["cv_r2"] = r2(within[b], own[b])
+        others = np.ones(len(y), dtype=bool)
+        others[at] = False
+        rest = np.flatnonzero(others)
+        if len(rest) >= 2 and np.ptp(y[rest]) >= FLAT:
+            out["heldout_r2"] = r2(means[b] + (kernel[rest[:, None], at[None, :]] - center[b][None, :]) @ weights[b], y[rest])
+        found.append(_label(coefficients[b], gold, answers_in) | out)
+    return found
 
 
 _CURVE = "doc_id {doc_id}, source string, fit string, calls int, first double, recall double, degenerate double, spearman double, cv_r2 double, heldout_r2 double"
@@ -249,22 +291,22 @@ def refits(measured: DataFrame, alpha: float = 1.0, calls: tuple = CALLS, draws:
         full = betas(masks, y, alpha)
         kinds = (row["gold"], row["answers_in"])
 
-        def fit(at: np.ndarray) -> dict:
-            at = np.sort(at)
-            weights, _ = dual(masks @ masks.T / alpha, y, at)
-            return _label(masks[at].T @ weights / alpha, *kinds) | _refit(masks, y, at, full, alpha)
+        kernel = masks @ masks.T / alpha
+
+        def fits(ats: list[np.ndarray]) -> list[dict]:
+            return _refits(masks, y, kernel, np.sort(np.stack(ats), axis=1), full, alpha, *kinds)
 
         orders = [np.array(subset_order(row["doc_id"], d, n)) for d in range(draws)]
-        yield {"fit": "curve", "calls": n} | fit(np.arange(n)) | {"spearman": 1.0}
+        yield {"fit": "curve", "calls": n} | fits([np.arange(n)])[0] | {"spearman": 1.0}
         for k in calls:
             if k < n:
-                yield {"fit": "curve", "calls": k} | mean([fit(o[:k]) for o in orders])
+                yield {"fit": "curve", "calls": k} | mean(fits([o[:k] for o in orders]))
         few = masks.sum(axis=1) <= sparse_keeps
         m = int(few.sum())
         if 2 <= m <= n - m:
-            yield {"fit": "sparse", "calls": m} | fit(np.flatnonzero(few))
-            yield {"fit": "dense", "calls": m} | mean([fit(o[~few[o]][:m]) for o in orders])
-            yield {"fit": "any", "calls": m} | mean([fit(o[:m]) for o in orders])
+            yield {"fit": "sparse", "calls": m} | fits([np.flatnonzero(few)])[0]
+            yield {"fit": "dense", "calls": m} | mean(fits([o[~few[o]][:m] for o in orders]))
+            yield {"fit": "any", "calls": m} | mean(fits([o[:m] for o in orders]))
 
     return _listed(measured, _CURVE, each)
 

@@ -145,3 +145,22 @@ def test_nested_draws():
     for _ in range(5):
         d, n = rng.randint(0, 99), rng.randint(9, 60)
         assert sorted(su.subset_order(d, 1, n)) == list(range(n)) and su.subset_order(d, 1, n) != su.subset_order(d, 2, n)
+
+
+def test_measured_rows_are_made_once(spark):
+    """The two passes over a document's masks share one making of them."""
+    made = spark.sparkContext.accumulator(0)
+    rng = np.random.default_rng(4)
+    masks = [[[bool(x) for x in m] for m in rng.random((12, 4)) < 0.5] for _ in range(3)]
+    frame = spark.createDataFrame([(d, "s", m, [float(x) for x in rng.random(12)], [0, 2], [1]) for d, m in enumerate(masks)], "doc_id long, source string, masks array<array<boolean>>, y array<double>, gold array<int>, answers_in array<int>")
+
+    su.interaction_gain(frame.mapInArrow(lambda bs: (made.add(b.num_rows) or b for b in bs), frame.schema)).collect()
+    assert made.value == 3
+
+
+def test_fits_at_once_equal_single_ones():
+    rng = np.random.default_rng(5)
+    masks, y = (rng.random((30, 6)) < 0.5).astype(float), rng.random(30)
+    every = [masks @ masks.T / a for a in (0.3, 1.0, 10.0)]
+    got = su.held_out_all(lambda train: np.stack(every), y)
+    assert np.allclose(got, [su.held_out(lambda train, k=k: k, y) for k in every], atol=1e-12)
