@@ -186,3 +186,13 @@ def test_arm_specifications():
         with pytest.raises(ValueError):
             arms.parse(bad)
     assert arms.parse("bm25").label == "bm25" and math.isfinite(1.0)
+
+
+def test_draws_move_as_numbers(spark):
+    """A document's repeated draws are dropped inside its row: no aggregation, and so no shuffle, comes before the lines are met."""
+    lines = spark.range(500).selectExpr("concat('line ', id) AS chunk", "id AS _i", "500L AS _n")
+    asked = spark.createDataFrame([("d", "x", ["y"])], "doc_id string, needle string, answers array<string>")
+    found = documents._candidates(asked, lines, 60, None, "draw")
+    assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = found.collect()
+    assert len({r["chunk"] for r in rows}) == len(rows) <= 60
