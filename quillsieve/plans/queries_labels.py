@@ -28,8 +28,8 @@ def query(sql: str | None = None):
     return add
 
 
-def _masked(spark, sf_dir) -> DataFrame:
-    docs = doc_docs(spark, sf_dir).select("doc_id", F.size("chunks").alias("n"))
+def _masked(spark, sf_dir, *more) -> DataFrame:
+    docs = doc_docs(spark, sf_dir).select("doc_id", F.size("chunks").alias("n"), *more)
     return docs.withColumn("masks", at.random_masks(F.col("doc_id"), F.col("n"), at.num_masks(F.col("n"))))
 
 
@@ -109,7 +109,7 @@ def ndcg_scores(spark, sf_dir) -> DataFrame:
 
 def _outcomes(spark, sf_dir) -> DataFrame:
     """A row for each random mask of each document: the share of the gold chunk's and the first chunk's weight that it keeps, with noise."""
-    rows = _masked(spark, sf_dir).join(doc_docs(spark, sf_dir).select("doc_id", F.element_at("gold_chunks", 1).alias("gold")), "doc_id")
+    rows = _masked(spark, sf_dir, F.element_at("gold_chunks", 1).alias("gold"))
     long = rows.select("doc_id", "gold", F.posexplode("masks").alias("k", "mask"))
     noise = hash_unit(F.concat_ws(":", "doc_id", "k"), "noise") * 0.02
     y = F.when(F.element_at("mask", F.col("gold") + 1), 0.6).otherwise(0.0) + F.when(F.element_at("mask", 1), 0.2).otherwise(0.0) + noise

@@ -164,3 +164,10 @@ def test_fits_at_once_equal_single_ones():
     every = [masks @ masks.T / a for a in (0.3, 1.0, 10.0)]
     got = su.held_out_all(lambda train: np.stack(every), y)
     assert np.allclose(got, [su.held_out(lambda train, k=k: k, y) for k in every], atol=1e-12)
+
+
+def test_outcomes_read_documents_once(spark):
+    from quillsieve.plans import queries_labels
+
+    plan = queries_labels._outcomes(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
