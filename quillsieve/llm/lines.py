@@ -4,10 +4,12 @@ Everything here is DataFrame operations. Lines are told apart by two 64-bit hash
 form (lower case, outer white space trimmed), so exact copies cost one signature each only until the
 first shuffle, where they combine.
 
-A bucket costs two candidates a line, whatever its size: each line is compared with the bucket's
-first and last line in an order of the bucket's own (`key XOR bucket`). As the orders of different
-buckets have nothing to do with each other, lines that one bucket's ends leave apart meet through
-the ends of another, and nothing is gathered, capped or listed in pairs.
+A bucket first costs two candidates a line, whatever its size: each line is compared with the
+bucket's first and last line in an order of the bucket's own (`key XOR bucket`). As the orders of
+different buckets have nothing to do with each other, most lines that one bucket's ends leave apart
+meet through the ends of another. Buckets that still hold several components are then compared
+whole: every two of their lines in different components, in blocks of lines of bounded size. So
+two lines that share a bucket end in one component or are compared; nothing is capped.
 """
 
 from __future__ import annotations
@@ -29,6 +31,10 @@ MINIMA = 12
 BANDS = ((0, 4, 8), (1, 5, 9), (2, 6, 10), (3, 7, 11), (0, 5, 10), (1, 6, 11), (2, 7, 8), (3, 4, 9), (0, 6, 9), (1, 7, 10), (2, 4, 11), (3, 5, 8))
 #: Share of minima in which lines must agree for their sets to be compared; at similarity 0.8 one pair in 250 agrees in fewer.
 LEAST_AGREEING = 0.5
+#: Lines of a block, when a bucket that still holds several components is compared whole.
+BLOCK = 512
+#: 64-bit words of a bitmap of a line's shingles.
+WORDS = 16
 #: Shingles hashed in one row, and rows listed at once, so that a line of any length stays in bounded memory.
 STRIDE, STRETCH = 4, 2048
 
@@ -81,6 +87,57 @@ def candidates(members: DataFrame) -> DataFrame:
     return with_ends.where("key <> end").select(F.least("key", "end").alias("u"), F.greatest("key", "end").alias("v")).distinct()
 
 
+def shared(members: DataFrame) -> DataFrame:
+    """Those of members(key, bucket) in buckets of several lines."""
+    several = stored(members.groupBy("bucket").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a <> z").select("bucket"))
+    return members.join(checked_broadcast(several), "bucket", "left_semi").select("key", "bucket")
+
+
+def _agree(left: list[str], right: list[str], share: float) -> Column:
+    """Whether the minima in two lists of columns agree in that share or more."""
+    same = sum((F.when(F.col(a) == F.col(b), F.lit(1)).otherwise(F.lit(0)) for a, b in zip(left, right, strict=True)), F.lit(0))
+    return same >= share * len(left)
+
+
+def bitmaps(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(key, n, b0, b1, ...): how many different shingles each line of texts(key, line) has, and a bitmap of their hashes."""
+    each = texts.select("key", F.explode(F.array_distinct(shingle_hashes(F.col("line"), shingle))).alias("h"))
+    word = F.col("h").bitwiseAND(F.lit(WORDS - 1))
+    bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 32) & 63 AS int))")
+    return each.groupBy("key").agg(F.count("*").alias("n"), *[F.bit_or(F.when(word == k, bit).otherwise(F.lit(0))).alias(f"b{k}") for k in range(WORDS)])
+
+
+def fitting(left: str, right: str, similarity: float = SIMILARITY) -> Column:
+    """Whether sets of which bitmaps() are in columns with these prefixes can be as similar as asked for. Says yes to every two that are.
+
+    Each bit in which the bitmaps differ is one of another shingle that only one of the sets has.
+    """
+    n, m = F.col(f"{left}n"), F.col(f"{right}n")
+    differ = sum((F.bit_count(F.col(f"{left}b{k}").bitwiseXOR(F.col(f"{right}b{k}"))) for k in range(WORDS)), F.lit(0))
+    return (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9) & (differ * (1 + similarity) <= (n + m) * (1 - similarity) + 1e-9)
+
+
+def apart(members: DataFrame, parts: DataFrame, signed: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, share: float = LEAST_AGREEING, block: int = BLOCK) -> DataFrame:
+    """The different pairs (u, v), u < v, of lines that share a bucket of members(key, bucket), are in different components of parts(node, component), agree in enough minima and are fitting().
+
+    A bucket is cut into blocks of about `block` lines, and each two blocks meet under a key of their
+    own, so a large bucket is compared all over the cluster.
+    """
+    names = [c for c in signed.columns if c.startswith("m")]
+    placed = members.join(checked_broadcast(parts), F.col("key") == F.col("node"), "left").select("bucket", "key", F.coalesce("component", "key").alias("part"))
+    cut = placed.groupBy("bucket").agg(F.min("part").alias("a"), F.max("part").alias("z"), F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("a <> z")
+    rest = stored(placed.join(checked_broadcast(stored(cut.select("bucket", "blocks"))), "bucket").withColumn("block", F.pmod(F.xxhash64("key", "bucket"), F.col("blocks")).cast("int")))
+    wanted = checked_broadcast(stored(rest.select("key").distinct()))
+    marks = stored(signed.join(wanted, "key", "left_semi").join(bitmaps(texts.join(wanted, "key", "left_semi"), shingle), "key"))
+    held = rest.join(marks, "key")
+    of = lambda side: [F.col(c).alias(f"{side}{c}") for c in ("key", "part", *marks.columns[1:])]
+    left = held.select("bucket", F.col("block").alias("low"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("high"), *of("x"))
+    right = held.select("bucket", F.explode(F.sequence(F.lit(0), "block")).alias("low"), F.col("block").alias("high"), *of("y"))
+    met = left.join(right, ["bucket", "low", "high"]).where("xpart <> ypart AND (low < high OR xkey < ykey)")
+    met = met.where(_agree([f"x{c}" for c in names], [f"y{c}" for c in names], share)).where(fitting("x", "y", similarity))
+    return met.select(F.least("xkey", "ykey").alias("u"), F.greatest("xkey", "ykey").alias("v")).distinct()
+
+
 def ends_of(pairs: DataFrame) -> DataFrame:
     """(key): every line of pairs(u, v)."""
     return pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
@@ -92,8 +149,7 @@ def agreeing(pairs: DataFrame, signed: DataFrame, share: float = LEAST_AGREEING)
     held = stored(signed.join(checked_broadcast(stored(ends_of(pairs))), "key", "left_semi").select("key", *names))
     left = held.select(F.col("key").alias("u"), *[F.col(c).alias(f"a{c}") for c in names])
     right = held.select(F.col("key").alias("v"), *[F.col(c).alias(f"b{c}") for c in names])
-    agree = sum((F.when(F.col(f"a{c}") == F.col(f"b{c}"), F.lit(1)).otherwise(F.lit(0)) for c in names), F.lit(0))
-    return pairs.join(left, "u").join(right, "v").where(agree >= share * len(names)).select("u", "v")
+    return pairs.join(left, "u").join(right, "v").where(_agree([f"a{c}" for c in names], [f"b{c}" for c in names], share)).select("u", "v")
 
 
 def shingle_hashes(line: Column, shingle: int = SHINGLE) -> Column:
@@ -123,16 +179,23 @@ def placed_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def similar_lines(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(node, component) of each line, by key, that is linked to another one; and all lines, as placed_lines() has them."""
-    signed = stored(signatures(docs, shingle))
-    pairs = stored(candidates(buckets(signed)))
-    likely = stored(agreeing(pairs, signed))
-    dropped(pairs)
-    dropped(signed)
-    lines = stored(placed_lines(docs, stored(ends_of(likely))))
+    all_signed = stored(signatures(docs, shingle))
+    members = stored(shared(buckets(all_signed)))
+    keys = stored(members.select("key").distinct())
+    signed = stored(all_signed.join(checked_broadcast(keys), "key", "left_semi"))
+    dropped(all_signed)
+    likely = stored(agreeing(stored(candidates(members)), signed))
+    lines = stored(placed_lines(docs, keys))
     texts = stored(lines.where("line IS NOT NULL").groupBy("key").agg(F.min("line").alias("line")))
     links = stored(verified(likely, texts, shingle, similarity))
+    parts = stored(connected_components(links))
+    more = stored(verified(stored(apart(members, parts, signed, texts, shingle, similarity)), texts, shingle, similarity))
+    dropped(members)
+    dropped(signed)
     dropped(texts)
-    return stored(connected_components(links)), lines
+    if not more.limit(1).count():
+        return parts, lines
+    return stored(connected_components(links.union(more))), lines
 
 
 def removals(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
