@@ -93,15 +93,34 @@ def two_sided_p(value: Column) -> Column:
 
 
 def adjusted(tests: DataFrame, p: str, family: list[str], tie: str) -> DataFrame:
-    """tests with holm and bh, the Holm and Benjamini-Hochberg adjustments of p within each family."""
+    """tests with holm and bh, the Holm and Benjamini-Hochberg adjustments of p within each family.
+
+    Tests are range-partitioned by family and p, so a large family lies in many pieces: ranks and
+    running extremes are those of a piece after what its neighbours sum up to. Both extremes run
+    over growing frames; a frame that shrinks towards the end would be read anew for each row.
+    """
     known = F.col(p).isNotNull()
-    order = Window.partitionBy(*family, known).orderBy(p, tie)
-    m = F.count(p).over(Window.partitionBy(*family))
-    ranked = tests.withColumn("_rank", F.row_number().over(order)).withColumn("_m", m)
-    steps = ranked.withColumn("_holm", F.least(F.lit(1.0), (F.col("_m") - F.col("_rank") + 1) * F.col(p))).withColumn("_bh", F.least(F.lit(1.0), F.col(p) * F.col("_m") / F.col("_rank")))
-    up, down = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
-    done = steps.withColumn("holm", F.when(known, F.max("_holm").over(up))).withColumn("bh", F.when(known, F.min("_bh").over(down)))
-    return done.drop("_rank", "_m", "_holm", "_bh")
+    placed = kept(tests.repartitionByRange(*family, p, tie).withColumn("_piece", F.spark_partition_id()))
+    earlier = Window.partitionBy(*family).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(*family).orderBy(F.col("_piece").desc()).rowsBetween(Window.unboundedPreceding, -1)
+
+    def beside(rows: DataFrame, pieces: DataFrame) -> DataFrame:
+        """rows with the columns of pieces(*family, _piece, ...)."""
+        named = pieces.withColumnsRenamed({c: f"_of_{c}" for c in [*family, "_piece"]})
+        same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in family]
+        return rows.join(named, [*same, F.col("_piece") == F.col("_of__piece")]).drop(*[f"_of_{c}" for c in [*family, "_piece"]])
+
+    counts = placed.groupBy(*family, "_piece").agg(F.count(p).alias("_n"))
+    counts = counts.select(*family, "_piece", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_ahead"), F.sum("_n").over(Window.partitionBy(*family)).alias("_m"))
+    inside = Window.partitionBy(*family, "_piece", known)
+    ranked = beside(placed.withColumn("_inside", F.row_number().over(inside.orderBy(p, tie))), counts).withColumn("_rank", F.col("_ahead") + F.col("_inside"))
+    steps = kept(ranked.withColumn("_holm", F.when(known, F.least(F.lit(1.0), (F.col("_m") - F.col("_rank") + 1) * F.col(p)))).withColumn("_bh", F.when(known, F.least(F.lit(1.0), F.col(p) * F.col("_m") / F.col("_rank")))))
+    ends = steps.groupBy(*family, "_piece").agg(F.max("_holm").alias("_most"), F.min("_bh").alias("_least"))
+    ends = ends.select(*family, "_piece", F.max("_most").over(earlier).alias("_most"), F.min("_least").over(later).alias("_least"))
+    up, down = (inside.orderBy(x).rowsBetween(Window.unboundedPreceding, 0) for x in (F.col("_rank"), F.col("_rank").desc()))
+    done = beside(steps.withColumn("_holm", F.max("_holm").over(up)).withColumn("_bh", F.min("_bh").over(down)), ends)
+    done = done.withColumn("holm", F.when(known, F.greatest("_holm", "_most"))).withColumn("bh", F.when(known, F.least("_bh", "_least")))
+    return done.select(*tests.columns, "holm", "bh")
 
 
 def retention(weak: Column, strong: Column, weak_full: Column, strong_full: Column) -> Column:
