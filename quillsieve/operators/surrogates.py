@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row, Window
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -215,10 +215,17 @@ def subset_order(doc_id, draw: int, masks: int) -> list[int]:
 
 def mask_subsets(measured: DataFrame, calls: tuple = CALLS, draws: int = DRAWS) -> DataFrame:
     """(doc_id, draw, calls, k): the masks of each refit, as subset_order() takes them; numbers of calls that a document hasn't are left out."""
-    long = measured.select("doc_id", F.size("y").alias("n"), F.posexplode("y").alias("k", "_y")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    unit = hash_unit(F.concat_ws(":", "draw", "doc_id", "k"), "subset")
-    placed = long.withColumn("place", F.row_number().over(Window.partitionBy("doc_id", "draw").orderBy(unit, "k")))
-    return placed.withColumn("calls", F.explode(F.array(*[F.lit(c) for c in calls]))).where("calls < n AND place <= calls").select("doc_id", "draw", "calls", "k")
+    return subsets(measured.select("doc_id", F.size("y").alias("n")), calls, draws)
+
+
+def subsets(counts: DataFrame, calls: tuple = CALLS, draws: int = DRAWS) -> DataFrame:
+    """mask_subsets() from the number of masks of each document in counts(doc_id, n): an order depends on nothing else, and is made inside the row."""
+    drawn = counts.where(F.col("n") > min(calls)).select("doc_id", "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    of = lambda k: F.struct(hash_unit(F.concat_ws(":", "draw", "doc_id", k), "subset").alias("unit"), k.alias("k"))
+    ordered = F.array_sort(F.transform(F.sequence(F.lit(0), F.col("n") - 1), of))
+    placed = drawn.select("doc_id", "n", "draw", F.explode(F.array(ordered)).alias("order"))  # a generator of one row: made once for all numbers of calls
+    placed = placed.select("doc_id", "n", "draw", F.slice(F.col("order.k"), 1, max(calls)).alias("order"), F.explode(F.array(*[F.lit(c) for c in calls])).alias("calls"))
+    return placed.where("calls < n").select("doc_id", "draw", "calls", F.explode(F.slice("order", F.lit(1), F.col("calls"))).alias("k"))
 
 
 def _ranks(x: np.ndarray) -> np.ndarray:

@@ -171,3 +171,18 @@ def test_outcomes_read_documents_once(spark):
 
     plan = queries_labels._outcomes(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_mask_subsets_stay_in_their_row(spark):
+    """No window over a document's masks: the orders are made in the row, from the number of masks alone."""
+    counts = spark.createDataFrame([(1, 64), (2, 40), (3, 8), (4, 9), (5, 0)], "doc_id long, n int")
+    out = su.subsets(counts, (8, 16, 48), 2)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan
+    got: dict = {}
+    for r in out.collect():
+        got.setdefault((r["doc_id"], r["draw"], r["calls"]), set()).add(r["k"])
+    want = {(d, w, c): set(su.subset_order(d, w, n)[:c]) for d, n in ((1, 64), (2, 40), (4, 9)) for w in (0, 1) for c in (8, 16, 48) if c < n}
+    assert got == want
+    frame = spark.createDataFrame([(1, [0.5] * 20)], "doc_id long, y array<double>")
+    assert "Window" not in su.mask_subsets(frame, (8, 16), 2)._jdf.queryExecution().executedPlan().toString()
