@@ -57,16 +57,21 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(doc_id, fp) of every row of docs; a null or empty text has fingerprint 0."""
     lowered = F.translate(F.coalesce(F.col("text"), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
     listed = docs.select("doc_id", words(lowered).alias("w")).select("doc_id", shingle_hashes(F.col("w"), size).alias("h"))
-    kind = dict(listed.dtypes)["doc_id"]
+    return folded(listed, "doc_id").select("doc_id", "fp")
+
+
+def folded(listed: DataFrame, key: str) -> DataFrame:
+    """(key, fp, h) of each row of listed(key, h): the fingerprint of its hashes, repeats included, beside them."""
+    kind = dict(listed.dtypes)[key]
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h = batch.column("h")
             offsets = h.offsets.to_numpy()
             found = majority(h.values.slice(offsets[0], offsets[-1] - offsets[0]).to_numpy(zero_copy_only=False), offsets - offsets[0])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(found, pa.int64()), h], names=[key, "fp", "h"])
 
-    return listed.mapInArrow(fold, f"doc_id {kind}, fp long")
+    return listed.select(key, "h").mapInArrow(fold, f"{key} {kind}, fp long, h array<long>")
 
 
 def _replicas(distinct: DataFrame) -> DataFrame:
@@ -116,11 +121,21 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, distance: int = DISTAN
     return prints.join(checked_broadcast(ids), "fp").select("doc_id", "fp", "component_id")
 
 
+def close_pairs(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """Pairs (u, v) of keys of prints(key, fp) that join all whose fingerprints link: each key with the least of its fingerprint, and these with each other."""
+    least = stored(prints.groupBy("fp").agg(F.min("key").alias("least"), F.count("*").alias("n")))
+    of = lambda c: least.select(F.col("fp").alias(c), F.col("least").alias(f"k_{c}"))
+    between = stored(linked(least.select("fp"), distance)).join(of("u"), "u").join(of("v"), "v").select(F.col("k_u").alias("u"), F.col("k_v").alias("v"))
+    same = prints.join(checked_broadcast(least.where("n > 1").select("fp", "least")), "fp").where("key <> least").select(F.col("key").alias("u"), F.col("least").alias("v"))
+    return between.union(same)
+
+
 def near_copies(docs: DataFrame, size: int = PIPELINE_SHINGLE, similarity: float = setjoin.SIMILARITY) -> DataFrame:
     """(doc_id, component_id) of every row of docs(doc_id, text): component_id is the smallest doc_id reachable by links.
 
     Texts are linked if the sets of their shingles of `size` words have that Jaccard similarity or
-    more, compared exactly. Texts of the same words are one vertex, those without words another one.
+    more, compared exactly. Texts whose fingerprints are at 2 or fewer differing bits are compared
+    first; near copies whose fingerprints are further apart are found by prefixes of their sets. Texts of the same words are one vertex, those without words another one.
     """
     found = _components(docs, size, similarity)
     least = stored(found.groupBy("component").agg(F.min("doc_id").alias("component_id")))
@@ -134,9 +149,10 @@ def _components(docs: DataFrame, size: int, similarity: float) -> DataFrame:
     # Of the rows of one key any will do: they are the same words.
     chosen = stored(ids.groupBy("key").agg(F.min("row").alias("row")))
     each = rows.select("row", words(F.col("t")).alias("w")).join(checked_broadcast(chosen), "row")
-    sets = each.select("key", shingle_hashes(F.col("w"), size).alias("h"))
-    sets = stored(sets.select("key", F.array_distinct("h").alias("h")))
-    parts = stored(setjoin.similar_sets(sets, similarity))
+    listed = each.select("key", shingle_hashes(F.col("w"), size).alias("h"))
+    sets = stored(folded(listed, "key").select("key", "fp", F.array_distinct("h").alias("h")))
+    close = stored(close_pairs(sets.where("size(h) > 0").select("key", "fp").distinct()))
+    parts = stored(setjoin.similar_sets(sets, similarity, close))
     dropped(sets)
     return stored(ids.join(checked_broadcast(parts), ids["key"] == parts["node"], "left").select("doc_id", "row", F.coalesce("component", "key").alias("component")))
 

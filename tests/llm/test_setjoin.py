@@ -68,3 +68,23 @@ def test_nothing_to_link(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g", "s")], "doc_id long, text string, source string")
     assert simhash.keep_one(docs).count() == 1 and simhash.keep_one(docs.limit(0)).count() == 0
     assert setjoin.SIMILARITY == 0.8
+
+
+def test_fingerprints_come_first_and_are_checked(spark, monkeypatch):
+    """The stage compares what SimHash finds within 2 bits first; texts of one fingerprint but unlike sets both stay."""
+    rng = np.random.default_rng(14)
+    cycle = " ".join(f"c{i}" for i in range(61))
+    long = " ".join([cycle] * 20)
+    often = " ".join(["again"] * 200)
+    unlike = [often + " " + " ".join(f"{x}{i}" for i in rng.permutation(90)) for x in "ab"]
+    docs = spark.createDataFrame([(1, long), (2, long + " more"), (3, unlike[0]), (4, unlike[1]), (5, ""), (6, None)], "doc_id long, text string")
+    seen, plain = [], setjoin.similar_sets
+
+    def spied(sets, similarity=0.8, close=None):
+        fp = {r["key"]: r["fp"] for r in sets.select("key", "fp").collect()}
+        seen.extend((fp[r["u"]], fp[r["v"]]) for r in close.collect())
+        return plain(sets, similarity, close)
+
+    monkeypatch.setattr(setjoin, "similar_sets", spied)
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == [1, 3, 4, 5]
+    assert len(seen) == 2 and all(bin((a ^ b) & (1 << 64) - 1).count("1") <= 2 for a, b in seen)
