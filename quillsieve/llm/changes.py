@@ -1,14 +1,17 @@
 """Sequenced change applier: two chained transformWithState stages over batches fed in order.
 
-The first stage is keyed by (client, number) and lets only the first arrival of a number through, so
-repeats of a hot client are rejected all over the cluster. The second stage is keyed by client and
-holds what it got until its number is next. Event time is the day of a row, so the watermark of a
-batch is the largest day of all earlier ones, and a timer three days after each held row wakes
-clients without new rows.
+The first stage lets only the first arrival of a client's number through; its keys are pieces of the
+numbers, so repeats of a hot client are rejected all over the cluster. The second stage is keyed by
+slices of clients, a hot client being a slice of its own, and holds what it got until its number is
+next. A call and a read and write of state cost about as much as dozens of rows, so a key has some
+thousand rows; there are as many keys as the table needs. Event time is the day of a row, so the
+watermark of a batch is the largest day of all earlier ones, and a timer three days after a slice's
+earliest held row wakes slices without new rows.
 """
 
 from __future__ import annotations
 
+import pickle
 import uuid
 from collections.abc import Iterator
 
@@ -22,13 +25,17 @@ from quillsieve.llm.base import dropped, shared_dir, stored, table
 BATCHES, FIRST_DAY, DAYS = 12, 19723, 160
 #: Days that a held row waits for those before it.
 PATIENCE = 3
-#: New rows of a client kept in memory until they are held; held rows that stand beside its position, in one read with it.
+#: Rows of a slice or piece, on average; a client with more numbers than this is a slice of its own.
+SLICE = 4096
+#: New rows of such a client kept in memory until they are held; held rows that stand beside its position, in one read with it.
 BUFFER, BESIDE = 10_000, 16
 DAY_MS = 86_400_000
+#: Successive numbers of a client that lie in one piece, a bit each.
+WORD = 64
 
 
 def ranked(rows: DataFrame) -> DataFrame:
-    """rows(client_id, seq) with n, the dense rank of seq within client_id, nulls first.
+    """rows(client_id, seq) with n, the dense rank of seq within client_id, nulls first, and the client's largest n as numbers.
 
     The different pairs are range-partitioned, so a client with most of them lies in many
     partitions: a pair's rank is its place in its own partition after those of earlier ones.
@@ -37,45 +44,59 @@ def ranked(rows: DataFrame) -> DataFrame:
     placed = stored(keys.withColumn("piece", F.spark_partition_id()))
     earlier = Window.partitionBy("client_id").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy("client_id", "piece").agg(F.count("*").alias("size")).select(
-        F.col("client_id").alias("_client"), F.col("piece").alias("_piece"), F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("ahead"))
+        F.col("client_id").alias("_client"), F.col("piece").alias("_piece"), F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("ahead"), F.sum("size").over(Window.partitionBy("client_id")).alias("numbers"))
     inside = F.row_number().over(Window.partitionBy("client_id", "piece").orderBy(F.col("seq").asc_nulls_first()))
     numbered = placed.withColumn("inside", inside).join(offsets, F.col("client_id").eqNullSafe(F.col("_client")) & (F.col("piece") == F.col("_piece")))
-    numbered = numbered.select(F.col("client_id").alias("_client"), F.col("seq").alias("_seq"), (F.col("ahead") + F.col("inside")).cast("long").alias("n"))
+    numbered = numbered.select(F.col("client_id").alias("_client"), F.col("seq").alias("_seq"), (F.col("ahead") + F.col("inside")).cast("long").alias("n"), "numbers")
     return rows.join(numbered, F.col("client_id").eqNullSafe(F.col("_client")) & F.col("seq").eqNullSafe(F.col("_seq"))).drop("_client", "_seq")
 
 
 def prepared(changes: DataFrame) -> DataFrame:
-    """The rows to be fed: change_id, client_id, n, day, at (the day as event time), batch, op, city, balance."""
+    """The rows to be fed: change_id, client_id, n, day, at (the day as event time), batch, op, city, balance, and where they go.
+
+    piece is the first stage's key, slice and owner are the second one's: clients with more than SLICE
+    numbers have slice -1 and own it, owner being null for the others.
+    """
     h = F.crc32(F.col("change_id").cast("string").cast("binary"))
     day = (F.unix_date(F.to_date("valid_at")) + 9 * (h % 4)).cast("int")
     rows = ranked(changes.distinct()).where(F.col("valid_at").isNotNull() & (h % 11 != 0))
     batch = F.least(F.lit(BATCHES), 1 + F.floor((F.col("day") - FIRST_DAY) * BATCHES / DAYS)).cast("int")
     dated = rows.withColumn("day", day).withColumn("batch", batch).withColumn("at", F.timestamp_seconds(F.col("day") * F.lit(86400)))
-    return dated.select("change_id", "client_id", "n", "day", "at", "batch", "op", "city", F.col("balance").cast("double").alias("balance"))
+    slices = F.lit(1 + changes.count() // SLICE)
+    hot = F.col("numbers") > SLICE
+    return dated.select(
+        "change_id", "client_id", "n", "day", "at", "batch", "op", "city", F.col("balance").cast("double").alias("balance"),
+        F.pmod(F.xxhash64("client_id", F.expr(f"n div {WORD}")), slices).alias("piece"), F.when(hot, -1).otherwise(F.pmod(F.xxhash64("client_id"), slices)).alias("slice"), F.when(hot, F.col("client_id")).alias("owner"),
+    )
 
 
 class FirstArrival(StatefulProcessor):
-    """Marks each row of a (client_id, n): lane 0 for the first one by day and change_id, lane n for those to be rejected."""
+    """Marks each row of a piece: lane 0 for the first one of a client's number by day and change_id, lane 1 for those to be rejected."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "seen boolean")
+        self.seen = handle.getValueState("seen", "seen binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        known, first = self.seen.exists(), None
+        known = self.seen.get()
+        seen = pickle.loads(known[0]) if known else {}
+        first: dict = {}
         for row in rows:
             if row.change_id is None:
                 continue  # a tick
-            if known:
-                yield self._out(row, row.n)
-            elif first is None:
-                first = row
-            else:
-                early, late = (row, first) if self._order(row) < self._order(first) else (first, row)
-                first = early
-                yield self._out(late, late.n)
-        if first is not None:
-            self.seen.update((True,))
-            yield self._out(first, 0)
+            client, n = row.client_id, row.n
+            if seen.get((client, n // WORD), 0) >> n % WORD & 1:
+                yield self._out(row, 1)
+                continue
+            other = first.setdefault((client, n), row)
+            if other is not row:
+                early, late = (row, other) if self._order(row) < self._order(other) else (other, row)
+                first[client, n] = early
+                yield self._out(late, 1)
+        for (client, n), row in first.items():
+            seen[client, n // WORD] = seen.get((client, n // WORD), 0) | 1 << n % WORD
+            yield self._out(row, 0)
+        if first:
+            self.seen.update((pickle.dumps(seen),))
 
     @staticmethod
     def _order(row: Row) -> tuple:
@@ -84,23 +105,42 @@ class FirstArrival(StatefulProcessor):
 
     @staticmethod
     def _out(row: Row, lane: int) -> Row:
-        return Row(**row.asDict(), lane=lane)
+        """Rejected rows pass the second stage under the piece's number."""
+        where = (row.piece, None) if lane else (row.slice, row.owner)
+        return _PASSED(row.change_id, row.client_id, row.n, row.day, row.at, row.op, row.city, row.balance, *where, lane)
 
     def close(self) -> None:
         pass
 
 
-_HELD = "change_id: long, day: int, op: string, city: string, balance: double"
+_PASSED = Row("change_id", "client_id", "n", "day", "at", "op", "city", "balance", "slice", "owner", "lane")
+_STEP = Row("change_id", "client_id", "n", "op", "status", "batch", "missed", "city", "balance")
+
+
+class _Position:
+    """Where a client stands: its next number, what is known of it, and the rows held in memory; waiting more are in the map state."""
+
+    __slots__ = ("next", "city", "balance", "waiting", "earliest", "beside")
+
+    def __init__(self, next: int = 1, city: str | None = None, balance: float | None = None, waiting: int = 0, earliest: int | None = None, beside: dict | None = None) -> None:
+        self.next, self.city, self.balance, self.waiting, self.earliest = next, city, balance, waiting, earliest
+        self.beside = {} if beside is None else beside
+
+    def values(self) -> tuple:
+        return self.next, self.city, self.balance, self.waiting, self.earliest, self.beside
+
+    def holds(self) -> bool:
+        return bool(self.waiting or self.beside)
 
 
 class Sequencer(StatefulProcessor):
-    """Applies the rows of a client in the order of their numbers; rows of other lanes are rejected ones passing through.
+    """Applies the rows of each client of a slice in the order of their numbers; rows of other lanes are rejected ones passing through.
 
     Numbers that come here are different, so within a batch their order decides nothing, and rows
     need no sorting: what can't be applied yet is held as state. The watermark is the largest day of
-    earlier batches; a client with new rows jumps before it takes them, the others by their timers.
+    earlier batches; a slice with new rows jumps before it takes them, the others by their timers.
     From the day `end` on every held row has waited long enough, and what is applied then counts as
-    the batch after this one.
+    the batch after this one. A client that is a slice of its own keeps most held rows in a map state.
     """
 
     def __init__(self, batch: int, end: int) -> None:
@@ -108,105 +148,115 @@ class Sequencer(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.now = handle.getValueState("now", f"next long, city string, balance double, waiting long, earliest int, beside array<struct<n: long, {_HELD}>>")
-        self.held = handle.getMapState("held", "n long", _HELD.replace(":", ""))
+        self.now = handle.getValueState("now", "timer long, clients binary")
+        self.held = handle.getMapState("held", "n long", "change_id long, day int, op string, city string, balance double")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        client, lane = key
+        number, _, lane = key
         if lane:
             for row in rows:
-                yield self._row(client, row.n, row.change_id, row.op, self.batch)
+                yield self._rejected(row)
             return
+        alone = number < 0
         self._load()
-        yield from self._jump(client, timerValues)
-        fresh: dict = {}
+        yield from self._wake(timerValues)
         for row in rows:
-            if row.n < self.next:
-                yield self._row(client, row.n, row.change_id, row.op, self.batch)
+            at = self.clients.get(row.client_id)
+            if at is None:
+                at = self.clients[row.client_id] = _Position()
+            if row.n < at.next:
+                yield self._rejected(row)
                 continue
-            fresh[row.n] = (row.change_id, row.day, row.op, row.city, row.balance)
-            yield from self._drain(client, self.batch, fresh)
-            if len(fresh) >= BUFFER:
-                self._hold(fresh)
-        self._hold(fresh)
+            at.beside[row.n] = (row.change_id, row.day, row.op, row.city, row.balance)
+            at.earliest = row.day if at.earliest is None else min(at.earliest, row.day)
+            yield from self._drain(row.client_id, at, self.batch)
+            if alone and len(at.beside) >= BUFFER:
+                self._set_aside(at)
+        if alone:
+            for at in self.clients.values():
+                self._set_aside(at)
         self._save()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self._load()
-        moved = False
-        for row in self._jump(key[0], timerValues):
-            moved = True
-            yield row
-        if moved:
-            self._save()
+        if self.timer == expiredTimerInfo.getExpiryTimeInMs():
+            self.timer = None  # gone with this call
+        yield from self._wake(timerValues)
+        self._save()
 
     def _load(self) -> None:
-        self.next, self.city, self.balance, self.waiting, self.earliest, beside = self.now.get() or (1, None, None, 0, 0, [])
-        self.beside = {r[0]: tuple(r[1:]) for r in map(tuple, beside or [])}
+        self.timer, clients = self.now.get() or (None, None)
+        self.clients = {client: _Position(*values) for client, values in pickle.loads(clients).items()} if clients else {}
 
     def _save(self) -> None:
-        self.now.update((self.next, self.city, self.balance, self.waiting, self.earliest, [(n, *value) for n, value in self.beside.items()]))
+        """Writes the slice, and has one timer, for what it holds earliest."""
+        due = min(((at.earliest + PATIENCE) * DAY_MS - 1 for at in self.clients.values() if at.holds()), default=None)
+        if due != self.timer:
+            if self.timer is not None:
+                self.handle.deleteTimer(self.timer)
+            if due is not None:
+                self.handle.registerTimer(due)
+        self.now.update((due, pickle.dumps({client: at.values() for client, at in self.clients.items()})))
+
+    def _wake(self, timerValues) -> Iterator[Row]:
+        """Lets each client jump to what has waited long enough."""
+        day = timerValues.getCurrentWatermarkInMs() // DAY_MS
+        for client, at in self.clients.items():
+            if at.holds() and at.earliest <= day - PATIENCE:
+                yield from self._jump(client, at, day)
 
-    def _jump(self, client, timerValues) -> Iterator[Row]:
+    def _jump(self, client, at: _Position, day: int) -> Iterator[Row]:
         """Applies what has waited long enough, skipping the numbers before it."""
-        day = timerValues.getCurrentWatermarkInMs() // DAY_MS
-        if not (self.waiting or self.beside) or self.earliest > day - PATIENCE:
-            return
-        days = [(n, value[1]) for n, value in self.beside.items()]
-        if self.waiting:
+        days = [(n, value[1]) for n, value in at.beside.items()]
+        if at.waiting:
             days += [(tuple(k)[0], tuple(v)[1]) for k, v in self.held.iterator()]
         days.sort()
         earliest = [0] * len(days)  # of each and all later numbers
         for k in range(len(days) - 1, -1, -1):
             earliest[k] = min(days[k][1], earliest[k + 1] if k + 1 < len(days) else days[k][1])
         for k, (n, _) in enumerate(days):
-            if n < self.next:
+            if n < at.next:
                 continue  # applied since
-            self.earliest = earliest[k]
+            at.earliest = earliest[k]
             if earliest[k] > day - PATIENCE:
                 break
-            missed, self.next = n - self.next, n
-            yield from self._drain(client, self.batch + (day >= self.end), {}, missed)
-
-    def _hold(self, fresh: dict) -> None:
-        days = {value[1] for value in fresh.values()}
-        for day in days:
-            self.handle.registerTimer((day + PATIENCE) * DAY_MS - 1)
-        if days:
-            self.earliest = min(days) if not (self.waiting or self.beside) else min(self.earliest, *days)
-        self.beside |= fresh
-        fresh.clear()
-        if len(self.beside) > BESIDE:
-            for n, value in self.beside.items():
+            missed, at.next = n - at.next, n
+            yield from self._drain(client, at, self.batch + (day >= self.end), missed)
+
+    def _set_aside(self, at: _Position) -> None:
+        """Moves rows held in memory to the map state, if they are many."""
+        if len(at.beside) > BESIDE:
+            for n, value in at.beside.items():
                 self.held.updateValue((n,), value)
-            self.waiting += len(self.beside)
-            self.beside = {}
+            at.waiting += len(at.beside)
+            at.beside = {}
 
-    def _drain(self, client, batch: int, fresh: dict, missed: int = 0) -> Iterator[Row]:
+    def _drain(self, client, at: _Position, batch: int, missed: int = 0) -> Iterator[Row]:
         """Applies what is next as long as it is there."""
         while True:
-            value = fresh.pop(self.next, None) or self.beside.pop(self.next, None)
-            if value is None and self.waiting:
-                value = self.held.getValue((self.next,))
+            value = at.beside.pop(at.next, None)
+            if value is None and at.waiting:
+                value = self.held.getValue((at.next,))
                 if value is not None:
-                    self.held.removeKey((self.next,))
-                    self.waiting -= 1
+                    self.held.removeKey((at.next,))
+                    at.waiting -= 1
             if value is None:
-                return
+                break
             change_id, _, op, city, balance = value
             if op == "D":
-                self.city = self.balance = None
+                at.city = at.balance = None
             elif op == "I":
-                self.city, self.balance = city, balance
+                at.city, at.balance = city, balance
             else:
-                self.city = self.city if city is None else city
-                self.balance = self.balance if balance is None else balance
-            yield self._row(client, self.next, change_id, op, batch, True, missed)
-            self.next, missed = self.next + 1, 0
+                at.city = at.city if city is None else city
+                at.balance = at.balance if balance is None else balance
+            yield _STEP(change_id, client, at.next, op, "applied", batch, missed, at.city, at.balance)
+            at.next, missed = at.next + 1, 0
+        if not at.holds():
+            at.earliest = None
 
-    def _row(self, client, n: int, change_id: int, op: str, batch: int, applied: bool = False, missed: int = 0) -> Row:
-        known = (self.city, self.balance) if applied else (None, None)
-        return Row(change_id=change_id, client_id=client, n=n, op=op, status="applied" if applied else "rejected", batch=batch, missed=missed, city=known[0], balance=known[1])
+    def _rejected(self, row: Row) -> Row:
+        return _STEP(row.change_id, row.client_id, row.n, row.op, "rejected", self.batch, 0, None, None)
 
     def close(self) -> None:
         pass
@@ -257,7 +307,7 @@ def applied(changes: DataFrame) -> DataFrame:
 
     def tick(day: int) -> DataFrame:
         """A row without change_id, which only carries its day."""
-        values = {c: F.lit(None).cast(kind) for c, kind in rows.dtypes} | {"n": F.lit(0).cast("long"), "day": F.lit(day), "at": F.timestamp_seconds(F.lit(day * 86400)), "batch": F.lit(BATCHES)}
+        values = {c: F.lit(None).cast(kind) for c, kind in rows.dtypes} | {"n": F.lit(0).cast("long"), "day": F.lit(day), "at": F.timestamp_seconds(F.lit(day * 86400)), "batch": F.lit(BATCHES), "piece": F.lit(0).cast("long"), "slice": F.lit(0).cast("long")}
         return spark.range(1).select(*[values[c].alias(c) for c in fields])
 
     own = _session(spark)
@@ -272,15 +322,15 @@ def applied(changes: DataFrame) -> DataFrame:
             # An empty batch is a batch, too: what has waited long enough moves at its start.
             tick(max((d for b, d in seen.items() if b < number), default=0)).write.mode("append").parquet(f"{root}/feed")
         feed = own.readStream.schema(rows.schema).parquet(f"{root}/feed").withWatermark("at", "0 seconds")
-        unique = feed.groupBy("client_id", "n").transformWithState(FirstArrival(), _lane_schema(rows), "Append", "None", eventTimeColumnName="at")
-        steps = unique.groupBy("client_id", "lane").transformWithState(Sequencer(number, last + PATIENCE), _out_schema(rows), "Append", "EventTime")
+        unique = feed.groupBy("piece").transformWithState(FirstArrival(), _lane_schema(rows), "Append", "None", eventTimeColumnName="at")
+        steps = unique.groupBy("slice", "owner", "lane").transformWithState(Sequencer(number, last + PATIENCE), _out_schema(rows), "Append", "EventTime")
         run = steps.writeStream.format("parquet").outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{root}/checkpoint").option("path", f"{root}/out").start()
         run.awaitTermination()
     return _result(spark.read.schema(_out_schema(rows)).parquet(f"{root}/out"))
 
 
 def _lane_schema(rows: DataFrame) -> str:
-    return ", ".join(f"{c} {kind}" for c, kind in [*rows.dtypes, ("lane", "bigint")])
+    return ", ".join(f"{c} {kind}" for c, kind in [*[x for x in rows.dtypes if x[0] not in ("batch", "piece")], ("lane", "bigint")])
 
 
 def _out_schema(rows: DataFrame) -> str:

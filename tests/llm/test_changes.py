@@ -105,3 +105,21 @@ def test_dense_rank_of_a_hot_client(spark):
     for client in (1, 2, None):
         own = sorted({s for c, s in rows if c == client}, key=lambda s: (s is not None, s))
         assert [got[client, s] for s in own] == list(range(1, len(own) + 1))
+
+
+@pytest.mark.parametrize("seed,clients", [(3, [5, 6, 7, None]), (4, [None, 1])])
+def test_clients_that_are_slices_of_their_own(spark, seed, clients, monkeypatch):
+    """Clients with many numbers, those without client_id among them, beside slices of several clients."""
+    monkeypatch.setattr(changes, "SLICE", 40)
+    rows = made(random.Random(seed), 500, [*clients, *range(20, 50)])
+    assert found(spark.createDataFrame(rows, SCHEMA).repartition(3)) == brute(rows)
+
+
+def test_keys_hold_many_clients(spark):
+    """A call and a read of state for each client and number would cost a millisecond each."""
+    rows = [(k, k % 3000, k, "U", datetime(2024, 1, 1) + timedelta(days=k % 100), "C", 1.0) for k in range(9000)]
+    rows += [(10_000 + k, 7, 10_000 + k, "U", datetime(2024, 1, 1), "C", 1.0) for k in range(5000)]
+    fed = changes.prepared(spark.createDataFrame(rows, SCHEMA)).cache()
+    keys = {tuple(r) for r in fed.select("slice", "owner").distinct().collect()}
+    assert (-1, 7) in keys and len(keys) <= 5 and fed.select("piece").distinct().count() <= 4
+    assert fed.where("client_id = 7").select("piece").distinct().count() > 1
