@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillsieve.llm.base import checked_broadcast, free_name, row_hash, stored, table
+from quillsieve.llm.base import checked_broadcast, dropped, free_name, row_hash, stored, table
 
 #: Labelled rows of each class that are learned from, on average, chosen by a hash of doc_id; all, if there are fewer.
 SAMPLE = 4000
@@ -187,6 +187,13 @@ def _evidence(a: float, b: float, n1: int, n0: int) -> float:
     return a * math.log(q / p) + (b * math.log((1 - q) / (1 - p)) if b else 0.0)
 
 
+def _evidences(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """_evidence() of many at once."""
+    p, q = n1 / (n1 + n0), np.maximum(a, 1e-300) / np.maximum(a + b, 1e-300)
+    both = a * np.log(q / p) + b * np.log(np.maximum(1 - q, 1e-300) / (1 - p))
+    return np.where(a * n0 <= b * n1, 0.0, both)
+
+
 def _keys(words) -> Counter:
     """Whole words (True) and word beginnings (False) of a document, the latter counted up to two different words."""
     out = Counter({(w, True): 1 for w in words})
@@ -195,68 +202,103 @@ def _keys(words) -> Counter:
     return out
 
 
-def _unlike(rows: list[tuple[frozenset, int]]) -> list[tuple[frozenset, int]]:
-    """rows without near copies of earlier ones: those that share three minima of word hashes in one of six bands."""
+def _minima(words: list[str]) -> list[int]:
+    """Six bands of three minima of word hashes."""
+    h = np.array([zlib.crc32(w.encode()) for w in words] or [0], dtype=np.uint64)
+    return ((h[:, None] * _ODD[None, :]) >> np.uint64(32)).min(axis=0).tolist()
+
+
+def _unlike(marks: list[dict]) -> list[dict]:
+    """marks(toxic, n, head, minima) without near copies of earlier ones: those that share three minima in one of six bands."""
     seen, out = set(), []
-    for words, y in sorted(rows, key=lambda r: (r[1], len(r[0]), sorted(r[0])[:3])):
-        h = np.array([zlib.crc32(w.encode()) for w in words] or [0], dtype=np.uint64)
-        minima = ((h[:, None] * _ODD[None, :]) >> np.uint64(32)).min(axis=0)
-        bands = {(b, *minima[3 * b : 3 * b + 3].tolist()) for b in range(6)}
+    for mark in sorted(marks, key=lambda m: (m["toxic"], m["n"], m["head"], m["minima"])):
+        bands = {(b, *mark["minima"][3 * b : 3 * b + 3]) for b in range(6)}
         if seen.isdisjoint(bands):
-            out.append((words, y))
+            out.append(mark)
         seen |= bands
     return out
 
 
-def learn_insults(rows: list[tuple[frozenset, int]]) -> tuple[dict[str, float], dict[str, float]]:
-    """Whole words and word beginnings that mark toxic documents, with weights, from (words, label) rows.
+def _tallies(docs: DataFrame) -> pa.Table:
+    """(key, whole, docs, times) of the keys of docs(words) that three documents or more have."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            having, times = Counter(), Counter()
+            for words in batch.column("words").to_pylist():
+                own = _keys(words)
+                having.update(own.keys())
+                times.update(own)
+            columns = [k for k, _ in having], [w for _, w in having], list(having.values()), [times[k] for k in having]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.bool_(), pa.int64(), pa.int64()), strict=True)], names=["key", "whole", "docs", "times"])
+
+    counted = docs.select("words").mapInArrow(count, "key string, whole boolean, docs long, times long")
+    return counted.groupBy("key", "whole").agg(F.sum("docs").alias("docs"), F.sum("times").alias("times")).where("docs >= 3").toArrow()
+
+
+def _found(docs: DataFrame, place: dict) -> DataFrame:
+    """(at, times): for each of docs(words) the places of its keys that have one, and how often it has them."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [{place[k]: n for k, n in _keys(words).items() if k in place} for words in batch.column("words").to_pylist()]
+            lists = [[list(x) for x in own], [list(x.values()) for x in own]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.int32())) for x in lists], names=["at", "times"])
+
+    return docs.select("words").mapInArrow(find, "at array<int>, times array<int>")
+
+
+def learn_insults(seen: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
+    """Whole words and word beginnings that mark toxic documents, with weights, from seen(id, words, minima, toxic).
 
     The best is taken, the documents that it explains are set aside, and so on until what is left
-    gives none beyond chance among as many as were tried. Near copies of a row count once.
+    gives none beyond chance among as many as were tried. Near copies of a row count once. Keys are
+    counted where the documents lie: the driver gets signatures, the keys of three toxic documents
+    or more with their numbers, and the places of those that may be chosen.
     """
-    rows = _unlike(rows)
-    n1, n0 = sum(y for _, y in rows), sum(1 - y for _, y in rows)
+    kept = _unlike(seen.select("id", "toxic", F.size("words").alias("n"), F.slice("words", 1, 3).alias("head"), "minima").toArrow().to_pylist())
+    n1 = sum(m["toxic"] for m in kept)
+    n0 = len(kept) - n1
     if not n1 or not n0:
         return {}, {}
-    # Keys are made anew for each pass: those of all documents at once would take a gigabyte.
-    pos = [w for w, y in rows if y]
-    docs1: Counter = Counter()
-    for w in pos:
-        docs1.update(_keys(w).keys())
-    common = {k for k, n in docs1.items() if n >= 3}
-    del docs1
-    count1: Counter = Counter()
-    for w in pos:
-        count1.update({k: n for k, n in _keys(w).items() if k in common})
-    count0: Counter = Counter()
-    for w, y in rows:
-        if not y:
-            count0.update({k: n for k, n in _keys(w).items() if k in common})
-    fit = {k for k in common if count0[k] <= 0.02 * (n0 / n1) * count1[k]}
+    held = seen.join(F.broadcast(seen.sparkSession.createDataFrame([(m["id"],) for m in kept], "id long")), "id", "left_semi")
+    del kept
+    common = _tallies(held.where("toxic = 1"))
+    keys = list(zip(common.column("key").to_pylist(), common.column("whole").to_pylist(), strict=True))
+    count1, count0 = common.column("times").to_numpy(), np.zeros(len(keys), dtype=np.int64)
+    pairs = _found(held.where("toxic = 0"), {k: i for i, k in enumerate(keys)}).select(F.explode(F.arrays_zip("at", "times")).alias("x"))
+    others = pairs.groupBy("x.at").agg(F.sum("x.times").alias("times")).toArrow()
+    count0[others.column("at").to_numpy()] = others.column("times").to_numpy()
+    fit = np.flatnonzero(count0 <= 0.02 * (n0 / n1) * count1)
+    names, every, b = [keys[i] for i in fit], count1[fit], count0[fit]
     least = math.log(max(1, len(fit))) + EVIDENCE
-    rank = lambda n: lambda k: (round(_evidence(n[k], count0[k], n1, n0), 6), k[1], len(k[0]), k[0])
-    one = {k: k for k in fit}  # the same key objects in all documents
-    chosen, left, live = [], [{one[k]: n for k, n in _keys(w).items() if k in one} for w in pos], Counter({k: count1[k] for k in fit})
-    while live:
-        best = max(live, key=rank(live))
-        if _evidence(live[best], count0[best], n1, n0) < least:
+    exact = lambda n, i: _evidence(int(n[i]), int(b[i]), n1, n0)
+    rank = lambda n: lambda i: (round(exact(n, i), 6), names[i][1], len(names[i][0]), names[i][0])
+    own = _found(held.where("toxic = 1"), {k: i for i, k in enumerate(names)}).toArrow()
+    left = [(at.values.to_numpy(), times.values.to_numpy()) for at, times in zip(own.column("at"), own.column("times"), strict=True)]
+    chosen, live = [], every.copy()
+    while live.any():
+        about = _evidences(live, b, n1, n0)
+        best = max(np.flatnonzero((live > 0) & (about >= about.max() - 1e-5)).tolist(), key=rank(live))
+        if exact(live, best) < least:
             break
         chosen.append(best)
         stay = []
-        for s in left:
-            if best in s:
-                live.subtract(s)
+        for at, times in left:
+            if best in at:
+                live[at] -= times
             else:
-                stay.append(s)
+                stay.append((at, times))
         left = stay
-        live = Counter({k: n for k, n in live.items() if n > 0})
     # Words that mostly come with others still have their evidence over all rows.
-    covered = lambda k: any(k[0] == c[0] or not c[1] and k[0].startswith(c[0]) or not k[1] and c[0].startswith(k[0]) for c in chosen)
-    spread = Counter(w[: len(k)] for w, is_whole in common if is_whole for k in [w[:n] for n in STEMS if len(w) > n])
-    for k in sorted((k for k in fit if _evidence(count1[k], count0[k], n1, n0) >= 1.5 * least), key=rank(count1), reverse=True):
-        if not covered(k) and (k[1] or spread[k[0]] >= 3):
-            chosen.append(k)
-    weight = {k: min(10.0, math.log((count1[k] + 0.5) / n1) - math.log((count0[k] + 0.5) / n0)) for k in chosen}
+    likely = [i for i in np.flatnonzero(_evidences(every, b, n1, n0) >= 1.5 * least - 1e-5).tolist() if exact(every, i) >= 1.5 * least]
+    stems = {names[i][0] for i in likely if not names[i][1]}
+    spread = Counter(w[:n] for w, is_whole in keys if is_whole for n in STEMS if len(w) > n and w[:n] in stems)
+    covered = lambda k: any(k[0] == c[0] or not c[1] and k[0].startswith(c[0]) or not k[1] and c[0].startswith(k[0]) for c in (names[i] for i in chosen))
+    for i in sorted(likely, key=rank(every), reverse=True):
+        if not covered(names[i]) and (names[i][1] or spread[names[i][0]] >= 3):
+            chosen.append(i)
+    weight = {names[i]: min(10.0, math.log((every[i] + 0.5) / n1) - math.log((b[i] + 0.5) / n0)) for i in chosen}
     return {k[0]: w for k, w in weight.items() if k[1]}, {k[0]: w for k, w in weight.items() if not k[1]}
 
 
@@ -294,22 +336,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The different words of each text, and the clauses that learning may need are cut later from the same text."""
+        """The different words of each text and their minima; the clauses that learning may need are cut later from the same text."""
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            words = [sorted(set(_WORD.findall(t.lower()))) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(words, pa.list_(pa.string())), batch.column("toxic").cast(pa.int32())], names=["doc_id", "words", "toxic"])
-
-    seen = rows.select("doc_id", "text", "toxic").mapInArrow(reduce, "doc_id long, words array<string>, toxic int").toArrow()
-    learned = []
-    for batch in seen.to_batches():
-        # One string for each different word, however many documents have it.
-        coded = batch.column("words").flatten().dictionary_encode()
-        known_words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        ends = batch.column("words").offsets.to_numpy() - batch.column("words").offsets[0].as_py()
-        learned += [(frozenset(known_words[i] for i in at[a:b]), y) for a, b, y in zip(ends, ends[1:], batch.column("toxic").to_pylist(), strict=False)]
-    del seen
-    whole, stems = learn_insults(learned)
+            words = [sorted(set(_WORD.findall((t or "").lower()))) for t in batch.column("text").to_pylist()]
+            minima = [_minima(w) for w in words]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string())), pa.array(minima, pa.list_(pa.int64())), batch.column("toxic").cast(pa.int32())], names=["words", "minima", "toxic"])
+
+    seen = stored(rows.select("text", "toxic").mapInArrow(reduce, "words array<string>, minima array<long>, toxic int").withColumn("id", F.monotonically_increasing_id()))
+    whole, stems = learn_insults(seen)
+    dropped(seen)
     blank = Model(whole, stems, np.zeros(len(FEATURES)), 0.0)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,8 @@
 import random
 import zlib
 
+import numpy as np
+
 from quillsieve.llm import toxicity as t
 
 
@@ -50,3 +52,28 @@ def test_held_out_accuracy_and_edges(spark):
     nothing = t.fit(frame, marks.limit(0))
     assert {r["score"] for r in t.scored(frame, nothing).collect()} == {0.5}
     assert t.scored(frame.limit(0), model).count() == 0
+
+
+def test_words_stay_where_the_documents_lie(spark, monkeypatch):
+    """The driver gets signatures and keys of several toxic documents, not the words of each."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12))
+    docs = [(i, " ".join(word() for _ in range(400)) + " grobnak" * (i % 4 == 0)) for i in range(400)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in docs], "doc_id long, toxic int")
+    plain, sizes = type(frame).toArrow, []
+
+    def watched(self):
+        out = plain(self)
+        sizes.append(out.nbytes)
+        return out
+
+    monkeypatch.setattr(type(frame), "toArrow", watched)
+    model = t.fit(frame, marks)
+    assert "grobnak" in model.whole and max(sizes) < 0.1 * sum(len(x) for _, x in docs)
+
+
+def test_evidence_of_many_at_once():
+    a, b = [0, 1, 3, 50, 7, 200], [0, 0, 40, 2, 7, 900]
+    many = t._evidences(np.array(a), np.array(b), 300, 2000)
+    assert np.allclose(many, [t._evidence(x, y, 300, 2000) if x else 0.0 for x, y in zip(a, b, strict=True)])
