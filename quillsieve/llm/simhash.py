@@ -98,7 +98,8 @@ def linked(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     copies = _replicas(distinct)
     left, right = copies.select("anchor", F.col("fp").alias("u")), copies.select("anchor", F.col("fp").alias("v"))
     near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance
-    return left.join(right, "anchor").where((F.col("u") < F.col("v")) & near).select("u", "v").distinct()
+    # Spark takes the copies for as small as the fingerprints they come from, and would broadcast 33 rows of each.
+    return left.hint("merge").join(right, "anchor").where((F.col("u") < F.col("v")) & near).select("u", "v").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:

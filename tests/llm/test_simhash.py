@@ -73,3 +73,10 @@ def test_keep_one_and_empty(spark):
     docs = spark.createDataFrame([(2, "a b c d e f", "s"), (1, "a b c d e f", "t"), (1, "a b c d e f", "t"), (None, "q", "u"), (7, None, "v"), (8, "", "v")], "doc_id long, text string, source string")
     assert sorted(str(r[0]) for r in simhash.keep_one(docs).collect()) == ["1", "7", "None"]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_copies_at_anchors_are_not_broadcast(spark):
+    """33 rows of each fingerprint are taken by Spark for as small as the fingerprints, which it would broadcast."""
+    found = simhash.linked(spark.range(1000).selectExpr("xxhash64(id) AS fp"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
