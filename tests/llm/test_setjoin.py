@@ -88,3 +88,25 @@ def test_fingerprints_come_first_and_are_checked(spark, monkeypatch):
     monkeypatch.setattr(setjoin, "similar_sets", spied)
     assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == [1, 3, 4, 5]
     assert len(seen) == 2 and all(bin((a ^ b) & (1 << 64) - 1).count("1") <= 2 for a, b in seen)
+
+
+def test_buckets_of_many_components_are_compared_whole(spark):
+    """A few links among 2,000 sets that share all their buckets with unlike ones: rounds with buckets' ends hardly ever meet them."""
+    rng = np.random.default_rng(21)
+    universe = np.arange(1, 41) * 7919
+    sets = [rng.choice(universe, 10, replace=False) for _ in range(2000)]
+    links = set()
+    for k in range(4):
+        other = sets[k].copy()
+        other[0] = next(x for x in universe if x not in sets[k])
+        sets[1000 + k] = other
+    keys = rng.permutation(1 << 40 - 20)[: len(sets)]
+    members = [set(s.tolist()) for s in sets]
+    for a in range(len(sets)):
+        for b in range(a):
+            if len(members[a] & members[b]) >= 9:
+                links.add(tuple(sorted((int(keys[a]), int(keys[b])))))
+    frame = spark.createDataFrame([(int(k), [int(x) for x in s]) for k, s in zip(keys, sets, strict=True)], "key long, h array<long>")
+    parts = {r["node"]: r["component"] for r in setjoin.similar_sets(frame).collect()}
+    assert len(links) >= 4 and all(parts.get(u, u) == parts.get(v, v) for u, v in links)
+    assert len(parts) - len(set(parts.values())) <= len(links)
