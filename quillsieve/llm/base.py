@@ -56,8 +56,8 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 
 
 def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if its counted rows are within the bound, else as it is."""
-    return F.broadcast(df) if df.count() <= rows else df
+    """df with a broadcast hint if its counted rows are within the bound, else with one against: Spark goes by the bytes of files, which are far fewer than those in memory."""
+    return F.broadcast(df) if df.count() <= rows else df.hint("merge")
 
 
 def words(text: Column) -> Column:

@@ -225,9 +225,9 @@ def dedup_lines(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
     """
     removed = removals(docs.select("doc_id", "text"), shingle, similarity)
     row, gone = free_name(docs, "_row"), free_name(docs, "_gone")
-    number = removed.agg(F.sum(F.size("gone"))).first()[0] or 0
+    number = removed.agg(F.sum(F.size("gone"))).first()[0] or 0  # the rows hold lists: both are bounded
     side = removed.select(F.col("row").alias(row), F.col("gone").alias(gone))
-    joined = docs.join(F.broadcast(side) if number <= 2_000_000 else side, F.expr(_ROW) == F.col(row), "left")
+    joined = docs.join(checked_broadcast(side) if number <= 2_000_000 else side.hint("merge"), F.expr(_ROW) == F.col(row), "left")
     split = F.split("text", "\n")
 
     def cut(parts: Column) -> Column:
