@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -152,6 +154,68 @@ def cv_errors(masks: np.ndarray, y: np.ndarray, alpha: float, seed: int = 0) ->
     return error / len(y), 1 - error / spread if spread > 0 else float("nan")
 
 
+#: Numbers of a stack of documents that are solved at once.
+STACK = 1 << 18
+
+
+def shaped(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, masks [rows, masks, chunks], y [rows, masks]) of each shape of document in a batch with lists masks and y, in stacks of bounded size. Documents without masks are left out."""
+    column, outcomes = batch.column("masks"), batch.column("y")
+    inner = column.values
+    ends, starts = column.offsets.to_numpy(), inner.offsets.to_numpy()
+    bits, y, of_y = inner.values.to_numpy(zero_copy_only=False), outcomes.values.to_numpy(zero_copy_only=False), outcomes.offsets.to_numpy()
+    n = np.diff(ends)
+    if (n != np.diff(of_y)).any():
+        raise ValueError("a document has not as many outcomes as masks")
+    own = np.flatnonzero(n > 0)
+    c = np.diff(starts)[ends[:-1][own]] if len(own) else n[own]
+    if (starts[ends[1:][own]] - starts[ends[:-1][own]] != n[own] * c).any():
+        raise ValueError("masks of a document are of different lengths")
+    shapes, which = np.unique(np.stack([n[own], c], axis=1), axis=0, return_inverse=True)
+    for k, (masks, chunks) in enumerate(shapes):
+        every = own[which.reshape(-1) == k]
+        step = max(1, STACK // max(1, int(masks * chunks)))
+        for at in range(0, len(every), step):
+            rows = every[at : at + step]
+            x = bits[(starts[ends[:-1][rows]])[:, None] + np.arange(masks * chunks)].astype(float).reshape(len(rows), masks, chunks)
+            yield rows, x, y[of_y[:-1][rows][:, None] + np.arange(masks)].astype(float)
+
+
+def _solved(gram: np.ndarray, right: np.ndarray, penalties: np.ndarray) -> np.ndarray:
+    """Coefficients [penalties, fits, columns] of normal equations gram [fits, columns, columns], right [fits, columns]; penalties [penalties, columns] above 0 but for the first column."""
+    out = np.empty((len(penalties), *right.shape))
+    for a, own in enumerate(penalties):
+        out[a] = np.linalg.solve(gram + np.diag(own), right[:, :, None])[:, :, 0]
+    return out
+
+
+def _with_one(x: np.ndarray, penalties: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([np.ones((*x.shape[:2], 1)), x], axis=2), np.hstack([np.zeros((len(penalties), 1)), penalties])
+
+
+def ridge_fits(x: np.ndarray, y: np.ndarray, penalties: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(intercepts [penalties, fits], coefficients [penalties, fits, columns]) of many fits of one shape: x [fits, rows, columns], y [fits, rows], penalties [penalties, columns] above 0."""
+    x, penalties = _with_one(x, penalties)
+    turned = x.transpose(0, 2, 1)
+    w = _solved(turned @ x, (turned @ y[:, :, None])[:, :, 0], penalties)
+    return w[:, :, 0], w[:, :, 1:]
+
+
+def held_out_fits(x: np.ndarray, y: np.ndarray, penalties: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Predictions [penalties, fits, rows] of each row by fits on the other folds, as ridge_fits()."""
+    x, penalties = _with_one(x, penalties)
+    turned = x.transpose(0, 2, 1)
+    gram, right = turned @ x, (turned @ y[:, :, None])[:, :, 0]
+    folds, said = fold_of(x.shape[1], seed), np.empty((len(penalties), *y.shape))
+    for f in range(folds.max() + 1):
+        at = np.flatnonzero(folds == f)
+        out = x[:, at]
+        back = out.transpose(0, 2, 1)
+        w = _solved(gram - back @ out, right - (back @ y[:, at, None])[:, :, 0], penalties)
+        said[:, :, at] = np.einsum("bkq,abq->abk", out, w)
+    return said
+
+
 def fit_ridge(outcomes: DataFrame, alpha: float) -> DataFrame:
     """(doc_id, intercept, beta, cv_mse, cv_r2, residual) of outcomes(doc_id, mask, y), a row for each mask.
 
@@ -173,14 +237,23 @@ def fit_ridge(outcomes: DataFrame, alpha: float) -> DataFrame:
 
 def select_alpha(outcomes: DataFrame, grid: tuple = ALPHAS) -> DataFrame:
     """(alpha, cv_mse), least error first, smaller alpha first on ties, over documents whose outcomes vary."""
+    lists = outcomes.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "mask", "y"))).alias("x"))
+    return select_alpha_of(lists.select(F.col("x.mask").alias("masks"), F.col("x.y").alias("y")), grid)
 
-    def errors(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("k")
-        masks, y = np.array(rows["mask"].tolist(), dtype=float), rows["y"].to_numpy(dtype=float)
-        found = [cv_errors(masks, y, a)[0] for a in grid] if np.var(y) > 0 else []
-        return pd.DataFrame([{"alpha": a, "mse": e} for a, e in zip(grid, found, strict=False) if not np.isnan(e)], columns=["alpha", "mse"])
 
-    each = outcomes.groupBy("doc_id").applyInPandas(errors, "alpha double, mse double")
+def select_alpha_of(measured: DataFrame, grid: tuple = ALPHAS) -> DataFrame:
+    """select_alpha() of measured(masks, y), a row for each document: no mask is shuffled."""
+
+    def errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, masks, y in shaped(batch):
+                fit = np.flatnonzero(np.var(y, axis=1) > 0) if y.shape[1] >= 4 else []
+                if len(fit):
+                    said = held_out_fits(masks[fit], y[fit], np.array([[a] * masks.shape[2] for a in grid]))
+                    mse = ((said - y[fit]) ** 2).mean(axis=2)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(grid, dtype=float), len(fit))), pa.array(mse.reshape(-1))], names=["alpha", "mse"])
+
+    each = measured.select("masks", "y").mapInArrow(errors, "alpha double, mse double")
     return each.groupBy("alpha").agg(F.avg("mse").alias("cv_mse")).orderBy("cv_mse", "alpha")
 
 

@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -196,3 +197,18 @@ def test_draws_move_as_numbers(spark):
     assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
     rows = found.collect()
     assert len({r["chunk"] for r in rows}) == len(rows) <= 60
+
+
+def test_penalties_are_tried_without_moving_masks(spark):
+    """A document's masks stay in one row; errors of documents of one shape equal those of one at a time."""
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["ridge_alpha"](spark, entry.SAMPLE)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "MapInArrow" in plan
+    rng = np.random.default_rng(12)
+    rows = [(k, (rng.random((20 + k % 3, 3 + k % 2)) < 0.5)) for k in range(12)]
+    outcomes = [(k, m, m @ rng.normal(size=m.shape[1]) + rng.normal(size=len(m))) for k, m in rows]
+    long = spark.createDataFrame([(k, i, [float(b) for b in bits], float(v)) for k, m, y in outcomes for i, (bits, v) in enumerate(zip(m, y, strict=True))], "doc_id long, k int, mask array<double>, y double")
+    got = {r["alpha"]: r["cv_mse"] for r in attribution.select_alpha(long).collect()}
+    want = {a: np.mean([attribution.cv_errors(m, y, a)[0] for _, m, y in outcomes]) for a in attribution.ALPHAS}
+    assert all(abs(got[a] - want[a]) < 1e-9 for a in want) and len(got) == len(want)
