@@ -1,9 +1,11 @@
 """Surrogates of masked outcomes beyond the additive one: pair interactions, and refits on fewer calls.
 
-All fits are ridge regressions in dual form: a document's masks enter only through their Gram
-matrix, and a penalty by column is a weight of its kernel. Masks are 0 or 1, so with s kept chunks
-in common two masks have s(s-1)/2 kept pairs in common, and all pairs of a document need no columns
-of their own. A document's masks stand in one row: nothing is shuffled but per-document figures.
+Fits are ridge regressions. Those of all pairs are in dual form: a document's masks enter only
+through their Gram matrix, and a penalty by column is a weight of its kernel. Masks are 0 or 1, so
+with s kept chunks in common two masks have s(s-1)/2 kept pairs in common, and all pairs of a
+document need no columns of their own. Those with a column for each chunk are solved by their
+normal equations, documents of one shape at once. A document's masks stand in one row: nothing is
+shuffled but per-document figures.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from quillsieve.functions.hashing import hash_unit
-from quillsieve.operators.attribution import fold_of
+from quillsieve.operators.attribution import fold_of, held_out_fits, ridge_fits, shaped
 from quillsieve.operators.statistics import kept
 
 #: Penalties tried for main effects and for interactions.
@@ -30,6 +32,8 @@ MODELS = ("additive", "gold_pairs", "top2_pair", "all_pairs")
 CALLS, DRAWS = (8, 16, 32, 48), 5
 #: Outcomes that differ less are equal.
 FLAT = 1e-9
+#: Columns up to which all pairs are fitted with columns of their own.
+COLUMNS = 48
 
 
 def pair_kernel(masks: np.ndarray) -> np.ndarray:
@@ -137,20 +141,97 @@ def _listed(measured: DataFrame, schema: str, each: Callable[[Row], Iterator[dic
     return measured.select("doc_id", "source", "masks", "y", "gold", "answers_in").mapInArrow(run, schema)
 
 
+def _held_out_pairs(masks: np.ndarray, y: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    """Held-out predictions [penalties, documents, masks] of top2_pair and all_pairs, for documents of one shape. The best two chunks are chosen inside the training set."""
+    d, n, c = masks.shape
+    grid = np.array(PAIR_GRID)
+    i, j = np.triu_indices(c, 1)
+    few = c + len(i) <= COLUMNS
+    plain = masks @ masks.transpose(0, 2, 1)
+    every, main = plain * (plain - 1) / 2, plain / alpha
+    folds, best, pairs = fold_of(n), np.zeros((len(grid), d, n)), np.zeros((len(grid), d, n))
+    for f in range(folds.max() + 1):
+        train, out = np.flatnonzero(folds != f), np.flatnonzero(folds == f)
+        both = np.zeros((d, n, 1))
+        if c >= 2:
+            _, beta = ridge_fits(masks[:, train], y[:, train], np.array([[alpha] * c]))
+            order = np.argsort(-np.round(beta[0], 12), axis=1, kind="stable")[:, :2]
+            both = np.take_along_axis(masks, order[:, None, :], axis=2).prod(axis=2, keepdims=True)
+        x = np.concatenate([masks, both], axis=2)
+        start, beta = ridge_fits(x[:, train], y[:, train], np.array([[alpha] * c + [a] for a in grid]))
+        best[:, :, out] = start[:, :, None] + np.einsum("bkq,abq->abk", x[:, out], beta)
+        for a, penalty in enumerate(grid if not few else ()):
+            kernel = main[:, :, train] + every[:, :, train] / penalty
+            weights, center, means = duals(kernel[:, train], y[:, train])
+            pairs[a][:, out] = means[:, None] + ((kernel[:, out] - center[:, None, :]) @ weights[:, :, None])[:, :, 0]
+    if few:
+        pairs = held_out_fits(np.concatenate([masks, masks[:, :, i] * masks[:, :, j]], axis=2), y, np.array([[alpha] * c + [a] * len(i) for a in grid]))
+    return best, pairs
+
+
+def _golden(masks: np.ndarray, y: np.ndarray, held: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Held-out predictions of gold_pairs, as _held_out_pairs(), and mean coefficients [penalties, documents] of gold pairs and gold chunks; held [documents, gold chunks]."""
+    c = masks.shape[2]
+    i, j = np.triu_indices(held.shape[1], 1)
+    own = np.take_along_axis(masks, held[:, None, :], axis=2)
+    x = np.concatenate([masks, own[:, :, i] * own[:, :, j]], axis=2)
+    penalties = np.array([[alpha] * c + [a] * len(i) for a in PAIR_GRID])
+    _, beta = ridge_fits(x, y, penalties)
+    return held_out_fits(x, y, penalties), beta[:, :, c:].mean(axis=2), np.take_along_axis(beta, held[None, :, :], axis=2).mean(axis=2)
+
+
+def document_errors(measured: DataFrame, alpha: float) -> DataFrame:
+    """(doc_id, source, model, penalty, mse, r2, gold_pair, gold_main) of each informative document, model and penalty: its held-out error and R2, and for gold_pairs the mean coefficients of gold pairs and gold chunks.
+
+    `additive` also stands with a null penalty: the fit with alpha, which gains are measured against.
+    """
+    kinds = dict(measured.dtypes)
+    schema = f"doc_id {kinds['doc_id']}, source string, fits array<struct<model: string, penalty: double, mse: double, r2: double, gold_pair: double, gold_main: double>>"
+    kind = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("model", "penalty", "mse", "r2", "gold_pair", "gold_main")
+        for batch in batches:
+            gold = batch.column("gold").to_pylist()
+            at, made = [], []
+            for rows, masks, y in shaped(batch):
+                y = np.round(y, 9)
+                fit = np.flatnonzero(np.ptp(y, axis=1) >= FLAT) if y.shape[1] >= 4 else []
+                if not len(fit):
+                    continue
+                rows, masks, y = rows[fit], masks[fit], y[fit]
+                spread = ((y - y.mean(axis=1)[:, None]) ** 2).mean(axis=1)
+                c = masks.shape[2]
+                main = held_out_fits(masks, y, np.array([[a] * c for a in (*MAIN_GRID, alpha)]))
+                best, pairs = _held_out_pairs(masks, y, alpha)
+                grid = [("additive", a) for a in (*MAIN_GRID, None)] + [(m, a) for m in ("top2_pair", "all_pairs") for a in PAIR_GRID]
+                mse = ((np.concatenate([main, best, pairs]) - y) ** 2).mean(axis=2)
+                r2 = 1 - mse / spread
+                found = [[(*g, float(e), float(r), None, None) for g, e, r in zip(grid, mse[:, k], r2[:, k], strict=True)] for k in range(len(rows))]
+                held = [sorted(set(gold[row] or [])) for row in rows]
+                for size in {len(x) for x in held if len(x) >= 2}:
+                    own = [k for k, x in enumerate(held) if len(x) == size]
+                    said, of_pairs, of_main = _golden(masks[own], y[own], np.array([held[k] for k in own]), alpha)
+                    error = ((said - y[own]) ** 2).mean(axis=2)
+                    for at_own, k in enumerate(own):
+                        figures = [x[:, at_own].tolist() for x in (error, 1 - error / spread[own], of_pairs, of_main)]
+                        found[k] += [("gold_pairs", a, *x) for a, *x in zip(PAIR_GRID, *figures, strict=True)]
+                at += rows.tolist()
+                made += [[dict(zip(names, x, strict=True)) for x in own] for own in found]
+            left = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([left.column("doc_id").cast(kind.field(0).type), left.column("source"), pa.array(made, kind.field(2).type)], schema=kind)
+
+    fits = measured.select("doc_id", "source", "masks", "y", "gold").mapInArrow(run, schema)
+    return fits.select("doc_id", "source", F.inline("fits"))
+
+
 def interaction_errors(measured: DataFrame, alpha: float) -> DataFrame:
     """(source, model, penalty, cv_mse, n): mean held-out error of each model and penalty over informative documents."""
+    return _mean_errors(document_errors(measured, alpha))
 
-    def each(masks, y, row):
-        if len(y) < 4:
-            return
-        for model, of in kernels(masks, y, row["gold"], alpha).items():
-            grid = MAIN_GRID if model == "additive" else PAIR_GRID
-            said = held_out_all(lambda train, of=of, grid=grid: np.stack([of(a)(train) for a in grid]), y)
-            for a, mse in zip(grid, ((said - y) ** 2).mean(axis=1), strict=True):
-                yield {"model": model, "penalty": a, "mse": float(mse)}
 
-    errors = _listed(measured, "doc_id {doc_id}, source string, model string, penalty double, mse double", each)
-    return errors.groupBy("source", "model", "penalty").agg(F.avg("mse").alias("cv_mse"), F.count("*").alias("n"))
+def _mean_errors(errors: DataFrame) -> DataFrame:
+    return errors.where("penalty IS NOT NULL").groupBy("source", "model", "penalty").agg(F.avg("mse").alias("cv_mse"), F.count("*").alias("n"))
 
 
 def chosen_penalties(errors: DataFrame) -> DataFrame:
@@ -190,6 +271,15 @@ def interaction_fits(measured: DataFrame, penalties: DataFrame, alpha: float) ->
     return _listed(rows, "doc_id {doc_id}, source string, model string, r2 double, gain double, gold_pair double, gold_main double", each)
 
 
+def _chosen_fits(errors: DataFrame, penalties: DataFrame) -> DataFrame:
+    """What interaction_fits() says, from document_errors(): each document's row of its source's penalty, the additive one being that of alpha."""
+    own = F.broadcast(penalties.select(F.col("source").alias("_s"), F.col("model").alias("_m"), F.col("penalty").alias("_p")))  # a row for each source and model
+    rows = errors.join(own, F.col("source").eqNullSafe(F.col("_s")) & (F.col("model") == F.col("_m")))
+    rows = rows.where(F.when(F.col("model") == "additive", F.col("penalty").isNull()).otherwise(F.col("penalty") == F.col("_p")))
+    rows = rows.groupBy("doc_id", "source").agg(F.max(F.when(F.col("model") == "additive", F.col("r2"))).alias("_base"), F.collect_list(F.struct("model", "r2", "gold_pair", "gold_main")).alias("x"))
+    return rows.select("doc_id", "source", "_base", F.inline("x")).withColumn("gain", F.col("r2") - F.col("_base")).drop("_base")
+
+
 def interaction_gain(measured: DataFrame, alpha: float = 1.0) -> DataFrame:
     """Whether pairs of chunks explain what the additive surrogate leaves: by source and model the chosen penalty, mean held-out R2, gain over the additive fit with standard error and share of documents that gain, coefficients of gold pairs.
 
@@ -197,11 +287,11 @@ def interaction_gain(measured: DataFrame, alpha: float = 1.0) -> DataFrame:
     measured(doc_id, source, masks, y, gold, answers_in) with constant or no outcomes, or fewer than
     four masks, take no part.
     """
-    measured = kept(measured.select("doc_id", "source", "masks", "y", "gold", "answers_in"))  # masks are drawn and answered once for both passes
-    penalties = kept(chosen_penalties(interaction_errors(measured, alpha)))
-    fits = interaction_fits(measured, penalties, alpha)
+    errors = kept(document_errors(measured, alpha))  # held-out errors of all penalties are made once, and hold those of the chosen ones
+    penalties = kept(chosen_penalties(_mean_errors(errors)))
+    fits = _chosen_fits(errors, penalties)
     found = fits.groupBy("source", "model").agg(
-        F.count("*").alias("n"), F.avg("r2").alias("r2"), F.avg("gain").alias("gain"), (F.stddev_samp("gain") / F.sqrt(F.count("gain"))).alias("gain_se"), F.avg((F.col("gain") > 0).cast("int")).alias("share_gaining"),
+        F.count("*").alias("n"), F.avg("r2").alias("r2"), F.avg("gain").alias("gain"), (F.stddev_samp("gain") / F.sqrt(F.count("gain"))).alias("gain_se"), F.avg((F.col("gain") > FLAT).cast("int")).alias("share_gaining"),
         F.avg("gold_pair").alias("gold_pair"), F.avg("gold_main").alias("gold_main"))
     own = penalties.withColumnsRenamed({"source": "_s", "model": "_m"})
     return found.join(own, F.col("source").eqNullSafe(F.col("_s")) & (F.col("model") == F.col("_m"))).drop("_s", "_m", "cv_mse")
@@ -281,6 +371,64 @@ def _refits(masks: np.ndarray, y: np.ndarray, kernel: np.ndarray, ats: np.ndarra
 _CURVE = "doc_id {doc_id}, source string, fit string, calls int, first double, recall double, degenerate double, spearman double, cv_r2 double, heldout_r2 double"
 
 
+def _ranked(x: np.ndarray) -> np.ndarray:
+    """Average ranks along the last axis, less their mean."""
+    less = (x[..., None, :] < x[..., :, None]).sum(axis=-1)
+    same = (x[..., None, :] == x[..., :, None]).sum(axis=-1)
+    return less + (same + 1) / 2 - (x.shape[-1] + 1) / 2
+
+
+def _mean_r2(said: np.ndarray, y: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """R2 over the held places of the last axis; NaN where these are fewer than two or alike."""
+    count = held.sum(axis=-1)
+    mean = (y * held).sum(axis=-1) / np.maximum(count, 1)
+    spread = (held * (y - mean[..., None]) ** 2).sum(axis=-1)
+    apart = np.where(held, y, -np.inf).max(axis=-1) - np.where(held, y, np.inf).min(axis=-1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where((count >= 2) & (apart >= FLAT), 1 - (held * (said - y) ** 2).sum(axis=-1) / spread, np.nan)
+
+
+_DRAWN = ("first", "recall", "degenerate", "spearman", "cv_r2", "heldout_r2")
+
+
+def _drawn(masks: np.ndarray, y: np.ndarray, ats: np.ndarray, full: np.ndarray, alpha: float, gold: np.ndarray, answers_in: np.ndarray) -> np.ndarray:
+    """[documents, figures]: _refits() of documents of one shape, means over draws (NaN: none); ats [documents, draws, masks], gold and answers_in [documents, chunks]."""
+    d, draws, m = ats.shape
+    n, c = masks.shape[1:]
+    ats = np.sort(ats, axis=2)
+    at = np.arange(d)[:, None, None]
+    x, own = masks[at, ats].reshape(d * draws, m, c), y[at, ats].reshape(d * draws, m)
+    start, beta = ridge_fits(x, own, np.full((1, c), alpha))
+    start, beta = start[0].reshape(d, draws), beta[0].reshape(d, draws, c)
+    # Equal coefficients such as 1 / 1024 lie between two numbers of 9 digits: only what is equal at 12 digits rounds alike.
+    rounded = np.round(np.round(beta, 12), 9)
+    flat = np.std(rounded, axis=2) < 1e-12
+    place = np.argsort(np.argsort(-rounded, axis=2, kind="stable"), axis=2)
+    size = gold.sum(axis=1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        first = np.where(flat, 0.0, (answers_in[:, None, :] & (place == 0)).any(axis=2))
+        first = np.where(answers_in.any(axis=1)[:, None], first, np.nan)
+        recall = np.where(flat, 0.0, (gold[:, None, :] & (place < size[:, None, None])).sum(axis=2) / size[:, None])
+        recall = np.where(size[:, None] > 0, recall, np.nan)
+        whole = np.round(np.round(full, 12), 9)
+        a, b = _ranked(rounded), _ranked(whole)[:, None, :]
+        spearman = (a * b).sum(axis=2) / np.sqrt((a * a).sum(axis=2) * (b * b).sum(axis=2))
+    spearman = np.where((np.std(whole, axis=1) > 1e-12)[:, None] & (np.std(rounded, axis=2) > 1e-12), spearman, np.nan)
+    cv = np.full((d, draws), np.nan)
+    if m >= 4:
+        said = held_out_fits(x, own, np.full((1, c), alpha))[0]
+        cv = _mean_r2(said, own, np.ones(own.shape, dtype=bool)).reshape(d, draws)
+    rest = np.ones((d, draws, n), dtype=bool)
+    np.put_along_axis(rest, ats, False, axis=2)
+    said = start[:, :, None] + beta @ masks.transpose(0, 2, 1)
+    others = _mean_r2(said, np.broadcast_to(y[:, None, :], rest.shape), rest)
+    figures = np.stack([first, recall, flat.astype(float), spearman, cv, others], axis=2)
+    some = ~np.isnan(figures)
+    count = some.sum(axis=1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(count > 0, np.where(some, figures, 0.0).sum(axis=1) / count, np.nan)
+
+
 def refits(measured: DataFrame, alpha: float = 1.0, calls: tuple = CALLS, draws: int = DRAWS, sparse_keeps: int = 2) -> DataFrame:
     """(doc_id, source, fit, calls, first, recall, degenerate, spearman, cv_r2, heldout_r2) of each informative document, means over draws.
 
@@ -288,34 +436,57 @@ def refits(measured: DataFrame, alpha: float = 1.0, calls: tuple = CALLS, draws:
     masks of more than `sparse_keeps` chunks as of fewer, `sparse` (those masks), `dense` and `any`
     (as many drawn from the others and from all): refits at equal cost. Draws are subset_order().
     """
+    schema = _CURVE.format(**dict(measured.dtypes))
+    kind = to_arrow_schema(StructType.fromDDL(schema))
 
-    def mean(rows: list[dict]) -> dict:
-        values = {k: [r[k] for r in rows if r[k] is not None] for k in rows[0]}
-        return {k: float(np.mean(v)) if v else None for k, v in values.items()}
+    def listed(chunks: list, rows: np.ndarray, c: int) -> np.ndarray:
+        """Which of c chunks each row lists."""
+        out = np.zeros((len(rows), c), dtype=bool)
+        for k, row in enumerate(rows):
+            out[k, sorted(set(chunks[row] or []))] = True
+        return out
 
-    def each(masks, y, row):
-        n = len(y)
-        full = betas(masks, y, alpha)
-        kinds = (row["gold"], row["answers_in"])
-
-        kernel = masks @ masks.T / alpha
-
-        def fits(ats: list[np.ndarray]) -> list[dict]:
-            return _refits(masks, y, kernel, np.sort(np.stack(ats), axis=1), full, alpha, *kinds)
-
-        orders = [np.array(subset_order(row["doc_id"], d, n)) for d in range(draws)]
-        yield {"fit": "curve", "calls": n} | fits([np.arange(n)])[0] | {"spearman": 1.0}
-        for k in calls:
-            if k < n:
-                yield {"fit": "curve", "calls": k} | mean(fits([o[:k] for o in orders]))
-        few = masks.sum(axis=1) <= sparse_keeps
-        m = int(few.sum())
-        if 2 <= m <= n - m:
-            yield {"fit": "sparse", "calls": m} | fits([np.flatnonzero(few)])[0]
-            yield {"fit": "dense", "calls": m} | mean(fits([o[~few[o]][:m] for o in orders]))
-            yield {"fit": "any", "calls": m} | mean(fits([o[:m] for o in orders]))
-
-    return _listed(measured, _CURVE, each)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, gold, answers = (batch.column(c).to_pylist() for c in ("doc_id", "gold", "answers_in"))
+            for rows, masks, y in shaped(batch):
+                y = np.round(y, 9)
+                fit = np.flatnonzero(np.ptp(y, axis=1) >= FLAT)
+                if not len(fit):
+                    continue
+                rows, masks, y = rows[fit], masks[fit], y[fit]
+                n, c = masks.shape[1:]
+                golden, holding = listed(gold, rows, c), listed(answers, rows, c)
+                full = ridge_fits(masks, y, np.full((1, c), alpha))[1][0]
+                orders = np.array([[subset_order(ids[row], d, n) for d in range(draws)] for row in rows])
+                found: list = []
+
+                def put(fit: str, number: int, at, ats: np.ndarray) -> None:
+                    figures = _drawn(masks[at], y[at], ats, full[at], alpha, golden[at], holding[at])  # noqa: B023
+                    found.append((rows[at], fit, number, figures))  # noqa: B023
+
+                every = np.arange(len(rows))
+                put("curve", n, every, np.broadcast_to(np.arange(n), (len(rows), 1, n)))
+                found[0][3][:, _DRAWN.index("spearman")] = 1.0
+                for k in calls:
+                    if k < n:
+                        put("curve", k, every, orders[:, :, :k])
+                few = masks.sum(axis=2) <= sparse_keeps
+                numbers = few.sum(axis=1)
+                for m in np.unique(numbers):
+                    if 2 <= m <= n - m:
+                        at = np.flatnonzero(numbers == m)
+                        put("sparse", m, at, np.stack([np.flatnonzero(few[k]) for k in at])[:, None, :])
+                        put("dense", m, at, np.stack([[o[~few[k][o]][:m] for o in orders[k]] for k in at]))
+                        put("any", m, at, orders[at][:, :, :m])
+                own = np.concatenate([x[0] for x in found])
+                figures = np.concatenate([x[3] for x in found])
+                left = batch.take(pa.array(own, pa.int64()))
+                columns = [left.column("doc_id"), left.column("source"), pa.array([x[1] for x in found for _ in x[0]]), pa.array([int(x[2]) for x in found for _ in x[0]], pa.int32())]
+                columns += [pa.array(figures[:, k], pa.float64(), from_pandas=True) for k in range(len(_DRAWN))]
+                yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(columns, kind, strict=True)], schema=kind)
+
+    return measured.select("doc_id", "source", "masks", "y", "gold", "answers_in").mapInArrow(run, schema)
 
 
 def k_curve(measured: DataFrame, alpha: float = 1.0, calls: tuple = CALLS, draws: int = DRAWS) -> DataFrame:

@@ -186,3 +186,39 @@ def test_mask_subsets_stay_in_their_row(spark):
     assert got == want
     frame = spark.createDataFrame([(1, [0.5] * 20)], "doc_id long, y array<double>")
     assert "Window" not in su.mask_subsets(frame, (8, 16), 2)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stacks_of_documents_equal_single_ones():
+    """Refits, their held-out figures and labels of documents of one shape at once, against one by one in dual form."""
+    rng = np.random.default_rng(31)
+    masks = (rng.random((5, 24, 6)) < 0.5).astype(float)
+    y = np.round(masks @ rng.normal(size=6) + 0.1 * rng.normal(size=(5, 24)), 9)
+    ats = np.stack([[rng.permutation(24)[:9] for _ in range(4)] for _ in range(5)])
+    gold, answers = np.zeros((5, 6), dtype=bool), np.zeros((5, 6), dtype=bool)
+    gold[:4, 1], gold[2:4, 4], answers[1:, 3] = True, True, True
+    full = np.stack([su.betas(m, v, 1.0) for m, v in zip(masks, y, strict=True)])
+    got = su._drawn(masks, y, ats, full, 1.0, gold, answers)
+    for k in range(5):
+        each = su._refits(masks[k], y[k], masks[k] @ masks[k].T, np.sort(ats[k], axis=1), full[k], 1.0, np.flatnonzero(gold[k]).tolist(), np.flatnonzero(answers[k]).tolist())
+        want = [[r[f] for r in each if r[f] is not None] for f in su._DRAWN]
+        assert np.allclose(got[k], [np.mean(w) if w else np.nan for w in want], atol=1e-9, equal_nan=True)
+
+
+def test_gains_below_rounding_are_no_gain(spark):
+    """Without any pair the models are the additive one; what rounding leaves of the difference counts as no gain, and each document's errors are made once."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(12):
+        m = np.eye(5, dtype=bool)[rng.integers(0, 5, 40)]
+        rows.append((k, "a", m.tolist(), (m @ rng.normal(size=5) + 0.1 * rng.normal(size=40)).tolist(), [0, 1], [0]))
+    frame = spark.createDataFrame(rows, SCHEMA)
+    asked = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            asked.add(b.num_rows)
+            yield b
+
+    found = su.interaction_gain(frame.mapInArrow(counted, frame.schema)).collect()
+    assert asked.value == 12
+    assert {r["model"]: r["share_gaining"] for r in found} == {"additive": 0.0, "all_pairs": 0.0, "gold_pairs": 0.0, "top2_pair": 0.0}
